@@ -170,8 +170,12 @@ def test_ask_order_caps(g, spark):
 def test_exists_inside_or(g):
     ages = P.pattern(g, "?p", EX + "age", "?a")
     works = P.pattern(g, "?p", EX + "worksFor", "?c")
-    b = ages.filter(t.gt(F.col("a"), 50) | ages.exists_condition(works))
+    b = ages.filter_exists(works, lambda found: t.gt(F.col("a"), 50) | found)
     assert rows(b, "p") == [("alice",), ("bob",), ("carol",), ("dan",)]
+    named = ages.filter_exists(
+        works, lambda found: t.gt(F.col("a"), 50) | found, lambda l, r: t.gt(l("a"), 30) & (r("c") != "")
+    )
+    assert rows(named, "p") == [("alice",), ("bob",), ("dan",)]
     assert rows(ages.exists(works), "p") == [("alice",), ("bob",), ("carol",)]
 
 

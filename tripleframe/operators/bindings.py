@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RIGHT = "__right_"
+LEFT, RIGHT = "__left_", "__right_"
 Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
@@ -197,17 +197,33 @@ class Bindings:
                 left = left.join(right, on, "left_anti")
         return Bindings(reduce(DataFrame.unionByName, parts), self.certain)
 
-    def exists_condition(self, other: Bindings, condition: Condition | None = None) -> Column:
-        """EXISTS as a boolean for use inside a larger filter on these bindings."""
+    def filter_exists(
+        self,
+        other: Bindings,
+        test: Callable[[Column], Column],
+        condition: Condition | None = None,
+    ) -> Bindings:
+        """Filter with EXISTS as part of a larger condition: ``test(exists)`` gets the flag.
+
+        The outer columns are read through copies with names that cannot occur inside, since a
+        subquery prefers its own columns when names agree.
+        """
         shared, maybe_l, maybe_r = self._shared(other)
         if maybe_l or maybe_r:
             raise ValueError("bind the shared variables first: " + ", ".join(maybe_l + maybe_r))
-        on = self._on([], condition) if condition else None
+
+        def outer(name: str) -> Column:
+            return F.col(f"`{LEFT}{name}`").outer()
+
+        parts = [right_col(k) == outer(k) for k in shared]
+        if condition is not None:
+            parts.append(condition(outer, right_col))
         inner = other._renamed()
-        parts = [right_col(k) == left_col(k).outer() for k in shared]
-        if on is not None:
-            parts.append(condition(lambda n: left_col(n).outer(), right_col))
-        return (inner.where(reduce(lambda a, b: a & b, parts)) if parts else inner).exists()
+        if parts:
+            inner = inner.where(reduce(lambda a, b: a & b, parts))
+        copies = {LEFT + v: left_col(v) for v in self.variables}
+        kept = self.df.withColumns(copies).where(test(inner.exists())).select(*self.variables)
+        return Bindings(kept, self.certain)
 
 
 def values(spark: SparkSession, variables: list[str], rows: list[tuple]) -> Bindings:
