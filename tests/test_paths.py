@@ -57,3 +57,13 @@ def test_graph_is_part_of_every_hop(spark):
     assert pairs(paths.sequence(e, e), "g", "s", "o") == [("g1", "a", "d")]
     seeds = spark.createDataFrame([("g1", "a"), ("g2", "a")], "g string, s string")
     assert pairs(paths.reach(e, seeds), "g", "s", "o") == [("g1", "a", "b"), ("g1", "a", "d")]
+
+
+def test_single_way_on(spark):
+    chain = [(str(i), str(i + 1)) for i in range(21)] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("t", "c0"), ("l", "l")]
+    e = spark.createDataFrame(chain, "s string, o string")
+    seeds = spark.createDataFrame([("0",), ("5",), ("c1",), ("t",), ("l",), ("21",), ("none",)], "s string")
+    names = {r[0] for r in seeds.collect()}
+    want = {p for p in closure(chain) if p[0] in names}
+    assert pairs(paths.reach(e, seeds)) == sorted(want)
+    assert pairs(paths.reach(e, seeds, include_start=True)) == sorted(want | {(n, n) for n in names})

@@ -100,8 +100,9 @@ def reach(
     """Distinct ``(start, node)`` pairs reachable from ``starts(s)``, walked one hop per round.
 
     Walk ``inverse(edges)`` when only the far end is known. The edge table is partitioned by its
-    source once and every round joins the small frontier to it. With ``max_hops``, an unfinished
-    walk raises unless ``on_limit="stop"`` asks for the bounded answer.
+    source once and every round joins the small frontier to it. Where no node has two ways on, as in
+    reply chains, hops are doubled instead, so even one very long chain takes few rounds. With
+    ``max_hops``, an unfinished walk raises unless ``on_limit="stop"`` asks for the bounded answer.
     """
     keys = _graph_keys(edge_table)
     pair = keys + ["s", "o"]
@@ -111,15 +112,14 @@ def reach(
         .repartition(*keys, "__from")
     )
     seeds = cut_lineage(starts.select(*keys, "s").distinct().withColumn("o", F.col("s")))
+    if max_hops is None:
+        branching = hops.groupBy(*keys, "__from").count().where(F.col("count") > 1)
+        if branching.isEmpty():
+            return _follow(hops, seeds, keys, include_start)
     seen = [seeds] if include_start else []
     frontier, hop = seeds, 0
     while True:
-        step = (
-            frontier.withColumnRenamed("o", "__from")
-            .join(hops, keys + ["__from"])
-            .select(*keys, "s", F.col("__to").alias("o"))
-            .distinct()
-        )
+        step = _step(frontier, hops, keys).distinct()
         if seen:
             step = step.join(reduce(DataFrame.unionByName, seen), pair, "left_anti").select(*pair)
         if max_hops is not None and hop == max_hops:
@@ -136,6 +136,34 @@ def reach(
     return reduce(DataFrame.unionByName, seen) if seen else frontier
 
 
+def _step(pairs: DataFrame, hops: DataFrame, keys: list[str]) -> DataFrame:
+    return (
+        pairs.withColumnRenamed("o", "__from")
+        .join(hops, keys + ["__from"])
+        .select(*keys, "s", F.col("__to").alias("o"))
+    )
+
+
+def _follow(hops: DataFrame, seeds: DataFrame, keys: list[str], include_start: bool) -> DataFrame:
+    """All nodes on the single way on from every seed, in logarithmically many rounds.
+
+    Round ``k`` appends what lies ``2**k`` hops behind the pairs found so far and doubles the hops.
+    The doubled table never outgrows the edge table, since every node has at most one way on.
+    """
+    pair = keys + ["s", "o"]
+    found = seeds if include_start else cut_lineage(_step(seeds, hops, keys))
+    while True:
+        new = _step(found, hops, keys).join(found, pair, "left_anti").select(*pair)
+        new = cut_lineage(new.distinct())
+        if new.isEmpty():
+            return found
+        found = cut_lineage(found.unionByName(new))
+        onward = hops.select(*keys, F.col("__from").alias("__to"), F.col("__to").alias("__next"))
+        hops = cut_lineage(
+            hops.join(onward, keys + ["__to"]).select(*keys, "__from", F.col("__next").alias("__to"))
+        )
+
+
 def as_bindings(edge_table: DataFrame, s: str, o: str, graph: str | None = None) -> Bindings:
     """Pairs as bindings; each end is a variable or a constant, ``?x ?x`` asks for cycles."""
     df = edge_table
