@@ -85,8 +85,7 @@ def double_term(c: Column) -> Column:
 def decimal_term(c: Column) -> Column:
     """Decimals print without trailing zeros and always keep one digit after the point."""
     text = F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1")
-    text = F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
-    text = F.when(text.contains("."), text).otherwise(F.concat(text, F.lit(".0")))
+    text = F.regexp_replace(text, r"^(-?\d+)\.?$", "$1.0")
     return typed_term(text, V.DECIMAL)
 
 
@@ -124,85 +123,128 @@ def _tail(k: Column) -> Column:
 
 def lexical(k: Column) -> Column:
     """Native text of a literal, NULL for other terms."""
-    return F.when(is_literal(k), k.substr(F.lit(2), F.length(k) - F.length(_tail(k)) - F.lit(2)))
+    return _let(
+        k,
+        lambda x: F.when(
+            is_literal(x), x.substr(F.lit(2), F.length(x) - F.length(_tail(x)) - F.lit(2))
+        ),
+    )
 
 
 def text(k: Column) -> Column:
     """Native text of a literal, or the IRI itself; the usual output column."""
-    return F.coalesce(lexical(k), F.when(is_iri(k), k))
+    return _let(k, lambda x: F.when(is_literal(x), lexical(x)).when(is_iri(x), x))
 
 
 def lang_text(k: Column) -> Column:
-    tail = _tail(k)
-    return F.when(
-        is_literal(k),
-        F.when(tail.startswith("@"), tail.substr(F.lit(2), F.length(tail))).otherwise(F.lit("")),
-    )
+    def body(x: Column) -> Column:
+        tail = _tail(x)
+        tag = F.when(tail.startswith("@"), F.substring(tail, 2, 1 << 30)).otherwise(F.lit(""))
+        return F.when(is_literal(x), tag)
+
+    return _let(k, body)
 
 
 def datatype_iri(k: Column) -> Column:
-    tail = _tail(k)
-    return F.when(
-        is_literal(k),
-        F.when(tail == "", F.lit(V.XSD + "string"))
-        .when(tail.startswith("@"), F.lit(V.RDF + "langString"))
-        .otherwise(tail.substr(F.lit(3), F.length(tail))),
-    )
+    def body(x: Column) -> Column:
+        tail = _tail(x)
+        named = (
+            F.when(tail == "", F.lit(V.XSD + "string"))
+            .when(tail.startswith("@"), F.lit(V.RDF + "langString"))
+            .otherwise(F.substring(tail, 3, 1 << 30))
+        )
+        return F.when(is_literal(x), named)
+
+    return _let(k, body)
+
+
+def _let(x: Column, body) -> Column:
+    """Apply ``body`` to ``x``, evaluating ``x`` once.
+
+    Bodies mention their argument many times. For a column that is free; a computed argument is
+    bound to a lambda variable, or nested calls would grow the expression exponentially.
+    """
+    shown = str(x)
+    if "(" not in shown and "CASE" not in shown:
+        return body(x)
+    return F.transform(F.array(x), body)[0]
+
+
+def _tails(*datatypes: str) -> list[str]:
+    return ["^^" + d for d in datatypes]
+
+
+_INTEGER, _FLOATING = _tails(*V.INTEGER_TYPES), _tails(V.DECIMAL, V.FLOAT, V.DOUBLE)
+_TEMPORAL = _tails(V.DATE, V.DATETIME)
+
+
+def _typed_text(k: Column) -> Column:
+    """Text of a literal that has a datatype."""
+    return F.substring(F.substring_index(k, '"^^', 1), 2, 1 << 30)
 
 
 def _numeric_rank(k: Column) -> Column:
-    """1 integer, 2 decimal, 3 float, 4 double; NULL when not numeric or malformed."""
-    dt = datatype_iri(k)
-    rank = (
-        F.when(dt.isin(V.INTEGER_TYPES), 1)
-        .when(dt == V.DECIMAL, 2)
-        .when(dt == V.FLOAT, 3)
-        .when(dt == V.DOUBLE, 4)
+    """1 integer, 2 decimal, 3 float, 4 double; NULL when not numeric."""
+    tail = _tail(k)
+    return (
+        F.when(tail.isin(_INTEGER), 1)
+        .when(tail == "^^" + V.DECIMAL, 2)
+        .when(tail == "^^" + V.FLOAT, 3)
+        .when(tail == "^^" + V.DOUBLE, 4)
     )
-    return F.when(lexical(k).try_cast("double").isNotNull(), rank)
 
 
 def num(k: Column) -> Column:
     """Native double of a numeric literal, else NULL."""
-    return F.when(_numeric_rank(k).isNotNull(), lexical(k).try_cast("double"))
+    return _let(
+        k, lambda x: F.when(_tail(x).isin(_INTEGER + _FLOATING), _typed_text(x).try_cast("double"))
+    )
 
 
 def boolean(k: Column) -> Column:
     """Native boolean of an ``xsd:boolean`` literal, else NULL."""
-    return F.when(
-        datatype_iri(k) == V.BOOLEAN,
-        F.when(lexical(k).isin("true", "1"), True).when(lexical(k).isin("false", "0"), False),
-    )
+
+    def body(x: Column) -> Column:
+        t = _typed_text(x)
+        value = F.when(t.isin("true", "1"), True).when(t.isin("false", "0"), False)
+        return F.when(_tail(x) == "^^" + V.BOOLEAN, value)
+
+    return _let(k, body)
 
 
 def timestamp(k: Column) -> Column:
     """Native timestamp of a date or dateTime literal, else NULL."""
-    return F.when(
-        datatype_iri(k).isin(V.DATE, V.DATETIME), lexical(k).try_cast("timestamp")
-    )
+    return _let(k, lambda x: F.when(_tail(x).isin(_TEMPORAL), _typed_text(x).try_cast("timestamp")))
 
 
 def plain(k: Column) -> Column:
     """Native text of an untagged string literal, else NULL."""
-    return F.when(is_literal(k) & (_tail(k) == ""), lexical(k))
+    return _let(
+        k,
+        lambda x: F.when(
+            is_literal(x) & (_tail(x) == ""), x.substr(F.lit(2), F.length(x) - F.lit(2))
+        ),
+    )
 
 
 def binding_struct(k: Column) -> Column:
     """Typed result value ``(type, value, datatype, lang)``; unbound stays NULL."""
-    dt, tag = datatype_iri(k), lang_text(k)
-    kind = (
-        F.when(is_literal(k), "literal").when(is_blank(k), "bnode").otherwise(F.lit("uri"))
-    )
-    value = F.when(is_blank(k), k.substr(F.lit(3), F.length(k))).otherwise(text(k))
-    return F.when(
-        k.isNotNull(),
-        F.struct(
-            kind.alias("type"),
-            value.alias("value"),
-            F.when(~dt.isin(V.XSD + "string", V.RDF + "langString"), dt).alias("datatype"),
-            F.when(tag != "", tag).alias("lang"),
-        ),
-    )
+
+    def body(x: Column) -> Column:
+        dt, tag = datatype_iri(x), lang_text(x)
+        kind = F.when(is_literal(x), "literal").when(is_blank(x), "bnode").otherwise(F.lit("uri"))
+        value = F.when(is_blank(x), F.substring(x, 3, 1 << 30)).otherwise(text(x))
+        return F.when(
+            x.isNotNull(),
+            F.struct(
+                kind.alias("type"),
+                value.alias("value"),
+                F.when(~dt.isin(V.XSD + "string", V.RDF + "langString"), dt).alias("datatype"),
+                F.when(tag != "", tag).alias("lang"),
+            ),
+        )
+
+    return _let(k, body)
 
 
 # ---- comparison and logic -------------------------------------------------------------------
@@ -210,19 +252,36 @@ def binding_struct(k: Column) -> Column:
 
 def eq(a: Any, b: Any) -> Column:
     """Value equality. Same term is equal; literals of unknown datatype are otherwise an error."""
-    a, b = term(a), term(b)
-    both_literal = is_literal(a) & is_literal(b)
-    ta, tb = _kind(a), _kind(b)
-    return (
-        F.when(a == b, True)
-        .when(a.isNull() | b.isNull(), F.lit(None).cast("boolean"))
-        .when(~both_literal, False)
-        .when((ta == 1) & (tb == 1), num(a) == num(b))
-        .when((ta == 2) & (tb == 2), timestamp(a) == timestamp(b))
-        .when((ta == 3) & (tb == 3), boolean(a) == boolean(b))
-        .when((ta == 9) | (tb == 9), F.lit(None).cast("boolean"))
-        .otherwise(False)
-    )
+    if not isinstance(a, Column) and isinstance(b, Column):
+        a, b = b, a
+    error = F.lit(None).cast("boolean")
+
+    def constant(x: Column) -> Column:
+        kind, read = _kind(x), _reader(b)
+        wanted = {num: 1, boolean: 3, plain: 4}[read]
+        return (
+            F.when(x.isNull() | (kind == 9), error)
+            .when(kind == wanted, read(x) == F.lit(b))
+            .otherwise(False)
+        )
+
+    def general(x: Column, y: Column) -> Column:
+        kx, ky = _kind(x), _kind(y)
+        return (
+            F.when(x.isNull() | y.isNull(), error)
+            .when(x == y, True)
+            .when((kx == 0) | (ky == 0), False)
+            .when((kx == 9) | (ky == 9), error)
+            .when(kx != ky, False)
+            .when(kx == 1, num(x) == num(y))
+            .when(kx == 2, timestamp(x) == timestamp(y))
+            .when(kx == 3, boolean(x) == boolean(y))
+            .otherwise(False)
+        )
+
+    if not isinstance(b, Column):
+        return _let(term(a), constant)
+    return _let(a, lambda x: _let(b, lambda y: general(x, y)))
 
 
 def ne(a: Any, b: Any) -> Column:
@@ -230,25 +289,36 @@ def ne(a: Any, b: Any) -> Column:
 
 
 def _kind(k: Column) -> Column:
-    """1 number, 2 date or dateTime, 3 boolean, 4 string, 5 tagged string, 9 anything else."""
-    dt = datatype_iri(k)
+    """0 no literal, 1 number, 2 date or dateTime, 3 boolean, 4 string, 5 tagged string, 9 other."""
+    tail = _tail(k)
     return (
-        F.when(num(k).isNotNull(), 1)
-        .when(timestamp(k).isNotNull(), 2)
-        .when(boolean(k).isNotNull(), 3)
-        .when(dt == V.XSD + "string", 4)
-        .when(dt == V.RDF + "langString", 5)
+        F.when(~is_literal(k), 0)
+        .when(tail == "", 4)
+        .when(tail.isin(_INTEGER + _FLOATING), 1)
+        .when(tail.isin(_TEMPORAL), 2)
+        .when(tail == "^^" + V.BOOLEAN, 3)
+        .when(tail.startswith("@"), 5)
         .otherwise(9)
     )
 
 
+def _reader(constant: Any):
+    """How to read the other side when one side is a Python constant."""
+    if isinstance(constant, bool):
+        return boolean
+    return num if isinstance(constant, (int, float)) else plain
+
+
 def _ordered(a: Any, b: Any, compare) -> Column:
-    a, b = term(a), term(b)
-    return F.coalesce(
-        compare(num(a), num(b)),
-        compare(timestamp(a), timestamp(b)),
-        compare(boolean(a), boolean(b)),
-        compare(plain(a), plain(b)),
+    if not isinstance(b, Column):
+        return compare(_reader(b)(term(a)), F.lit(b))
+    if not isinstance(a, Column):
+        return compare(F.lit(a), _reader(a)(b))
+    return _let(
+        a,
+        lambda x: _let(
+            b, lambda y: F.coalesce(*[compare(read(x), read(y)) for read in (num, timestamp, boolean, plain)])
+        ),
     )
 
 
@@ -291,14 +361,16 @@ def not_in(k: Any, options: list[Any]) -> Column:
 
 def ebv(k: Any) -> Column:
     """Effective boolean value of a term."""
-    k = term(k)
-    dt = datatype_iri(k)
-    numeric = dt.isin(V.INTEGER_TYPES + [V.DECIMAL, V.FLOAT, V.DOUBLE])
-    return (
-        F.when(dt == V.BOOLEAN, F.coalesce(boolean(k), F.lit(False)))
-        .when(numeric, F.coalesce((num(k) != 0) & ~F.isnan(num(k)), F.lit(False)))
-        .when(dt.isin(V.XSD + "string", V.RDF + "langString"), lexical(k) != "")
-    )
+
+    def body(x: Column) -> Column:
+        kind = _kind(x)
+        return (
+            F.when(kind == 3, F.coalesce(boolean(x), F.lit(False)))
+            .when(kind == 1, F.coalesce((num(x) != 0) & ~F.isnan(num(x)), F.lit(False)))
+            .when(kind.isin(4, 5), F.length(x) - F.length(_tail(x)) > 2)
+        )
+
+    return _let(term(k), body)
 
 
 def bound(k: Column) -> Column:
@@ -318,23 +390,25 @@ def coalesce(*options: Any) -> Column:
 
 
 def _arithmetic(a: Any, b: Any, on_int, on_dec, on_dbl) -> Column:
-    a, b = term(a), term(b)
-    rank = F.when(
-        _numeric_rank(a).isNotNull() & _numeric_rank(b).isNotNull(),
-        F.greatest(_numeric_rank(a), _numeric_rank(b)),
-    )
-    la, lb = lexical(a), lexical(b)
-    ints = (la.try_cast("bigint"), lb.try_cast("bigint"))
-    decs = (la.try_cast(_MONEY), lb.try_cast(_MONEY))
-    dbls = (la.try_cast("double"), lb.try_cast("double"))
-    whole = integer_term(on_int(*ints)) if on_int else decimal_term(on_dec(*decs))
-    real = on_dbl(*dbls)
-    return (
-        F.when(rank == 1, whole)
-        .when(rank == 2, decimal_term(on_dec(*decs)))
-        .when(rank == 3, typed_term(real.cast("float"), V.FLOAT))
-        .when(rank == 4, double_term(real))
-    )
+    def body(x: Column, y: Column) -> Column:
+        rank = F.when(
+            _numeric_rank(x).isNotNull() & _numeric_rank(y).isNotNull(),
+            F.greatest(_numeric_rank(x), _numeric_rank(y)),
+        )
+
+        def read(kind: str) -> tuple[Column, Column]:
+            return _typed_text(x).try_cast(kind), _typed_text(y).try_cast(kind)
+
+        exact = decimal_term(on_dec(*read(_MONEY)))
+        real = on_dbl(*read("double"))
+        out = (
+            F.when(rank == 4, double_term(real))
+            .when(rank == 2, exact)
+            .when(rank == 3, typed_term(real.cast("float"), V.FLOAT))
+        )
+        return out.when(rank == 1, integer_term(on_int(*read("bigint"))) if on_int else exact)
+
+    return _let(term(a), lambda x: _let(term(b), lambda y: body(x, y)))
 
 
 def add(a: Any, b: Any) -> Column:
@@ -359,20 +433,21 @@ def negate(a: Any) -> Column:
 
 
 def plus(a: Any) -> Column:
-    a = term(a)
-    return F.when(_numeric_rank(a).isNotNull(), a)
+    return _let(term(a), lambda x: F.when(num(x).isNotNull(), x))
 
 
 def _unary(a: Any, on_int, on_dec, on_dbl) -> Column:
-    a = term(a)
-    rank, t = _numeric_rank(a), lexical(a)
-    real = on_dbl(t.try_cast("double"))
-    return (
-        F.when(rank == 1, integer_term(on_int(t.try_cast("bigint"))))
-        .when(rank == 2, decimal_term(on_dec(t.try_cast(_MONEY))))
-        .when(rank == 3, typed_term(real.cast("float"), V.FLOAT))
-        .when(rank == 4, double_term(real))
-    )
+    def body(x: Column) -> Column:
+        rank, t = _numeric_rank(x), _typed_text(x)
+        real = on_dbl(t.try_cast("double"))
+        return (
+            F.when(rank == 1, integer_term(on_int(t.try_cast("bigint"))))
+            .when(rank == 2, decimal_term(on_dec(t.try_cast(_MONEY))))
+            .when(rank == 3, typed_term(real.cast("float"), V.FLOAT))
+            .when(rank == 4, double_term(real))
+        )
+
+    return _let(term(a), body)
 
 
 def abs_(a: Any) -> Column:
@@ -404,18 +479,17 @@ def str_(k: Any) -> Column:
     return string_term(text(term(k)))
 
 
-def _relabel(k: Column, new_text: Column) -> Column:
-    return F.concat(F.lit(Q), new_text, F.lit(Q), _tail(k))
+def _relabel(k: Any, change) -> Column:
+    """Change the text of a literal and keep its language or datatype."""
+    return _let(term(k), lambda x: F.concat(F.lit(Q), change(lexical(x)), F.lit(Q), _tail(x)))
 
 
 def lcase(k: Any) -> Column:
-    k = term(k)
-    return _relabel(k, F.lower(lexical(k)))
+    return _relabel(k, F.lower)
 
 
 def ucase(k: Any) -> Column:
-    k = term(k)
-    return _relabel(k, F.upper(lexical(k)))
+    return _relabel(k, F.upper)
 
 
 def strlen(k: Any) -> Column:
@@ -436,11 +510,9 @@ def strends(k: Any, part: Any) -> Column:
 
 def substr(k: Any, start: int, length: int | None = None) -> Column:
     """1-based; a start before the text shortens the result instead of counting from the end."""
-    k = term(k)
     first = max(start, 1)
-    t = lexical(k)
-    size = F.length(t) if length is None else F.lit(max(start + length - first, 0))
-    return _relabel(k, t.substr(F.lit(first), size))
+    size = 1 << 30 if length is None else max(start + length - first, 0)
+    return _relabel(k, lambda t: F.substring(t, first, size))
 
 
 def concat(*parts: Any) -> Column:
@@ -459,11 +531,11 @@ def lang(k: Any) -> Column:
 
 
 def lang_matches(tag: Any, wanted: str) -> Column:
-    t = F.lower(lexical(term(tag)))
-    if wanted == "*":
-        return t != ""
     w = wanted.lower()
-    return (t == w) | t.startswith(w + "-")
+    given = lexical(term(tag))
+    if w == "*":
+        return given != ""
+    return _let(F.lower(given), lambda t: (t == w) | t.startswith(w + "-"))
 
 
 def datatype(k: Any) -> Column:
@@ -471,15 +543,17 @@ def datatype(k: Any) -> Column:
 
 
 def is_numeric(k: Any) -> Column:
-    k = term(k)
-    return F.when(k.isNotNull(), _numeric_rank(k).isNotNull())
+    return _let(term(k), lambda x: F.when(x.isNotNull(), num(x).isNotNull()))
 
 
 def iri(k: Any) -> Column:
     """An IRI from a string or an IRI; anything that is not absolute is an error."""
-    k = term(k)
-    t = F.coalesce(plain(k), F.when(is_iri(k), k))
-    return F.when(F.rlike(t, F.lit(V.ABSOLUTE_IRI)), t)
+
+    def body(x: Column) -> Column:
+        t = F.when(is_literal(x), plain(x)).when(is_iri(x), x)
+        return F.when(F.rlike(t, F.lit(V.ABSOLUTE_IRI)), t)
+
+    return _let(term(k), body)
 
 
 # ---- dates ----------------------------------------------------------------------------------
@@ -487,12 +561,12 @@ def iri(k: Any) -> Column:
 
 def _field(k: Any, pattern: str, cast: str) -> Column:
     """A field as written, without any shift to the session time zone."""
-    k = term(k)
-    t = lexical(k)
-    return F.when(
-        datatype_iri(k).isin(V.DATE, V.DATETIME) & F.rlike(t, F.lit(pattern)),
-        F.regexp_extract(t, pattern, 1).try_cast(cast),
-    )
+
+    def body(x: Column) -> Column:
+        found = F.regexp_extract(_typed_text(x), pattern, 1)
+        return F.when(_tail(x).isin(_TEMPORAL), found.try_cast(cast))
+
+    return _let(term(k), body)
 
 
 _DAY_RE = r"^-?\d{4,}-\d{2}-(\d{2})"
@@ -533,19 +607,23 @@ def now() -> Column:
 
 def order_key(k: Column) -> Column:
     """Sort key: unbound, blank nodes, IRIs, numbers, dates, booleans, then other literals."""
-    rank = (
-        F.when(k.isNull(), 0)
-        .when(is_blank(k), 1)
-        .when(is_iri(k), 2)
-        .when(num(k).isNotNull(), 3)
-        .when(timestamp(k).isNotNull(), 4)
-        .when(boolean(k).isNotNull(), 5)
-        .otherwise(6)
-    )
-    return F.struct(
-        rank.alias("rank"),
-        num(k).alias("num"),
-        timestamp(k).alias("ts"),
-        F.coalesce(lexical(k), k).alias("lex"),
-        k.alias("key"),
-    )
+
+    def body(x: Column) -> Column:
+        rank = (
+            F.when(x.isNull(), 0)
+            .when(is_blank(x), 1)
+            .when(is_iri(x), 2)
+            .when(num(x).isNotNull(), 3)
+            .when(timestamp(x).isNotNull(), 4)
+            .when(boolean(x).isNotNull(), 5)
+            .otherwise(6)
+        )
+        return F.struct(
+            rank.alias("rank"),
+            num(x).alias("num"),
+            timestamp(x).alias("ts"),
+            F.coalesce(lexical(x), x).alias("lex"),
+            x.alias("key"),
+        )
+
+    return _let(k, body)

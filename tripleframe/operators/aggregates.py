@@ -55,10 +55,14 @@ def sample(k: Column) -> Column:
 
 
 def group_concat(k: Column, separator: str = " ", distinct: bool = False) -> Column:
-    """Texts joined in text order, so that repeated runs agree."""
-    text = t.text(k)
-    joined = F.listagg_distinct(text, separator) if distinct else F.listagg(text, separator)
-    return joined
+    """Texts joined in text order, so that repeated runs agree. NULLs leave no trace.
+
+    A group becomes one value, so it has to fit one task: deduplicate first with
+    :meth:`Bindings.distinct` when a group may repeat the same texts very often.
+    """
+    gather = F.collect_set if distinct else F.collect_list
+    texts = F.array_sort(gather(t.text(k)))
+    return F.when(F.size(texts) > 0, F.array_join(texts, separator)).otherwise(F.lit(""))
 
 
 def group(
