@@ -304,7 +304,7 @@ def dedupe_reranked(reranked: DataFrame) -> DataFrame:
     cols = [c for c in usable.columns if c not in ("question_id", "iri", "rank")]
     best = F.max_by(F.struct(*cols, "rank"), F.struct(F.col("final_score"), -F.col("rank"))).alias("b")
     once = usable.groupBy("question_id", "iri").agg(best).select("question_id", "iri", "b.*")
-    window = Window.partitionBy("question_id").orderBy(F.desc("final_score"), F.asc("rank"))
+    window = Window.partitionBy("question_id").orderBy(F.desc("final_score"), F.asc("rank"), F.asc("iri"))
     return once.withColumn("rank", F.row_number().over(window) - 1)
 
 

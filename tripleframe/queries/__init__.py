@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,20 @@ class Registry:
 registry = Registry()
 
 
+def once(build: Run) -> Run:
+    """Build a graph view once per application and folder; queries then share the same plan."""
+    built: dict[tuple, DataFrame] = {}
+
+    @wraps(build)
+    def view(spark: SparkSession, folder: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in built:
+            built[key] = build(spark, folder)
+        return built[key]
+
+    return view
+
+
 def iri(kind: str, *columns: str) -> str:
     """SQL text of an entity IRI."""
     return "('http://example.org/" + kind + "'" + "".join(f" || '/' || {c}" for c in columns) + ")"

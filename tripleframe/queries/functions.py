@@ -8,8 +8,7 @@ from tripleframe import vocab as V
 from tripleframe.functions import terms as t
 from tripleframe.operators import patterns as P
 from tripleframe.queries import iri, registry
-from tripleframe.queries.graph import CUST, EX, ORDER, num, shop, text
-from tripleframe.sources import relational as R
+from tripleframe.queries.graph import CUST, EX, ORDER, documents, event_graph, melted_shop, shop
 
 add = registry.add
 c = F.col
@@ -119,7 +118,7 @@ UNION ALL SELECT 'total', true, false, false, true, 'http://www.w3.org/2001/XMLS
 UNION ALL SELECT 'segment', true, false, false, false, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString' FROM customer) GROUP BY p""")
 def type_tests_and_datatype(spark, d):
     names = ["size", "brand", "placedBy", "placedOn", "total", "segment"]
-    g = R.shop_graph(spark, d, melted=True).where(c("p").isin([EX + x for x in names]))
+    g = melted_shop(spark, d).where(c("p").isin([EX + x for x in names]))
     o = c("o")
     return P.pattern(g, "?s", "?p", "?o").df.groupBy(F.substring_index("p", "/", -1).alias("p")).agg(
         F.bool_and(t.is_literal(o)).alias("lit"), F.bool_and(t.is_iri(o)).alias("res"), F.bool_or(t.is_blank(o)).alias("blank"),
@@ -129,13 +128,13 @@ def type_tests_and_datatype(spark, d):
 
 @add("SELECT lang, lang IN ('en', 'fr') AS wanted, true AS some_tag, count(*) AS n FROM documents GROUP BY 1")
 def language_functions(spark, d):
-    b = P.pattern(R.document_graph(spark, d), "?doc", V.DEFAULT_PREFIXES["dct"] + "title", "?title", graph="?g")
+    b = P.pattern(documents(spark, d), "?doc", V.DEFAULT_PREFIXES["dct"] + "title", "?title", graph="?g")
     tag = t.lang(c("title"))
     wanted = t.or_(t.lang_matches(tag, "EN"), t.lang_matches(tag, "fr"))
     return b.df.groupBy(t.text(tag).alias("lang"), wanted.alias("wanted"), t.lang_matches(tag, "*").alias("some_tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@add(f"""SELECT {CUST} AS c, abs(floor(-c_acctbal / 1000)) AS a, ceil(c_acctbal / 1000) AS up, floor(c_acctbal / 1000) AS down, floor(-c_acctbal / 1000 + 0.5) AS half FROM customer""")
+@add(f"""SELECT {CUST} AS c, abs(floor(-c_acctbal / 1000)) AS a, CASE WHEN ceil(c_acctbal / 1000) = 0 THEN 0.0 ELSE ceil(c_acctbal / 1000) END AS up, floor(c_acctbal / 1000) AS down, CASE WHEN c_acctbal / 1000 > 0.5 THEN floor(-c_acctbal / 1000 + 0.5) ELSE abs(floor(-c_acctbal / 1000 + 0.5)) END AS half FROM customer""")
 def rounding_functions(spark, d):
     k = t.divide(c("b"), 1000)
     return customers(spark, d).df.select(
@@ -162,13 +161,13 @@ def make_iri(spark, d):
 
 @add(f"SELECT {iri('doc', 'doc_id')} AS doc, regexp_matches(text, '[0-9]{{4}}') AS digits, regexp_matches(text, '^the ', 'i') AS opens FROM documents")
 def regex_function(spark, d):
-    b = P.pattern(R.document_graph(spark, d), "?doc", V.DEFAULT_PREFIXES["dct"] + "title", "?title", graph="?g")
+    b = P.pattern(documents(spark, d), "?doc", V.DEFAULT_PREFIXES["dct"] + "title", "?title", graph="?g")
     return b.df.select("doc", t.regex(c("title"), "[0-9]{4}").alias("digits"), t.regex(c("title"), "^the ", "i").alias("opens"))
 
 
 @add("""SELECT event_id AS k, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS mo, CAST(day(ts) AS BIGINT) AS dd, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi, CAST(second(ts) AS DOUBLE) AS se, true AS past FROM events""")
 def date_fields(spark, d):
-    b = P.pattern(R.event_graph(spark, d), "?e", EX + "at", "?at")
+    b = P.pattern(event_graph(spark, d), "?e", EX + "at", "?at")
     at = c("at")
     whole = {"y": t.year(at), "mo": t.month(at), "dd": t.day(at), "h": t.hours(at), "mi": t.minutes(at)}
     return b.df.select(

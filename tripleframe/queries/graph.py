@@ -10,7 +10,7 @@ from tripleframe.operators import aggregates as A
 from tripleframe.operators import forms, paths
 from tripleframe.operators import patterns as P
 from tripleframe.operators.bindings import Bindings, values
-from tripleframe.queries import iri, registry
+from tripleframe.queries import iri, once, registry
 from tripleframe.sources import relational as R
 
 EX = V.EX
@@ -18,10 +18,22 @@ add = registry.add
 c = F.col
 
 
+@once
 def shop(spark, d):
     return R.shop_graph(spark, d)
 
 
+@once
+def melted_shop(spark, d):
+    return R.shop_graph(spark, d, melted=True)
+
+
+documents = once(R.document_graph)
+replies_graph = once(R.reply_graph)
+contains = once(R.contains_graph)
+event_graph = once(R.event_graph)
+
+
 def num(name, digits=2):
     return F.round(t.num(c(name)), digits).alias(name)
 
@@ -55,7 +67,7 @@ UNION ALL SELECT 'http://example.org/' || k, n FROM (SELECT count(*) AS n FROM o
 UNION ALL SELECT 'http://www.w3.org/2000/01/rdf-schema#label', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)
 UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM orders)""")
 def variable_predicate(spark, d):
-    b = P.pattern(R.shop_graph(spark, d, melted=True), "?s", "?p", "?o")
+    b = P.pattern(melted_shop(spark, d), "?s", "?p", "?o")
     return A.group(b, ["p"], {"n": A.count_rows()}).df
 
 
@@ -106,14 +118,14 @@ def nested_group(spark, d):
 
 @add(f"SELECT {iri('doc', 'doc_id')} AS doc, lang FROM documents WHERE source = 'src3'")
 def named_graph_constant(spark, d):
-    b = P.pattern(R.document_graph(spark, d), "?doc", V.DEFAULT_PREFIXES["dct"] + "title", "?title", graph=EX + "graph/src3")
+    b = P.pattern(documents(spark, d), "?doc", V.DEFAULT_PREFIXES["dct"] + "title", "?title", graph=EX + "graph/src3")
     return b.df.select("doc", t.lang_text(c("title")).alias("lang"))
 
 
 @add(f"SELECT {iri('graph', 'source')} AS g, count(*) AS docs, CAST(sum(n_chars) AS DOUBLE) AS chars FROM documents GROUP BY source")
 def named_graph_variable(spark, d):
     b = P.bgp(
-        R.document_graph(spark, d), [("?doc", V.RDF_TYPE, EX + "Document"), ("?doc", EX + "length", "?n")], graph="?g"
+        documents(spark, d), [("?doc", V.RDF_TYPE, EX + "Document"), ("?doc", EX + "length", "?n")], graph="?g"
     )
     return A.group(b, ["g"], {"docs": A.count(c("doc")), "chars": A.sum_(c("n"))}).df
 
@@ -147,8 +159,8 @@ SELECT {iri('graph', 'source')} AS g, count(*) AS n FROM documents
 WHERE source IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey = 2) GROUP BY 1
 UNION ALL SELECT NULL, count(*) FROM region""")
 def graph_allowlist(spark, d):
-    docs = R.document_graph(spark, d).where(c("p") == V.RDF_TYPE)
-    regions = R.shop_graph(spark, d).where((c("p") == V.RDF_TYPE) & (c("o") == EX + "Region"))
+    docs = documents(spark, d).where(c("p") == V.RDF_TYPE)
+    regions = shop(spark, d).where((c("p") == V.RDF_TYPE) & (c("o") == EX + "Region"))
     nation = R.read_tables(spark, d, "nation")["nation"].where("n_regionkey = 2")
     allowed = nation.select(F.concat(F.lit(EX + "graph/src"), c("n_nationkey")).alias("g"))
     kept = P.allow_graphs(docs.unionByName(regions), allowed)
@@ -178,7 +190,7 @@ SELECT r_name AS region, count(DISTINCT o) AS orders, count(*) AS parts FROM (SE
 JOIN orders ON o = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 GROUP BY r_name""")
 def five_hop_join(spark, d):
-    g = shop(spark, d).unionByName(R.contains_graph(spark, d))
+    g = shop(spark, d).unionByName(contains(spark, d))
     b = P.bgp(
         g,
         [
@@ -192,7 +204,7 @@ def five_hop_join(spark, d):
 
 @add(f"SELECT {CUST} AS c, c_name AS name, c_mktsegment AS seg, round(c_acctbal, 2) AS bal FROM customer")
 def star_join(spark, d):
-    g = R.shop_graph(spark, d, melted=True)
+    g = melted_shop(spark, d)
     b = P.star(g, "?c", {V.RDFS_LABEL: "?name", EX + "segment": "?seg", EX + "balance": "?bal"})
     return b.df.select("c", text("name"), text("seg"), num("bal"))
 
@@ -390,7 +402,7 @@ UNION SELECT {iri('nation', 'n_nationkey')}, {iri('nation', 'n_nationkey')} FROM
 UNION SELECT {iri('region', 'r_regionkey')}, {iri('region', 'r_regionkey')} FROM region
 UNION SELECT 'http://example.org/nowhere', 'http://example.org/nowhere'""")
 def path_zero_or_one(spark, d):
-    g = R.shop_graph(spark, d).where(c("p") == EX + "inRegion")
+    g = shop(spark, d).where(c("p") == EX + "inRegion")
     return paths.zero_or_one(paths.edges(g, EX + "inRegion"), paths.nodes(g, constants=[EX + "nowhere"]))
 
 
@@ -403,19 +415,19 @@ def _roots(replies):
 
 @add(f"{_TURN} SELECT {iri('turn', 'c', 'root')} AS s, {iri('turn', 'c', 'n')} AS o FROM r")
 def path_one_or_more_from_start(spark, d):
-    replies = paths.edges(R.reply_graph(spark, d), EX + "repliesTo")
+    replies = paths.edges(replies_graph(spark, d), EX + "repliesTo")
     return paths.reach(paths.inverse(replies), _roots(replies))
 
 
 @add(f"{_TURN} SELECT {iri('turn', 'c', 'root')} AS s, {iri('turn', 'c', 'n')} AS o FROM r UNION SELECT {iri('turn', 'c', '0')}, {iri('turn', 'c', '0')} FROM e WHERE p = 0")
 def path_zero_or_more_from_start(spark, d):
-    replies = paths.edges(R.reply_graph(spark, d), EX + "repliesTo")
+    replies = paths.edges(replies_graph(spark, d), EX + "repliesTo")
     return paths.reach(paths.inverse(replies), _roots(replies), include_start=True)
 
 
 @add(f"{_TURN} SELECT DISTINCT {iri('turn', 'c', 'root')} AS s, {iri('turn', 'c', 'n')} AS o FROM r WHERE hops <= 3")
 def path_bounded(spark, d):
-    replies = paths.edges(R.reply_graph(spark, d), EX + "repliesTo")
+    replies = paths.edges(replies_graph(spark, d), EX + "repliesTo")
     return paths.reach(paths.inverse(replies), _roots(replies), max_hops=3, on_limit="stop")
 
 

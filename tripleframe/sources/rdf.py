@@ -10,7 +10,8 @@ from tripleframe.functions import terms as t
 
 # The statement grammar of the two line formats.
 _NODE = r"<[^>\s]*>|_:[^\s<>\"]+"
-_LITERAL = r'"(?:[^"\\\n]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^>\s]*>)?'
+# Possessive loops: the regex engine runs them without recursion, whatever the length of the text.
+_LITERAL = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^>\s]*>)?'
 STATEMENT = (
     rf"^\s*({_NODE})\s*<([^>\s]*)>\s*({_NODE}|{_LITERAL})\s*({_NODE})?\s*\.\s*(?:#.*)?$"
 )
