@@ -51,7 +51,15 @@ def contained_pairs(
         hits = met.where(F.contains(F.col("__key"), F.col("__needle")))
     else:
         source = texts.select(F.col(key).alias("__key"), body.alias("__text"))
-        hits = met.join(source, "__key").where(F.contains(F.col("__text"), F.col("__needle")))
+        # Up to three characters the shared gram is the needle itself, so nothing is left to verify.
+        sure = met.where(F.length("__needle") <= 3)
+        hits = (
+            met.where(F.length("__needle") > 3)
+            .join(source, "__key")
+            .where(F.contains(F.col("__text"), F.col("__needle")))
+            .select("__key", "__needle")
+            .unionByName(sure)
+        )
     return hits.select(F.col("__key").alias(key), F.col("__needle").alias(needle))
 
 

@@ -55,10 +55,10 @@ def values_match(expected: Column, actual: Column, prefixes: dict[str, str] | No
 
 
 def comparable(c: Column, prefixes: dict[str, str] | None = None) -> Column:
-    """Keys that two matching values share at least one of; lets a join find them by equality."""
+    """Keys of a value. Two values match, as in :func:`values_match`, when they share one."""
     table = {**V.EVAL_PREFIXES, **(prefixes or {})}
     body = c.substr(F.lit(2), F.instr(c, '"^^') - F.lit(2))
-    bare = F.when(c.startswith('"') & c.contains('"^^'), body)
+    bare = F.when(c.startswith('"') & c.contains('"^^'), body).otherwise(c)
     number = c.try_cast("double") + F.lit(0.0)
     return F.array_distinct(
         F.array_compact(
@@ -66,35 +66,28 @@ def comparable(c: Column, prefixes: dict[str, str] | None = None) -> Column:
                 F.concat(F.lit("t:"), c),
                 F.concat(F.lit("t:"), expand_prefixed(c, table)),
                 F.concat(F.lit("n:"), number.cast("string")),
-                F.concat(F.lit("t:"), bare),
+                F.concat(F.lit("b:"), bare),
             )
         )
     )
 
 
-def _melt(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select("case_id", key, F.explode("bindings").alias("name", "value"))
-
-
 def _plain_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[?$]", ""))
 
 
-def _row_matches(prefixes: dict[str, str] | None) -> Column:
+def _row_matches() -> Column:
     """Whether map ``bindings`` answers map ``wanted``; ``extra`` maps names to further aliases.
 
-    Every wanted column takes a different answer column: one with a permitted name if any is left,
-    else any other. All ways to choose are followed as sets of used columns, which stay few because
-    a row has few columns.
+    Both maps hold the :func:`comparable` keys of their values. Every wanted column takes a
+    different answer column: one with a permitted name if any is left, else any other. All ways to
+    choose are followed as sets of used columns, which stay few because a row has few columns.
     """
     none = F.array().cast("array<string>")
     pairs = [x for k, v in VARIABLE_ALIASES.items() for x in (F.lit(k), F.split(F.lit(v), " "))]
     defaults = F.create_map(*pairs)
     columns = F.map_keys("bindings")
 
-    def fits(value: Column, name: Column) -> Column:
-        return values_match(value, F.element_at("bindings", name), prefixes)
-
     def named(wanted: Column) -> Column:
         key = _plain_name(wanted)
         allowed = F.concat(
@@ -107,20 +100,16 @@ def _row_matches(prefixes: dict[str, str] | None) -> Column:
         def choices(used: Column) -> Column:
             left = F.array_except(named(entry["key"]), used)
             pool = F.when(F.size(left) > 0, left).otherwise(F.array_except(columns, used))
-            return F.transform(
-                F.filter(pool, lambda c: fits(entry["value"], c)),
-                lambda c: F.array_sort(F.array_append(used, c)),
-            )
+            fitting = F.filter(pool, lambda c: F.arrays_overlap(entry["value"], F.element_at("bindings", c)))
+            return F.transform(fitting, lambda c: F.array_sort(F.array_append(used, c)))
 
         return F.array_distinct(F.flatten(F.transform(states, choices)))
 
-    start = F.array(none)
-    assigned = F.aggregate(F.map_entries("wanted"), start, extend)
+    assigned = F.aggregate(F.map_entries("wanted"), F.array(none), extend)
+    absent = F.array(F.lit("t:"), F.lit("b:"))
     direct = F.forall(
         F.map_entries("wanted"),
-        lambda e: values_match(
-            e["value"], F.coalesce(F.try_element_at("bindings", e["key"]), F.lit("")), prefixes
-        ),
+        lambda e: F.arrays_overlap(e["value"], F.coalesce(F.try_element_at("bindings", e["key"]), absent)),
     )
     return direct | (F.size(assigned) > 0)
 
@@ -138,29 +127,27 @@ def match_bindings(
     only rows with a value for every wanted column are looked at closely.
     ``actual(case_id, row_id, bindings map)``, ``aliases(case_id, name, other)``.
     """
-    want = expected.select("case_id", "expected_id", F.size("bindings").alias("n"))
-    e = _melt(expected, "expected_id").select(
-        "case_id", "expected_id", F.col("name").alias("e_name"), F.col("value").alias("e_value"),
-        F.explode(comparable(F.col("value"), prefixes)).alias("key"),
-    )
-    a = _melt(actual, "row_id").select(
-        "case_id", "row_id", F.col("value").alias("a_value"),
-        F.explode(comparable(F.col("value"), prefixes)).alias("key"),
+    keyed = F.transform_values("bindings", lambda _, v: comparable(v, prefixes))
+    want = expected.select("case_id", "expected_id", F.size("bindings").alias("n"), keyed.alias("wanted"))
+    have = actual.select("case_id", "row_id", keyed.alias("bindings"))
+    e = want.select("case_id", "expected_id", "n", F.explode("wanted").alias("e_name", "keys"))
+    e = e.select("case_id", "expected_id", "n", "e_name", F.explode("keys").alias("key"))
+    a = have.select(
+        "case_id", "row_id",
+        F.explode(F.array_distinct(F.flatten(F.map_values("bindings")))).alias("key"),
     )
     met = (
         e.join(a, ["case_id", "key"])
-        .where(values_match(F.col("e_value"), F.col("a_value"), prefixes))
-        .groupBy("case_id", "expected_id", "row_id")
+        .groupBy("case_id", "expected_id", "row_id", "n")
         .agg(F.count_distinct("e_name").alias("k"))
-        .join(want, ["case_id", "expected_id"])
         .where(F.col("k") == F.col("n"))
     )
     single = met.where(F.col("n") == 1).select("case_id", "expected_id")
     close = (
         met.where(F.col("n") > 1)
         .select("case_id", "expected_id", "row_id")
-        .join(expected.withColumnRenamed("bindings", "wanted"), ["case_id", "expected_id"])
-        .join(actual, ["case_id", "row_id"])
+        .join(want.drop("n"), ["case_id", "expected_id"])
+        .join(have, ["case_id", "row_id"])
     )
     if aliases is None:
         close = close.withColumn("extra", F.create_map().cast("map<string,array<string>>"))
@@ -170,9 +157,9 @@ def match_bindings(
             F.map_from_entries(F.collect_list(F.struct("name", "others"))).alias("extra")
         )
         close = close.join(extra, "case_id", "left")
-    several = close.where(_row_matches(prefixes)).select("case_id", "expected_id")
+    several = close.where(_row_matches()).select("case_id", "expected_id")
     hit = single.unionByName(several).distinct().withColumn("matched", F.lit(True))
-    return want.join(hit, ["case_id", "expected_id"], "left").select(
+    return want.drop("wanted").join(hit, ["case_id", "expected_id"], "left").select(
         "case_id", "expected_id", "n", F.coalesce("matched", F.lit(False)).alias("matched")
     )
 

@@ -12,8 +12,9 @@ from tripleframe.functions import terms as t
 _NODE = r"<[^>\s]*>|_:[^\s<>\"]+"
 # Possessive loops: the regex engine runs them without recursion, whatever the length of the text.
 _LITERAL = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^>\s]*>)?'
+_SUFFIX = r"(@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^>\s]*>)?"
 STATEMENT = (
-    rf"^\s*({_NODE})\s*<([^>\s]*)>\s*({_NODE}|{_LITERAL})\s*({_NODE})?\s*\.\s*(?:#.*)?$"
+    rf"^\s*({_NODE})\s*<([^>\s]*)>\s*((?:{_NODE}|{_LITERAL})\s*(?:{_NODE})?)\s*\.\s*(?:#.*)?$"
 )
 
 
@@ -44,32 +45,46 @@ def _node(c: Column) -> Column:
     return F.when(c.startswith("<"), unescape(c.substr(F.lit(2), F.length(c) - F.lit(2)))).otherwise(c)
 
 
-def _object(c: Column) -> Column:
-    tail = F.substring_index(c, '"', -1)
-    body = c.substr(F.lit(2), F.length(c) - F.length(tail) - F.lit(2))
-    datatype = tail.substr(F.lit(4), F.length(tail) - F.lit(4))
+def _object(rest: Column) -> Column:
+    tail = F.substring_index(rest, '"', -1)
+    body = rest.substr(F.lit(2), F.length(rest) - F.length(tail) - F.lit(2))
+    given = F.regexp_extract(tail, rf"^{_SUFFIX}", 1)
+    datatype = given.substr(F.lit(4), F.length(given) - F.lit(4))
     suffix = (
-        F.when(tail.startswith("@"), F.lower(tail))
-        .when(tail == "", F.lit(""))
-        .when(datatype == V.XSD + "string", F.lit(""))
+        F.when(given.startswith("@"), F.lower(given))
+        .when((given == "") | (datatype == V.XSD + "string"), F.lit(""))
         .otherwise(F.concat(F.lit("^^"), datatype))
     )
     literal = F.concat(F.lit('"'), unescape(body), F.lit('"'), suffix)
-    return F.when(c.startswith('"'), literal).otherwise(_node(c))
+    return F.when(rest.startswith('"'), literal).otherwise(
+        _node(F.regexp_extract(rest, rf"^({_NODE})", 1))
+    )
+
+
+def _graph(rest: Column) -> Column:
+    after_literal = F.regexp_extract(
+        F.substring_index(rest, '"', -1), rf"^{_SUFFIX}\s*({_NODE})?$", 2
+    )
+    after_node = F.regexp_extract(rest, rf"^(?:{_NODE})\s*({_NODE})?$", 1)
+    name = F.when(rest.startswith('"'), after_literal).otherwise(after_node)
+    return F.when(name != "", _node(name))
 
 
 def parse_statements(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Statement lines to ``(g, s, p, o, line)``; ``s`` is NULL for a line that does not parse."""
+    """Statement lines to ``(g, s, p, o, line)``; ``s`` is NULL for a line that does not parse.
+
+    Long texts are matched as a whole once. Subject and predicate are read from the front of the
+    line, language, datatype and graph from the short end behind the text.
+    """
     raw = lines.where(~F.rlike(F.col(column), F.lit(r"^\s*(#.*)?$"))).select(
-        F.col(column).alias("line")
+        F.col(column).alias("line"), F.regexp_extract(column, STATEMENT, 3).alias("rest")
     )
-    part = [F.regexp_extract("line", STATEMENT, i) for i in range(1, 5)]
-    ok = F.rlike(F.col("line"), F.lit(STATEMENT))
+    ok, rest = F.col("rest") != "", F.col("rest")
     return raw.select(
-        F.when(ok & (part[3] != ""), _node(part[3])).alias("g"),
-        F.when(ok, _node(part[0])).alias("s"),
-        F.when(ok, unescape(part[1])).alias("p"),
-        F.when(ok, _object(part[2])).alias("o"),
+        F.when(ok, _graph(rest)).alias("g"),
+        F.when(ok, _node(F.regexp_extract("line", rf"^\s*({_NODE})", 1))).alias("s"),
+        F.when(ok, unescape(F.regexp_extract("line", rf"^\s*(?:{_NODE})\s*<([^>\s]*)>", 1))).alias("p"),
+        F.when(ok, _object(rest)).alias("o"),
         "line",
     )
 
