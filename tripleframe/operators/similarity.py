@@ -11,24 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleframe.functions import text as tx
+from tripleframe.session import broadcast_if_small, use_all_cores
 
 # ---- containment ----------------------------------------------------------------------------
 
 
+ANCHOR = 5
+
+
 def contained_pairs(
     texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str, min_length: int = 1
 ) -> DataFrame:
     """All ``(key, needle)`` with the needle a substring of the text.
 
-    A needle inside a text brings each of its 3-character grams along, so one gram per needle, the
-    rarest among all needles, is enough to meet on. Shorter needles are their own gram. Texts are
-    expanded to grams without carrying the text; it is fetched again only for candidates.
+    A needle inside a text brings each of its five-character grams along, so one gram per needle,
+    the rarest among all needles, is enough to meet on. Shorter needles are their own gram. Texts
+    are expanded to grams without carrying the text; it is fetched again only for candidates.
     """
     wanted = needles.select(F.col(needle).alias("__needle")).where(
         F.length("__needle") >= min_length
     ).distinct()
-    long = wanted.where(F.length("__needle") >= 3).withColumn(
-        "__gram", F.explode(tx.grams(F.col("__needle"), 3))
+    long = wanted.where(F.length("__needle") > ANCHOR).withColumn(
+        "__gram", F.explode(tx.grams(F.col("__needle"), ANCHOR))
     )
     common = long.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"))
     anchors = (
@@ -37,24 +41,27 @@ def contained_pairs(
         .agg(F.min(F.struct("__df", "__gram")).alias("__a"))
         .select("__needle", F.col("__a.__gram").alias("__gram"))
     )
-    sizes = [3]
-    if min_length < 3:
-        short = wanted.where(F.length("__needle") < 3)
-        anchors = anchors.unionByName(short.withColumn("__gram", F.col("__needle")))
-        sizes = list(range(max(min_length, 1), 4))
+    short = wanted.where(F.length("__needle") <= ANCHOR)
+    anchors = anchors.unionByName(short.withColumn("__gram", F.col("__needle")))
+    sizes = range(max(min_length, 1), ANCHOR + 1)
     body = F.col(text)
+    if key != text:
+        texts = use_all_cores(texts, key)
     expanded = texts.select(
         F.col(key).alias("__key"), F.explode(F.concat(*[tx.grams(body, n) for n in sizes])).alias("__gram")
     )
+    if key != text:
+        # Long texts make very many grams; with few needles they need not be shuffled at all.
+        anchors = broadcast_if_small(anchors)
     met = expanded.join(anchors, "__gram").select("__key", "__needle")
     if key == text:
         hits = met.where(F.contains(F.col("__key"), F.col("__needle")))
     else:
         source = texts.select(F.col(key).alias("__key"), body.alias("__text"))
-        # Up to three characters the shared gram is the needle itself, so nothing is left to verify.
-        sure = met.where(F.length("__needle") <= 3)
+        # A short needle is the shared gram itself, so nothing is left to verify.
+        sure = met.where(F.length("__needle") <= ANCHOR)
         hits = (
-            met.where(F.length("__needle") > 3)
+            met.where(F.length("__needle") > ANCHOR)
             .join(source, "__key")
             .where(F.contains(F.col("__text"), F.col("__needle")))
             .select("__key", "__needle")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -31,3 +32,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise ``df``, measure it, and mark it for broadcast only when it is small enough.
+
+    For a derived side whose size the optimiser cannot know before the other, much larger side has
+    been shuffled. Beyond the bound the frame is returned unmarked and joins by shuffle.
+    """
+    written = cut_lineage(df)
+    row = F.lit(16)
+    for name, kind in written.dtypes:
+        row = row + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(16))
+    size = written.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(written) if size <= max_bytes else written
+
+
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows by ``key`` when there are fewer input partitions than cores.
+
+    For work that is heavy per row on inputs of a few files. A large input has more partitions than
+    cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
