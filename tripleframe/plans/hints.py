@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.functions import text as tx
+from tripleframe.session import broadcast_if_small
 
 # Cue words of each rule.
 AGE_CUES = r"(?iU)\b(oldest|youngest|age|years|year-old)\b"
@@ -81,7 +82,12 @@ def employment(questions: DataFrame, selected: DataFrame, terms: DataFrame) -> D
     to_company = to_company.groupBy("property_iri").agg(F.min("object_type").alias("object_type"))
     asked = cued(questions, EMPLOYMENT_CUES)
     general = domains(props).join(people, "subject_type", "left_semi").join(to_company, "property_iri")
-    by_class = asked.withColumn("cue", F.lit(1)).join(general.withColumn("cue", F.lit(1)), "cue").drop("cue")
+    # Every cued question gets every such property: the result is that large by definition, and the
+    # property side is measured before it is broadcast.
+    rule = F.lit("employment")
+    by_class = asked.withColumn("rule", rule).join(
+        broadcast_if_small(general.withColumn("rule", rule)), "rule"
+    )
     named = selected.where(F.col("kind") == "individual").select(
         "question_id", F.col("iri").alias("subject_type")
     )
@@ -136,7 +142,7 @@ def named_property(questions: DataFrame, terms: DataFrame) -> DataFrame:
         )
     )
     asked = questions.select("question_id", F.explode(cues).alias("rule"))
-    joined = asked.join(props, "rule")
+    joined = asked.join(broadcast_if_small(props), "rule")
     order = F.create_map(*[F.lit(x) for r, (o, _) in RULES.items() for x in (r, o)])
     score = F.create_map(*[F.lit(x) for r, (_, s) in RULES.items() for x in (r, s)])
     return joined.select(

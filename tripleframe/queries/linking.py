@@ -14,6 +14,7 @@ from tripleframe.plans import discovery, hints, linking, mentions
 from tripleframe.operators.similarity import contained_pairs
 from tripleframe.queries import once, registry
 from tripleframe.queries.graph import EX
+from tripleframe.session import cut_lineage
 from tripleframe.sources import relational as R
 
 add = registry.add
@@ -233,7 +234,8 @@ def people_schema(spark, d):
     used = g.where(c("p") == V.RDF_TYPE).select("o").distinct()
     labels = R.triples(used, c("o"), {V.RDFS_LABEL: t.string_term(tx.last_segment(c("o")))})
     schema = discovery.snapshot(g.unionByName(labels))
-    return schema.where(c("kind").isin("class", "property"))
+    # Small and read many times: discover once, continue from the written rows.
+    return cut_lineage(schema.where(c("kind").isin("class", "property")))
 
 
 _E = "'http://example.org/"

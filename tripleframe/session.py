@@ -46,7 +46,8 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     written = cut_lineage(df)
     row = F.lit(16)
     for name, kind in written.dtypes:
-        row = row + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(16))
+        wide = F.col(name).cast("string") if kind != "string" else F.col(name)
+        row = row + F.coalesce(F.octet_length(wide), F.lit(0))
     size = written.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
     return F.broadcast(written) if size <= max_bytes else written
 
