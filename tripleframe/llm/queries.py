@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm import mixing, quality_rules
+from tripleframe.llm import bpe, mixing, near_dedup, quality_rules
 from tripleframe.llm.common import table
 from tripleframe.queries import Registry
 
@@ -73,3 +73,13 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies"
     )
+
+
+@registry.add()
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"))
+
+
+@registry.add()
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
