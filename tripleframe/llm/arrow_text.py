@@ -40,8 +40,10 @@ FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 STEP = U(0x9E3779B97F4A7C15 | 1)
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, ends) of as many texts as fit ``limit``, one at least. Null is empty."""
+def chunks(
+    column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 4096
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, ends) of as many texts as fit the limits, one at least. Null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     if n == 0:
@@ -52,7 +54,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
     row = 0
     while row < n:
         stop = int(np.searchsorted(ends, ends[row] + limit, side="right")) - 1
-        stop = min(max(stop, row + 1), n)
+        stop = min(max(stop, row + 1), row + rows, n)
         yield row, stop, raw[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
         row = stop
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm import bpe, mixing, near_dedup, quality_rules
+from tripleframe.llm import bpe, language, mixing, near_dedup, quality_rank, quality_rules
 from tripleframe.llm.common import table
 from tripleframe.queries import Registry
 
@@ -80,6 +80,16 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"))
 
 
+@registry.add()
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
+@registry.add()
+def op9_quality_rank(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rank.rank_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @registry.add()
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
