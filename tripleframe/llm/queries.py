@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm import bpe, language, mixing, near_dedup, quality_rank, quality_rules
+from tripleframe.llm import bpe, chat, language, mixing, near_dedup, quality_rank, quality_rules
 from tripleframe.llm.common import table
 from tripleframe.queries import Registry
 
@@ -80,6 +80,19 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"))
 
 
+@registry.add(
+    """
+    SELECT conv_id, turn, 0::INTEGER AS part, role, 0::INTEGER AS kind, NULL::VARCHAR AS call_id, 0::INTEGER AS level,
+      turn AS order_turn, NULL::BIGINT AS linked_turn, 'ok' AS status,
+      CAST(json_object('content', coalesce(text, ''), 'role', role) AS VARCHAR) AS json
+    FROM conversations
+    WHERE NOT (coalesce(role, '') IN ('assistant', 'tool') AND text LIKE '{%')
+    """
+)
+def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
 @registry.add()
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
