@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm import bpe, chat, fingerprints, language, mixing, near_dedup, quality_rank, quality_rules
+from tripleframe.llm import bpe, chat, fingerprints, language, mixing, near_dedup, pii, quality_rank, quality_rules
 from tripleframe.llm.common import table
 from tripleframe.queries import Registry
 
@@ -80,6 +80,11 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, folder, "documents"))
 
 
+@registry.add()
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.counts_and_spans(table(spark, folder, "documents"))
+
+
 @registry.add()
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"))
