@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm import bpe, chat, fingerprints, language, mixing, near_dedup, pii, quality_rank, quality_rules
+from tripleframe.llm import bpe, chat, fingerprints, language, line_dedup, mixing, near_dedup, pii, quality_rank, quality_rules
 from tripleframe.llm.common import table
 from tripleframe.queries import Registry
 
@@ -26,6 +26,19 @@ def _rules_sql() -> str:
     return " AND ".join(parts)
 
 
+@registry.add()
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    sizes = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    removed = line_dedup.removed_lines(docs)
+    return sizes.join(removed, "doc_id", "left").select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
+    )
+
+
 @registry.add(
     rf"""
     WITH d AS (
