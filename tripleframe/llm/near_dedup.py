@@ -7,8 +7,10 @@ coordinates are cut into bands; documents that share a band meet.
 Nothing compares all members of a bucket:
 
 1. Documents with equal sets form one class; from here on only the smallest id of a class is handled.
-2. Every member of a bucket is compared with the smallest id of the bucket. Exact links give components.
-3. What is left of a bucket are members outside the component of its smallest id. Only these meet the other members of
+2. Runs that no other of the remaining documents has cannot be common to a pair. Counting them once per document bounds
+   the overlap of every pair from above, exactly, and drops most of the near misses of large groups.
+3. Every member of a bucket is compared with the smallest id of the bucket. Exact links give components.
+4. What is left of a bucket are members outside the component of its smallest id. Only these meet the other members of
    the bucket, and only across components: a link inside a component would change nothing.
 
 So each pair that shares a band is verified on full sets or already connected. With 24 bands of 5 a pair at a
@@ -129,8 +131,38 @@ def _set_batch(ids: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def _near_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(n: Column, shared: Column, other_n: Column, other_shared: Column, percent: int) -> Column:
+    """Necessary for a link: two sets have no more in common than either shares with any other document."""
+    most = F.least(shared, other_shared)
+    return (100 + percent) * most >= percent * (n + other_n)
+
+
+def _own_items(sets: DataFrame) -> DataFrame:
+    """(id, own): how many items of a document occur in no other of these documents."""
+    return (
+        sets.select("id", F.explode("items").alias("item"))
+        .groupBy("item")
+        .agg(F.count("*").alias("times"), F.min("id").alias("id"))
+        .filter("times = 1")
+        .groupBy("id")
+        .agg(F.count("*").alias("own"))
+    )
+
+
+def _foreign_items(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, foreign): how many items of a document occur in a document of another component.
+
+    ``named`` has (id, component). Items of one component are counted as such before they meet the documents again, and
+    only documents that still look for a link are asked about.
+    """
+    held = sets.join(named, "id").select("id", "component", "seeking", F.explode("items").alias("item"))
+    shared = (
+        held.groupBy("item")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("item")
+    )
+    return held.filter("seeking").join(shared, "item").groupBy("id").agg(F.count("*").alias("foreign"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,17 +216,29 @@ def near_duplicates(
         )
     )
     members = classes.select("id", "n", F.explode("bands").alias("key"))
-    heads = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
-    buckets = written(members.join(heads, "key").select("key", "id", "n", "head", "size"))
-
-    met = buckets.select(F.col("id").alias("doc_id")).distinct()
+    crowded = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    met = written(members.join(crowded, "key").select("key", "id", "n"))
     sets = written(
-        texts.join(met, "doc_id", "left_semi").mapInArrow(_full_sets(width), "id long, items array<long>")
+        texts.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
+            _full_sets(width), "id long, items array<long>"
+        )
     )
-    near = _near_size(F.col("n"), F.col("head")["n"], percent)
+    live = (
+        met.join(_own_items(sets), "id", "left")
+        .select("key", "id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+        .filter(100 * F.col("shared") >= percent * F.col("n"))
+    )
+    live = written(live)
+    heads = live.groupBy("key").agg(
+        F.min("id").alias("head_id"),
+        F.min_by("n", "id").alias("head_n"),
+        F.min_by("shared", "id").alias("head_shared"),
+        F.count("*").alias("size"),
+    )
+    buckets = live.join(heads.filter("size > 1"), "key").filter("id <> head_id")
     first_pairs = (
-        buckets.filter((F.col("id") != F.col("head")["id"]) & near)
-        .select(F.col("head")["id"].alias("a"), F.col("id").alias("b"))
+        buckets.filter(_may_link(F.col("n"), F.col("shared"), F.col("head_n"), F.col("head_shared"), percent))
+        .select(F.col("head_id").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
     first_links = written(verified(first_pairs, sets, percent))
@@ -202,27 +246,37 @@ def near_duplicates(
 
     of_head = labels.select(F.col("id").alias("head_id"), F.col("component").alias("head_component"))
     named = (
-        buckets.filter((F.col("size") > 2) & (F.col("id") != F.col("head")["id"]))
-        .select("key", "id", "n", F.col("head")["id"].alias("head_id"))
+        buckets.filter("size > 2")
         .join(labels, "id", "left")
         .join(of_head, "head_id", "left")
+        .join(classes.select("id", "bands"), "id")
         .select(
             "key",
             "id",
             "n",
+            "shared",
+            "bands",
             F.coalesce("component", "id").alias("component"),
             F.coalesce("head_component", "head_id").alias("head_component"),
         )
     )
     named = written(named)
-    apart = named.filter("component <> head_component")
+    who = named.groupBy("id", "component").agg(F.max(F.col("component") != F.col("head_component")).alias("seeking"))
+    foreign = _foreign_items(sets, who)
+    apart = (
+        named.filter("component <> head_component")
+        .join(foreign, "id")
+        .withColumn("shared", F.least("shared", "foreign"))
+        .filter(100 * F.col("shared") >= percent * F.col("n"))
+    )
     x, y = apart.alias("x"), named.alias("y")
     across = (
         x.join(
             y,
             (F.col("x.key") == F.col("y.key"))
             & (F.col("x.component") != F.col("y.component"))
-            & _near_size(F.col("x.n"), F.col("y.n"), percent),
+            & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key"))
+            & _may_link(F.col("x.n"), F.col("x.shared"), F.col("y.n"), F.col("y.shared"), percent),
         )
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
