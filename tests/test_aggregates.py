@@ -56,3 +56,18 @@ def test_empty_input_and_expression_keys(b, spark):
     assert A.group(none, ["g"], {"n": A.count_rows()}).df.count() == 0
     keyed = A.group(b, [("k", F.coalesce("g", F.lit("none")))], {"n": A.count_rows()}, having=[F.col("n") > 0, F.col("n") < 4])
     assert {r["k"] for r in keyed.df.collect()} == {"g2", "none"}
+
+
+def test_typed_sums_and_means(spark):
+    dec = lambda x: t.literal_key(x, datatype=V.DECIMAL)
+    rows = [("i", t.literal_key(9007199254740993)), ("i", t.literal_key(-1)), ("i", t.literal_key(2)), ("d", dec("0.0000000001")), ("d", t.literal_key(3)),
+            ("d", dec("-0.5")), ("f", t.literal_key(1)), ("f", t.literal_key(0.5)), ("n", None), ("n", t.literal_key("x")), ("b", t.literal_key(10**20)), ("b", t.literal_key(1))]
+    b = Bindings(spark.createDataFrame(rows, "g string, x string"), [])
+    x = F.col("x")
+    got = by(A.group(b, ["g"], {"s": A.sum_term(x), "a": A.avg_term(x), "lo": A.min_(x)}), "s", "a")
+    assert got["i"] == (t.literal_key(9007199254740994), dec("3002399751580331." + "3" * 22))
+    assert got["d"] == (dec("2.5000000001"), dec("0.8333333333666666666666666666666666667"))
+    assert got["f"] == (t.literal_key(1.5), t.literal_key(0.75)) and got["n"] == (t.literal_key(0), t.literal_key(0))
+    assert got["b"][0] == t.literal_key(10**20 + 1)
+    low = Bindings(spark.createDataFrame([(t.literal_key(v),) for v in (-9007199254740993, -9007199254740992)], "x string"), [])
+    assert A.group(low, [], {"m": A.min_(x)}).df.first()["m"] == t.literal_key(-9007199254740993)

@@ -115,8 +115,11 @@ def test_binding_matches(spark):
     assert not matched(spark, [{"person": alice}], {"person": "ex:dan"})
     assert not matched(spark, [{"only": alice}], {"a": "ex:alice", "b": "ex:alice"})
     assert matched(spark, [{"n": "2.0"}], {"count": "2"}) and matched(spark, [{"n": '"7"^^http://x'}], {"n": "7"})
-    assert matched(spark, [{"X": alice, "Q": bob}], {"a": "ex:alice", "zed": "ex:bob"}, [("a", "X")])
-    assert matched(spark, [{"q1": bob, "q2": alice}], {"u": "ex:alice", "v": "ex:bob"})
+    # columns need a name or an alias; there is no search over other columns
+    assert matched(spark, [{"X": alice, "Q": bob}], {"a": "ex:alice", "zed": "ex:bob"}, [("a", "X"), ("zed", "Q")])
+    assert not matched(spark, [{"X": alice, "Q": bob}], {"a": "ex:alice", "zed": "ex:bob"}, [("a", "X")])
+    assert not matched(spark, [{"q1": bob, "q2": alice}], {"u": "ex:alice", "v": "ex:bob"})
+    assert not matched(spark, [{"n": "1d"}], {"n": "1"})
     assert not matched(spark, [{"u": alice}, {"v": bob}], {"u": "ex:alice", "v": "ex:bob"})
     assert matched(spark, [{"person": alice, "s": bob}], {"p": "ex:bob", "a": "ex:alice"})
 

@@ -116,3 +116,45 @@ def test_order(spark):
 def test_result_struct(spark):
     got = evaluate(spark, t.binding_struct(t.literal("x", lang="en")), t.binding_struct(F.lit("_:b")), t.binding_struct(t.term(1)))
     assert [tuple(g) for g in got] == [("literal", "x", None, "en"), ("bnode", "b", None, None), ("literal", "1", INT, None)]
+
+
+def test_numbers_are_exact(spark):
+    big, near = t.literal(9007199254740993), t.literal(9007199254740992)
+    dec = lambda x: t.literal(x, datatype=DEC)
+    got = evaluate(
+        spark,
+        t.eq(big, near), t.lt(near, big), t.lt(big, near), t.eq(big, 9007199254740992), t.in_(big, [9007199254740992]),
+        t.eq(dec("-1.50"), dec("-1.5")), t.lt(dec("-1.51"), dec("-1.5")), t.lt(dec("1"), dec("1.00000000000000000001")),
+        t.lt(dec("99999999999999999999999"), dec("100000000000000000000000")), t.eq(t.literal("1d", datatype=DBL), 1),
+        t.divide(900000000000000, 2), t.add(dec("1000000000000000.5"), 1), t.round_(dec("1000000000000000.5")),
+        t.add(dec("0.1234567891"), 0), t.add(t.literal("12345678901234567890", datatype=INT), 1), t.multiply(dec("-0.00000000001"), dec("3.5")),
+        t.divide(1, 3), t.divide(dec("-7.5"), dec("0.25")), t.abs_(dec("-00.50")), t.floor(dec("-0.5")), t.ceil(dec("-0.5")), t.round_(dec("-2.51")),
+        t.abs_(t.literal("-12345678901234567890", datatype=INT)), t.subtract(dec("0.5"), dec("0.5")), t.divide(dec("1.5"), 0),
+        t.seconds(t.literal("2020-01-01T00:00:07.1234567", datatype=V.DATETIME)),
+    )
+    assert got == [
+        False, True, False, False, False, True, True, True, True, None, lit("450000000000000.0", datatype=DEC),
+        lit("1000000000000001.5", datatype=DEC), lit("1000000000000001.0", datatype=DEC), lit("0.1234567891", datatype=DEC),
+        lit("12345678901234567891", datatype=INT), lit("-0.000000000035", datatype=DEC),
+        lit("0." + "3" * 37, datatype=DEC), lit("-30.0", datatype=DEC), lit("0.5", datatype=DEC), lit("-1.0", datatype=DEC), lit("0.0", datatype=DEC),
+        lit("-3.0", datatype=DEC), lit("12345678901234567890", datatype=INT), lit("0.0", datatype=DEC), None, lit("7.1234567", datatype=DEC),
+    ]
+    with pytest.raises(Exception, match="38 digits"):
+        evaluate(spark, t.multiply(t.literal("9" * 30, datatype=INT), t.literal("9" * 30, datatype=INT)))
+
+
+def test_exact_order(spark):
+    values = [-9007199254740993, -9007199254740992, -5, 0, 5, 9007199254740992, 9007199254740993]
+    df = spark.createDataFrame([(lit(v),) for v in reversed(values)], "k string")
+    assert [r[0] for r in df.orderBy(t.order_key(F.col("k"))).collect()] == [lit(v) for v in values]
+
+
+def test_arguments_may_be_expressions(spark):
+    three, two = F.lit(lit(3)), F.lit(lit(2.0))
+    got = evaluate(
+        spark,
+        t.substr("foobar", three, two), t.substr("foobar", 0, three), t.substr("foobar", F.lit('"x"')),
+        t.lang_matches(t.literal("en-GB"), F.lit('"EN"')), t.lang_matches(t.literal(""), F.lit('"*"')), t.lang_matches(t.literal("de"), F.lit('"en"')),
+        t.concat(t.literal("a", lang="en"), t.literal("b", lang="en")), t.concat(t.literal("a", lang="en"), t.literal("b", lang="fr")),
+    )
+    assert got == [lit("ob"), lit("fo"), None, True, False, False, lit("ab", lang="en"), lit("ab")]

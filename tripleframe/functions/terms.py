@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tripleframe import vocab as V
 
 Q = '"'
-_MONEY = "decimal(22,8)"
+_WIDE = "decimal(38,0)"
 
 
 # ---- construction ---------------------------------------------------------------------------
@@ -78,6 +78,11 @@ def integer_term(c: Column) -> Column:
     return typed_term(c.cast("bigint"), V.XSD + "integer")
 
 
+def wide_integer_term(c: Column) -> Column:
+    """An integer of up to 38 digits."""
+    return typed_term(c.cast(_WIDE), V.XSD + "integer")
+
+
 def double_term(c: Column) -> Column:
     return typed_term(c.cast("double"), V.DOUBLE)
 
@@ -183,7 +188,7 @@ def _typed_text(k: Column) -> Column:
     return F.substring(F.substring_index(k, '"^^', 1), 2, 1 << 30)
 
 
-def _numeric_rank(k: Column) -> Column:
+def numeric_rank(k: Column) -> Column:
     """1 integer, 2 decimal, 3 float, 4 double; NULL when not numeric."""
     tail = _tail(k)
     return (
@@ -194,11 +199,66 @@ def _numeric_rank(k: Column) -> Column:
     )
 
 
+def number_of(text: Column) -> Column:
+    """Native double of a number as written, else NULL. A bare cast would also take suffixes such as ``1d``."""
+    return F.when(F.translate(text, "0123456789+-.eE", "").isin("", "INF", "NaN"), text.try_cast("double"))
+
+
 def num(k: Column) -> Column:
-    """Native double of a numeric literal, else NULL."""
-    return _let(
-        k, lambda x: F.when(_tail(x).isin(_INTEGER + _FLOATING), _typed_text(x).try_cast("double"))
-    )
+    """Native double of a numeric literal, else NULL. Exact kinds may be rounded: compare with ``eq``, ``lt``, ``order_key``."""
+    return _let(k, lambda x: F.when(_tail(x).isin(_INTEGER + _FLOATING), number_of(_typed_text(x))))
+
+
+def _is_exact(k: Column) -> Column:
+    """Whether a term is an integer or a decimal."""
+    return _tail(k).isin(_INTEGER + _tails(V.DECIMAL))
+
+
+def exact_parts(k: Column) -> Column:
+    """An integer or decimal literal as (minus, whole, part): digits without leading, or trailing, zeros; else NULL."""
+
+    def split(t: Column) -> Column:
+        body = F.translate(t, "+-", "")
+        part = F.when(F.instr(body, ".") > 0, F.substring_index(body, ".", -1)).otherwise(F.lit(""))
+        return F.when(
+            F.rlike(t, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)$")),
+            F.struct(
+                t.startswith("-").alias("minus"),
+                F.ltrim(F.substring_index(body, ".", 1), F.lit("0")).alias("whole"),
+                F.rtrim(part, F.lit("0")).alias("part"),
+            ),
+        )
+
+    return F.when(_is_exact(k), F.transform(F.array(_typed_text(k)), split)[0])
+
+
+def exact_key(k: Column) -> Column:
+    """A struct that orders integers and decimals of any length by value; NULL for other terms.
+
+    Length of the whole part, then digits; for negative numbers both are turned round.
+    """
+
+    def body(p: Column) -> Column:
+        sign = F.when((p["whole"] == "") & (p["part"] == ""), 0).when(p["minus"], -1).otherwise(1)
+        digits = F.concat(p["whole"], p["part"])
+        turned = F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit("~"))
+        return F.when(
+            p.isNotNull(),
+            F.struct(
+                sign.alias("sign"),
+                (sign * F.length(p["whole"])).alias("size"),
+                F.when(sign < 0, turned).otherwise(digits).alias("digits"),
+            ),
+        )
+
+    return F.transform(F.array(exact_parts(k)), body)[0]
+
+
+def _by_value(x: Column, y: Column, compare) -> Column:
+    """Compare two numbers: by their doubles where these differ or one is no exact kind, else digit by digit."""
+    dx, dy = num(x), num(y)
+    tie = _is_exact(x) & _is_exact(y) & (dx == dy)
+    return F.when(tie, compare(exact_key(x), exact_key(y))).otherwise(compare(dx, dy))
 
 
 def boolean(k: Column) -> Column:
@@ -259,11 +319,8 @@ def eq(a: Any, b: Any) -> Column:
     def constant(x: Column) -> Column:
         kind, read = _kind(x), _reader(b)
         wanted = {num: 1, boolean: 3, plain: 4}[read]
-        return (
-            F.when(x.isNull() | (kind == 9), error)
-            .when(kind == wanted, read(x) == F.lit(b))
-            .otherwise(False)
-        )
+        same = _by_value(x, term(b), lambda p, q: p == q) if read is num else read(x) == F.lit(b)
+        return F.when(x.isNull() | (kind == 9), error).when(kind == wanted, same).otherwise(False)
 
     def general(x: Column, y: Column) -> Column:
         kx, ky = _kind(x), _kind(y)
@@ -273,7 +330,7 @@ def eq(a: Any, b: Any) -> Column:
             .when((kx == 0) | (ky == 0), False)
             .when((kx == 9) | (ky == 9), error)
             .when(kx != ky, False)
-            .when(kx == 1, num(x) == num(y))
+            .when(kx == 1, _by_value(x, y, lambda p, q: p == q))
             .when(kx == 2, timestamp(x) == timestamp(y))
             .when(kx == 3, boolean(x) == boolean(y))
             .otherwise(False)
@@ -310,16 +367,19 @@ def _reader(constant: Any):
 
 
 def _ordered(a: Any, b: Any, compare) -> Column:
-    if not isinstance(b, Column):
-        return compare(_reader(b)(term(a)), F.lit(b))
-    if not isinstance(a, Column):
-        return compare(F.lit(a), _reader(a)(b))
-    return _let(
-        a,
-        lambda x: _let(
-            b, lambda y: F.coalesce(*[compare(read(x), read(y)) for read in (num, timestamp, boolean, plain)])
-        ),
-    )
+    constant = b if not isinstance(b, Column) else a if not isinstance(a, Column) else None
+    if constant is not None and _reader(constant) is not num:
+        read = _reader(constant)
+        one, other = read(term(a)), read(term(b))
+        return compare(one, other)
+    if constant is not None:
+        return _let(term(a), lambda x: _let(term(b), lambda y: _by_value(x, y, compare)))
+
+    def general(x: Column, y: Column) -> Column:
+        others = [compare(read(x), read(y)) for read in (timestamp, boolean, plain)]
+        return F.coalesce(_by_value(x, y, compare), *others)
+
+    return _let(a, lambda x: _let(b, lambda y: general(x, y)))
 
 
 def lt(a: Any, b: Any) -> Column:
@@ -389,43 +449,114 @@ def coalesce(*options: Any) -> Column:
 # ---- arithmetic -----------------------------------------------------------------------------
 
 
-def _arithmetic(a: Any, b: Any, on_int, on_dec, on_dbl) -> Column:
-    def body(x: Column, y: Column) -> Column:
-        rank = F.when(
-            _numeric_rank(x).isNotNull() & _numeric_rank(y).isNotNull(),
-            F.greatest(_numeric_rank(x), _numeric_rank(y)),
+def _too_wide() -> Column:
+    return F.raise_error(F.lit("an exact number needs more than 38 digits"))
+
+
+def _scaled(k: Column) -> Column:
+    """An integer or decimal as (n, scale) with value n / 10**scale. More than 38 digits are an error, not an unbound value."""
+
+    def body(p: Column) -> Column:
+        digits = F.concat(F.when(p["minus"], "-").otherwise(""), p["whole"], p["part"], F.lit(""))
+        n = F.when((p["whole"] == "") & (p["part"] == ""), F.lit(0).cast(_WIDE)).otherwise(digits.try_cast(_WIDE))
+        return F.when(
+            p.isNotNull(),
+            F.struct(F.coalesce(n, _too_wide().cast(_WIDE)).alias("n"), F.length(p["part"]).alias("scale")),
         )
 
-        def read(kind: str) -> tuple[Column, Column]:
-            return _typed_text(x).try_cast(kind), _typed_text(y).try_cast(kind)
+    return F.transform(F.array(exact_parts(k)), body)[0]
+
+
+def _grown(n: Column, zeros: Column) -> Column:
+    """n * 10**zeros."""
+    return F.coalesce(F.concat(n.cast("string"), F.repeat(F.lit("0"), zeros)).try_cast(_WIDE), _too_wide().cast(_WIDE))
+
+
+def _point(n: Column, scale: Column, datatype: Column | str = V.DECIMAL) -> Column:
+    """The decimal n / 10**scale: no trailing zeros, but one digit after the point at least."""
+
+    def body(x: Column) -> Column:
+        minus = F.when(x["n"].startswith("-"), "-").otherwise("")
+        digits = F.translate(x["n"], "-", "")
+        padded = F.lpad(digits, F.greatest(F.length(digits), x["scale"] + 1), F.lit("0"))
+        size = F.length(padded) - x["scale"]
+        part = F.rtrim(padded.substr(size + 1, F.length(padded)), F.lit("0"))
+        whole = F.ltrim(padded.substr(F.lit(1), size), F.lit("0"))
+        value = F.concat(
+            minus, F.when(whole == "", "0").otherwise(whole), F.lit("."), F.when(part == "", "0").otherwise(part)
+        )
+        return typed_term(F.when(value == "-0.0", "0.0").otherwise(value), datatype)
+
+    packed = F.struct(n.cast("string").alias("n"), scale.cast("int").alias("scale"))
+    return F.when(n.isNotNull() & scale.isNotNull(), F.transform(F.array(packed), body)[0])
+
+
+def _summed(x: Column, y: Column, op) -> tuple[Column, Column]:
+    scale = F.greatest(x["scale"], y["scale"])
+    return op(_grown(x["n"], scale - x["scale"]), _grown(y["n"], scale - y["scale"])), scale
+
+
+def _quotient(x: Column, y: Column) -> Column:
+    """At least 28 significant digits, halves up; exact where the quotient ends before."""
+    size = F.length(F.translate(x["n"].cast("string"), "-", ""))
+    grown = F.greatest(28 - size, F.lit(0))
+    top = _grown(x["n"], grown).try_cast("decimal(28,0)")
+    quotient = F.try_divide(F.coalesce(top, _too_wide().cast("decimal(28,0)")), y["n"])
+    digits = F.translate(quotient.cast("decimal(38,10)").cast("string"), ".", "")
+    scale = grown + x["scale"] - y["scale"] + 10
+    shifted = F.concat(digits, F.repeat(F.lit("0"), F.greatest(-scale, F.lit(0))))
+    return F.when(y["n"] != 0, _point(shifted, F.greatest(scale, F.lit(0))))
 
-        exact = decimal_term(on_dec(*read(_MONEY)))
-        real = on_dbl(*read("double"))
+
+def _arithmetic(a: Any, b: Any, on_int, on_exact, on_dbl) -> Column:
+    """``on_int`` on long integers, ``on_exact`` on (n, scale) pairs gives (n, scale) or a term, ``on_dbl`` on doubles."""
+
+    def exact(x: Column, y: Column, whole: bool) -> Column:
+        def body(p: Column) -> Column:
+            found = on_exact(p["x"], p["y"])
+            if isinstance(found, Column):
+                return found
+            n, scale = F.coalesce(found[0], _too_wide().cast(_WIDE)), found[1]
+            return F.when(p["x"].isNotNull() & p["y"].isNotNull(), wide_integer_term(n) if whole else _point(n, scale))
+
+        return F.transform(F.array(F.struct(_scaled(x).alias("x"), _scaled(y).alias("y"))), body)[0]
+
+    def body(x: Column, y: Column) -> Column:
+        rank = F.when(
+            numeric_rank(x).isNotNull() & numeric_rank(y).isNotNull(),
+            F.greatest(numeric_rank(x), numeric_rank(y)),
+        )
+        real = on_dbl(number_of(_typed_text(x)), number_of(_typed_text(y)))
         out = (
             F.when(rank == 4, double_term(real))
-            .when(rank == 2, exact)
+            .when(rank == 2, exact(x, y, False))
             .when(rank == 3, typed_term(real.cast("float"), V.FLOAT))
         )
-        return out.when(rank == 1, integer_term(on_int(*read("bigint"))) if on_int else exact)
+        if on_int is None:
+            return out.when(rank == 1, exact(x, y, False))
+        short = on_int(_typed_text(x).try_cast("bigint"), _typed_text(y).try_cast("bigint"))
+        return out.when(rank == 1, F.coalesce(integer_term(short), exact(x, y, True)))
 
     return _let(term(a), lambda x: _let(term(b), lambda y: body(x, y)))
 
 
 def add(a: Any, b: Any) -> Column:
-    return _arithmetic(a, b, F.try_add, F.try_add, lambda x, y: x + y)
+    return _arithmetic(a, b, F.try_add, lambda x, y: _summed(x, y, F.try_add), lambda x, y: x + y)
 
 
 def subtract(a: Any, b: Any) -> Column:
-    return _arithmetic(a, b, F.try_subtract, F.try_subtract, lambda x, y: x - y)
+    return _arithmetic(a, b, F.try_subtract, lambda x, y: _summed(x, y, F.try_subtract), lambda x, y: x - y)
 
 
 def multiply(a: Any, b: Any) -> Column:
-    return _arithmetic(a, b, F.try_multiply, F.try_multiply, lambda x, y: x * y)
+    return _arithmetic(
+        a, b, F.try_multiply, lambda x, y: (F.try_multiply(x["n"], y["n"]), x["scale"] + y["scale"]), lambda x, y: x * y
+    )
 
 
 def divide(a: Any, b: Any) -> Column:
     """Integers divide to a decimal; a zero divisor is an error."""
-    return _arithmetic(a, b, None, F.try_divide, F.try_divide)
+    return _arithmetic(a, b, None, _quotient, F.try_divide)
 
 
 def negate(a: Any) -> Column:
@@ -436,13 +567,26 @@ def plus(a: Any) -> Column:
     return _let(term(a), lambda x: F.when(num(x).isNotNull(), x))
 
 
-def _unary(a: Any, on_int, on_dec, on_dbl) -> Column:
+def _unary(a: Any, minus, up, on_dbl) -> Column:
+    """``up`` tells, of the (minus, whole, part) of a decimal, what to add to its whole part; ``minus`` keeps the sign."""
+
+    def whole(p: Column) -> Column:
+        n = F.coalesce(F.concat(F.lit("0"), p["whole"]).try_cast(_WIDE), _too_wide().cast(_WIDE))
+        signed = F.when(p["minus"] & F.lit(minus), -n).otherwise(n)
+        return (signed + up(p)).cast(_WIDE)
+
     def body(x: Column) -> Column:
-        rank, t = _numeric_rank(x), _typed_text(x)
-        real = on_dbl(t.try_cast("double"))
+        rank = numeric_rank(x)
+        real = on_dbl(number_of(_typed_text(x)))
+        if up is None:
+            integer = lambda p: wide_integer_term(F.abs(p["n"]))
+            decimal = F.transform(F.array(_scaled(x)), lambda p: _point(F.abs(p["n"]), p["scale"]))[0]
+        else:
+            integer = lambda p: wide_integer_term(p["n"])
+            decimal = F.transform(F.array(exact_parts(x)), lambda p: _point(whole(p), F.lit(0)))[0]
         return (
-            F.when(rank == 1, integer_term(on_int(t.try_cast("bigint"))))
-            .when(rank == 2, decimal_term(on_dec(t.try_cast(_MONEY))))
+            F.when(rank == 1, F.transform(F.array(_scaled(x)), integer)[0])
+            .when(rank == 2, decimal)
             .when(rank == 3, typed_term(real.cast("float"), V.FLOAT))
             .when(rank == 4, double_term(real))
         )
@@ -451,25 +595,24 @@ def _unary(a: Any, on_int, on_dec, on_dbl) -> Column:
 
 
 def abs_(a: Any) -> Column:
-    return _unary(a, F.abs, F.abs, F.abs)
+    return _unary(a, False, None, F.abs)
 
 
 def ceil(a: Any) -> Column:
-    return _unary(a, lambda x: x, F.ceil, lambda x: F.ceil(x).cast("double"))
+    return _unary(a, True, lambda p: F.when(~p["minus"] & (p["part"] != ""), 1).otherwise(0), lambda x: F.ceil(x).cast("double"))
 
 
 def floor(a: Any) -> Column:
-    return _unary(a, lambda x: x, F.floor, lambda x: F.floor(x).cast("double"))
+    return _unary(a, True, lambda p: F.when(p["minus"] & (p["part"] != ""), -1).otherwise(0), lambda x: F.floor(x).cast("double"))
 
 
 def round_(a: Any) -> Column:
     """Halves go up, also below zero: -2.5 becomes -2."""
-    return _unary(
-        a,
-        lambda x: x,
-        lambda x: F.floor(x + F.lit(0.5).cast(_MONEY)),
-        lambda x: F.floor(x + 0.5).cast("double"),
-    )
+
+    def up(p: Column) -> Column:
+        return F.when(~p["minus"] & (p["part"] >= "5"), 1).when(p["minus"] & (p["part"] > "5"), -1).otherwise(0)
+
+    return _unary(a, True, up, lambda x: F.floor(x + 0.5).cast("double"))
 
 
 # ---- strings --------------------------------------------------------------------------------
@@ -508,15 +651,29 @@ def strends(k: Any, part: Any) -> Column:
     return F.endswith(lexical(term(k)), lexical(term(part)))
 
 
-def substr(k: Any, start: int, length: int | None = None) -> Column:
-    """1-based; a start before the text shortens the result instead of counting from the end."""
-    first = max(start, 1)
-    size = 1 << 30 if length is None else max(start + length - first, 0)
-    return _relabel(k, lambda t: F.substring(t, first, size))
+def _whole_number(x: Any) -> Column:
+    """A position or length: a Python integer, or a numeric term rounded to a whole number."""
+    return F.lit(x) if isinstance(x, int) else num(round_(x)).cast("int")
+
+
+def substr(k: Any, start: Any, length: Any = None) -> Column:
+    """1-based; a start before the text shortens the result instead of counting from the end.
+
+    ``start`` and ``length`` are Python integers or numeric terms.
+    """
+    begin = _whole_number(start)
+    first = F.greatest(begin, F.lit(1))
+    size = F.lit(1 << 30) if length is None else F.greatest(begin + _whole_number(length) - first, F.lit(0))
+    known = begin.isNotNull() & size.isNotNull()
+    return _relabel(k, lambda t: F.when(known, F.substring(t, first, size)))
 
 
 def concat(*parts: Any) -> Column:
-    return string_term(F.concat(*[lexical(term(p)) for p in parts]))
+    """Texts joined; a language tag that all arguments share stays."""
+    lifted = [term(p) for p in parts]
+    tails = [_tail(p) for p in lifted]
+    shared = reduce(lambda x, y: x & y, [x == tails[0] for x in tails], tails[0].startswith("@"))
+    return F.concat(F.lit(Q), *[lexical(p) for p in lifted], F.lit(Q), F.when(shared, tails[0]).otherwise(F.lit("")))
 
 
 def regex(k: Any, pattern: str, flags: str = "") -> Column:
@@ -530,12 +687,17 @@ def lang(k: Any) -> Column:
     return string_term(lang_text(term(k)))
 
 
-def lang_matches(tag: Any, wanted: str) -> Column:
-    w = wanted.lower()
+def lang_matches(tag: Any, wanted: Any) -> Column:
+    """Whether a tag is in a language range: a Python string or a string term."""
     given = lexical(term(tag))
-    if w == "*":
-        return given != ""
-    return _let(F.lower(given), lambda t: (t == w) | t.startswith(w + "-"))
+    if isinstance(wanted, str):
+        w = wanted.lower()
+        return given != "" if w == "*" else _let(F.lower(given), lambda t: (t == w) | t.startswith(w + "-"))
+
+    def body(t: Column, w: Column) -> Column:
+        return F.when(w == "*", t != "").otherwise((t == w) | F.startswith(t, F.concat(w, F.lit("-"))))
+
+    return _let(F.lower(given), lambda t: _let(F.lower(lexical(wanted)), lambda w: body(t, w)))
 
 
 def datatype(k: Any) -> Column:
@@ -594,7 +756,8 @@ def minutes(k: Any) -> Column:
 
 
 def seconds(k: Any) -> Column:
-    return decimal_term(_field(k, _TIME_RE + r"\d{2}:\d{2}:(\d{2}(?:\.\d+)?)", "decimal(9,6)"))
+    text = _field(k, _TIME_RE + r"\d{2}:\d{2}:(\d{2}(?:\.\d+)?)", "string")
+    return add(F.when(text != "", typed_term(text, V.DECIMAL)), literal("0.0", datatype=V.DECIMAL))
 
 
 def now() -> Column:
@@ -621,6 +784,7 @@ def order_key(k: Column) -> Column:
         return F.struct(
             rank.alias("rank"),
             num(x).alias("num"),
+            exact_key(x).alias("exact"),
             timestamp(x).alias("ts"),
             F.coalesce(lexical(x), x).alias("lex"),
             x.alias("key"),

@@ -1,6 +1,7 @@
 """Aggregates over term columns, as Spark aggregate expressions.
 
-Numeric aggregates return native doubles; wrap them with ``terms.double_term`` to bind them again.
+``sum_term`` and ``avg_term`` return typed terms and are exact for integers and decimals; ``sum_`` and ``avg`` return
+native doubles for results that are only read.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleframe import vocab as V
 from tripleframe.functions import terms as t
 from tripleframe.operators.bindings import Bindings
 
@@ -40,6 +42,43 @@ def avg(k: Column) -> Column:
     return F.coalesce(F.avg(t.num(k)), F.lit(0.0))
 
 
+def _exact_sum(k: Column) -> Column:
+    """Sum of the integers and decimals as a decimal term: whole parts and 28 digits after the point are added apart."""
+    p = t.exact_parts(k)
+    sign = F.when(p["minus"], F.lit(-1)).otherwise(1).cast("decimal(1,0)")
+    whole = F.sum(sign * F.concat(F.lit("0"), p["whole"]).try_cast("decimal(37,0)"))
+    long = F.length(p["part"]) > 28
+    part = F.sum(
+        F.when(long, F.raise_error(F.lit("a decimal has more than 28 digits after the point")).cast("decimal(28,28)")).otherwise(
+            sign * F.concat(F.lit("0."), p["part"], F.lit("0")).try_cast("decimal(28,28)")
+        )
+    )
+    none = F.lit(t.literal_key("0.0", datatype=V.DECIMAL))
+    whole_term = F.coalesce(t.decimal_term(whole), none)
+    return t.add(whole_term, F.coalesce(t.decimal_term(part.cast("decimal(38,28)")), none))
+
+
+def _typed(k: Column, exact: Column, real: Column) -> Column:
+    """``real`` if any floating number is among the terms, else ``exact``."""
+    rank = F.max(t.numeric_rank(k))
+    return F.when(rank == 4, t.double_term(real)).when(rank == 3, t.typed_term(real.cast("float"), V.FLOAT)).otherwise(exact)
+
+
+def sum_term(k: Column) -> Column:
+    """Typed sum: an integer of integers, a decimal of decimals, else a float or double; 0 without numbers."""
+    total = _exact_sum(k)
+    whole = F.coalesce(F.max(t.numeric_rank(k)), F.lit(1)) == 1
+    integer = t.wide_integer_term(F.substring_index(t.lexical(total), ".", 1))
+    return _typed(k, F.when(whole, integer).otherwise(total), F.sum(t.num(k)))
+
+
+def avg_term(k: Column) -> Column:
+    """Typed mean: a decimal of exact numbers, else a float or double; 0 without numbers."""
+    n = F.count(t.num(k))
+    mean = t.divide(_exact_sum(k), t.integer_term(n))
+    return _typed(k, F.when(n == 0, t.literal(0)).otherwise(mean), F.avg(t.num(k)))
+
+
 def min_(k: Column) -> Column:
     """The smallest term by value; numbers compare as numbers."""
     return F.min_by(k, F.when(k.isNotNull(), t.order_key(k)))
@@ -116,7 +155,3 @@ def top_per_group(
     tie = F.to_json(row)
     picked = bindings.df.groupBy(*by).agg(getattr(F, best)(row, F.struct(value, tie)).alias("__r"))
     return Bindings(picked.select("__r.*").select(*bindings.variables), bindings.certain)
-
-
-def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).where(F.col(column).isNotNull()).distinct()

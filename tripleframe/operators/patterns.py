@@ -92,12 +92,6 @@ def bgp(
     return Bindings(joined.df.select(*dict.fromkeys(written)), joined.certain)
 
 
-def predicate_sizes(quads: DataFrame, limit: int = 10_000) -> dict[str, int]:
-    """Triples per predicate, largest ``limit`` predicates; input to :func:`bgp` ordering only."""
-    rows = quads.groupBy("p").count().orderBy(F.desc("count")).limit(limit).collect()
-    return {r["p"]: r["count"] for r in rows}
-
-
 def star(
     quads: DataFrame, subject: str, predicates: dict[str, str], graph: str | None = None
 ) -> Bindings:

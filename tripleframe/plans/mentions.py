@@ -25,17 +25,20 @@ CAPITAL_WORD = r"(?U)\b([A-Z][a-zA-Z0-9_-]+)\b"
 LOWER_WORD = r"(?U)\b([a-z][a-zA-Z0-9_-]+)\b"
 
 # Words that never name a schema term, even when capitalised.
-STOPWORDS = """
-the a an of and or in at for to with by from on via is are was were
-show find who which what list all every each use drop delete raw sparql graph query
-select ask construct filter optional union minus values bind having group order explicitly
-english norwegian french german spanish japanese chinese italian portuguese dutch swedish
-en nb no fr de es it ja zh pt nl sv
-top top-1 top1 oldest youngest after before greater less more fewer most least max min exactly than
-term thing entity item value
-""".split()
+STOPWORDS = [
+    "the", "a", "an", "of", "and", "or", "in", "at", "for", "to", "with", "by", "from", "on", "via", "is", "are",
+    "was", "were", "show", "find", "who", "which", "what", "list", "all", "every", "each", "use", "drop", "delete",
+    "raw", "sparql", "graph", "query", "select", "ask", "construct", "filter", "optional", "union", "minus",
+    "values", "bind", "having", "group", "order", "explicitly", "english", "norwegian", "french", "german",
+    "spanish", "japanese", "chinese", "italian", "portuguese", "dutch", "swedish", "en", "nb", "no", "fr", "de",
+    "es", "it", "ja", "zh", "pt", "nl", "sv", "top", "top-1", "top1", "oldest", "youngest", "after", "before",
+    "greater", "less", "more", "fewer", "most", "least", "max", "min", "exactly", "than", "term", "thing", "entity",
+    "item", "value",
+]
 # Imperative verbs that open a request.
-IMPERATIVES = "show list find use restrict drop return count pick anyone".split()
+IMPERATIVES = [
+    "show", "list", "find", "use", "restrict", "drop", "return", "count", "pick", "anyone",
+]
 
 COLUMNS = ["question_id", "text", "kinds", "source", "start", "end", "ord"]
 

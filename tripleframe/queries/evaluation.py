@@ -20,13 +20,17 @@ def orders(spark, d):
 # ---- bindings -------------------------------------------------------------------------------
 
 
-@add("""SELECT o_orderkey AS k, true AS prefixed, true AS numeric, true AS typed, o_custkey = o_orderkey AS differs FROM orders""")
+@add(f"""WITH v AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS cust, o_orderstatus AS st FROM orders)
+SELECT k, replace('ex:' || key, 'ex:', '{EX}') = '{EX}' || key AS prefixed, TRY_CAST(key AS DOUBLE) = TRY_CAST(key || '.0' AS DOUBLE) AS numeric,
+st = split_part('"' || st || '"^^http://x', '"', 2) AS typed, TRY_CAST(cust AS DOUBLE) = TRY_CAST(key AS DOUBLE) AS differs,
+coalesce(TRY_CAST(key || 'd' AS DOUBLE) = TRY_CAST(key AS DOUBLE), false) AS suffixed FROM v""")
 def value_match(spark, d):
     key, cust = c("o_orderkey").cast("string"), c("o_custkey").cast("string")
     return orders(spark, d).select(
         c("o_orderkey").alias("k"), E.values_match(F.concat(F.lit("ex:"), key), F.concat(F.lit(EX), key)).alias("prefixed"),
         E.values_match(key, F.concat(key, F.lit(".0"))).alias("numeric"),
         E.values_match(c("o_orderstatus"), F.concat(F.lit('"'), c("o_orderstatus"), F.lit('"^^http://x'))).alias("typed"), E.values_match(key, cust).alias("differs"),
+        E.values_match(F.concat(key, F.lit("d")), key).alias("suffixed"),
     )
 
 

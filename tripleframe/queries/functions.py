@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tripleframe import vocab as V
 from tripleframe.functions import terms as t
+from tripleframe.operators import aggregates as A
 from tripleframe.operators import patterns as P
+from tripleframe.operators.bindings import Bindings
 from tripleframe.queries import iri, registry
+from tripleframe.sources import relational as R
 from tripleframe.queries.graph import CUST, EX, ORDER, documents, event_graph, melted_shop, shop
 
 add = registry.add
@@ -183,3 +186,36 @@ def number_formatting(spark, d):
         F.substring_index("p", "/", -1).cast("bigint").alias("k"), t.text(t.add(c("s"), 0)).alias("whole"), t.text(t.add(c("s"), 0.0)).alias("double_text"),
         t.text(t.divide(c("s"), 4)).alias("quarter"),
     )
+
+
+BEYOND = 9007199254740992  # the first integer whose successor is no double
+
+
+@add(f"""WITH v AS (SELECT o_orderkey AS k, o_custkey AS u, CAST(o_totalprice AS DECIMAL(18, 2)) AS p FROM orders),
+x AS (SELECT k, CAST(k AS HUGEINT) + {BEYOND} AS a, CAST(u AS HUGEINT) + {BEYOND} AS b, p * CAST(0.0000000001 AS DECIMAL(18, 10)) AS small FROM v)
+SELECT k, a = b AS same, a < b AS less, a >= b AS no_less, CAST(a + b AS VARCHAR) AS added, CAST(a * b AS VARCHAR) AS times, CAST(-a AS VARCHAR) AS negative,
+rtrim(CAST(small AS VARCHAR), '0') AS small, small < CAST(0.00001 AS DECIMAL(18, 10)) AS tiny FROM x""")
+def exact_numbers(spark, d):
+    b = R.read_tables(spark, d, "orders")["orders"]
+    one = t.wide_integer_term(c("o_orderkey").cast("decimal(38,0)") + F.lit(BEYOND))
+    two = t.wide_integer_term(c("o_custkey").cast("decimal(38,0)") + F.lit(BEYOND))
+    price = t.decimal_term(c("o_totalprice").cast("decimal(18,2)"))
+    small = t.multiply(price, t.literal("0.0000000001", datatype=V.DECIMAL))
+    return b.select(
+        c("o_orderkey").alias("k"), t.eq(one, two).alias("same"), t.lt(one, two).alias("less"), t.ge(one, two).alias("no_less"),
+        t.text(t.add(one, two)).alias("added"), t.text(t.multiply(one, two)).alias("times"), t.text(t.negate(one)).alias("negative"),
+        t.text(small).alias("small"), t.lt(small, t.literal("0.00001", datatype=V.DECIMAL)).alias("tiny"),
+    )
+
+
+@add(f"""SELECT o_custkey AS c, CAST(sum(CAST(o_orderkey AS HUGEINT) + {BEYOND}) AS VARCHAR) AS whole,
+rtrim(rtrim(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2)) * CAST(0.0000000001 AS DECIMAL(18, 10))) AS VARCHAR), '0'), '.') AS small,
+CAST(min(CAST(-o_orderkey AS HUGEINT) - {BEYOND}) AS VARCHAR) AS lowest FROM orders GROUP BY 1""")
+def aggregate_typed_sums(spark, d):
+    rows = R.read_tables(spark, d, "orders")["orders"]
+    wide = c("o_orderkey").cast("decimal(38,0)") + F.lit(BEYOND)
+    small = t.decimal_term(c("o_totalprice").cast("decimal(18,2)") * F.lit("0.0000000001").cast("decimal(18,10)"))
+    b = Bindings(rows.select(c("o_custkey").alias("c"), t.wide_integer_term(wide).alias("w"), t.wide_integer_term(-wide).alias("m"), small.alias("s")), ["c"])
+    out = A.group(b, ["c"], {"whole": A.sum_term(c("w")), "small": A.sum_term(c("s")), "lowest": A.min_(c("m"))})
+    text = {x: t.text(c(x)).alias(x) for x in ("whole", "small", "lowest")}
+    return out.df.select("c", *text.values())

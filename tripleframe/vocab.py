@@ -21,17 +21,6 @@ DEFAULT_PREFIXES = {
     "foaf": "http://xmlns.com/foaf/0.1/",
 }
 
-# Extra prefixes of the ocean vocabulary; opt-in.
-OCEAN_PREFIXES = {
-    "dcat": "http://www.w3.org/ns/dcat#",
-    "dcterms": "http://purl.org/dc/terms/",
-    "geo": "http://www.opengis.net/ont/geosparql#",
-    "prov": "http://www.w3.org/ns/prov#",
-    "sosa": "http://www.w3.org/ns/sosa/",
-    "app": "https://example.org/ontology/app#",
-    "var": "https://example.org/ocean-demo/id/observable-property/",
-}
-
 # Prefixes known to the result and metric comparison.
 EVAL_PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "owl": OWL, "ex": EX}
 
