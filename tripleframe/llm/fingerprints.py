@@ -68,21 +68,22 @@ def position_of(mark: Column) -> Column:
 
 
 def as_text(chosen: Column) -> Column:
-    """position:hash of every mark, joined by spaces."""
-    return F.array_join(
-        F.transform(chosen, lambda m: F.concat(position_of(m).cast("string"), F.lit(":"), F.hex(hash_of(m)))), " "
-    )
+    """Every mark in hexadecimal, hash above position, joined by spaces."""
+    return F.array_join(F.transform(chosen, F.hex), " ")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes over all hashes of two fingerprints; 1 if both are empty."""
+def hashes_of(chosen: Column) -> Column:
+    """The distinct hashes of the marks."""
+    return F.array_distinct(F.transform(chosen, hash_of))
 
-    def of(x: Column) -> Column:
-        common = F.size(F.array_intersect(x["a"], x["b"]))
-        union = F.size(F.array_distinct(x["a"])) + F.size(F.array_distinct(x["b"])) - common
-        return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
-    return bind(F.struct(F.transform(a, hash_of).alias("a"), F.transform(b, hash_of).alias("b")), of)
+def likeness(a: Column, b: Column) -> Column:
+    """Shared hashes over all hashes of two sets of distinct hashes; 1 if both are empty."""
+    common = F.size(F.array_intersect(a, b))
+    return bind(
+        F.struct(common.alias("common"), (F.size(a) + F.size(b)).alias("both")),
+        lambda x: F.when(x["both"] == 0, F.lit(1.0)).otherwise(x["common"] / (x["both"] - x["common"])),
+    )
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, w: int = W) -> DataFrame:
@@ -164,8 +165,9 @@ def compare_with_next(
         marks(F.col("text"), k, w).alias("own"),
         F.when(F.col("extra") == 0, marks(F.col("edited"), k, w)).alias("changed"),
     )
+    hashed = both.withColumns({"own_hashes": hashes_of(F.col("own")), "changed_hashes": hashes_of(F.col("changed"))})
     return (
-        both.withColumn("following", F.lead("own").over(order))
+        hashed.withColumn("following", F.lead("own_hashes").over(order))
         .filter("extra = 0")
         .select(
             "doc_id",
@@ -173,7 +175,7 @@ def compare_with_next(
             "edited_sha256",
             as_text(F.col("own")).alias("fingerprint"),
             as_text(F.col("changed")).alias("edited_fingerprint"),
-            likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-            likeness(F.col("own"), F.col("following")).alias("near_next"),
+            likeness(F.col("own_hashes"), F.col("changed_hashes")).alias("near_edited"),
+            likeness(F.col("own_hashes"), F.col("following")).alias("near_next"),
         )
     )
