@@ -70,19 +70,20 @@ def one_or_more(edge_table: DataFrame) -> DataFrame:
     """Transitive closure with both ends free.
 
     The newest pairs are joined with everything found so far, so the number of rounds is the
-    logarithm of the longest shortest path. The answer itself can be quadratic in the number of
+    logarithm of the longest shortest path. Each round writes its new pairs only. The answer itself can be quadratic in the number of
     nodes; use :func:`reach` when one end is known.
     """
     keys = _graph_keys(edge_table)
     cols = keys + ["s", "o"]
-    found = cut_lineage(edge_table.select(*cols).distinct())
-    newest = found
+    newest = cut_lineage(edge_table.select(*cols).distinct())
+    rounds = [newest]
     while True:
+        found = reduce(DataFrame.unionByName, rounds)
         step = sequence(newest, found)
         newest = cut_lineage(step.distinct().join(found, cols, "left_anti").select(*cols))
         if newest.isEmpty():
             return found
-        found = cut_lineage(found.unionByName(newest))
+        rounds.append(newest)
 
 
 def zero_or_more(edge_table: DataFrame, identity: DataFrame) -> DataFrame:

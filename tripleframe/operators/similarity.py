@@ -91,7 +91,7 @@ def _character_tokens(c: Column) -> Column:
         F.array_distinct(chars),
         lambda ch: F.transform(
             F.sequence(F.lit(1), F.size(F.filter(chars, lambda x: x == ch))),
-            lambda i: F.concat(F.lpad((F.lit(99999) - i).cast("string"), 5, "0"), ch),
+            lambda i: F.concat(F.lpad((F.lit(9_999_999_999) - i).cast("string"), 10, "0"), ch),
         ),
     )
     return F.array_sort(F.flatten(numbered))

@@ -216,8 +216,8 @@ def product_with_one_row(spark, d):
     return totals.join(mean).filter(t.num(c("t")) > c("mean")).project("o").df
 
 
-_URGENT = "SELECT o_custkey AS k, o_orderkey AS o FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 480000"
-_DEAR = "SELECT o_custkey AS k, o_orderkey AS o FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 470000"
+_URGENT = "SELECT o_custkey AS k, o_orderkey AS o FROM orders WHERE o_orderpriority = '1-URGENT'"
+_DEAR = "SELECT o_custkey AS k, o_orderkey AS o FROM orders WHERE o_orderstatus = 'F'"
 
 
 def _customers_with(spark, d, orders):
@@ -227,8 +227,8 @@ def _customers_with(spark, d, orders):
 
 def _dear_and_urgent(spark, d):
     o = R.read_tables(spark, d, "orders")["orders"]
-    dear = _customers_with(spark, d, o.where("o_orderstatus = 'F' AND o_totalprice > 470000"))
-    urgent = _customers_with(spark, d, o.where("o_orderpriority = '1-URGENT' AND o_totalprice > 480000"))
+    dear = _customers_with(spark, d, o.where("o_orderstatus = 'F'"))
+    urgent = _customers_with(spark, d, o.where("o_orderpriority = '1-URGENT'"))
     return dear, urgent
 
 
@@ -445,14 +445,14 @@ def path_inside_graph_variable(spark, d):
 
 
 _TRADE = """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND o_totalprice > 495000)"""
+JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 def _trade(spark, d):
     tb = R.read_tables(spark, d, "lineitem", "orders", "customer", "supplier")
     j = (
-        tb["lineitem"].where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey")
-        .join(tb["orders"].where("o_totalprice > 495000").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
+        tb["lineitem"].select("l_orderkey", "l_suppkey")
+        .join(tb["orders"].select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
         .join(tb["customer"].select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
         .join(tb["supplier"].select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
     )

@@ -196,11 +196,11 @@ def mentions_merged(spark, d):
     return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("""WITH nd AS (SELECT DISTINCT lower(regexp_extract(text, '^\\S+')) AS needle FROM conversations)
-SELECT needle, count(*) AS docs FROM nd, documents WHERE length(needle) >= 2 AND contains(lower(text), needle) GROUP BY 1""")
+@add("""WITH nd AS (SELECT DISTINCT lower(text) AS needle FROM benchmark)
+SELECT needle, count(*) AS docs FROM nd, documents WHERE length(needle) >= 2 AND contains(lower(documents.text), needle) GROUP BY 1""")
 def names_inside_whole_documents(spark, d):
-    tb = R.read_tables(spark, d, "documents", "conversations")
-    needles = tb["conversations"].select(F.lower(F.regexp_extract("text", r"^\S+", 0)).alias("needle")).distinct()
+    tb = R.read_tables(spark, d, "documents", "benchmark")
+    needles = tb["benchmark"].select(F.lower("text").alias("needle")).distinct()
     docs = tb["documents"].select("doc_id", F.lower("text").alias("body"))
     return contained_pairs(docs, "doc_id", "body", needles, "needle", min_length=2).groupBy("needle").agg(F.count(F.lit(1)).alias("docs"))
 

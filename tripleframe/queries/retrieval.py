@@ -12,6 +12,7 @@ from tripleframe.queries.graph import EX, shop
 from tripleframe.queries.linking import _QS, _QUESTION, name_terms, part_questions
 from tripleframe.sources import relational as rel
 
+EVERY = 2**31 - 1  # no limit
 add = registry.add
 c = F.col
 
@@ -54,12 +55,12 @@ def retrieve_by_tokens(spark, d):
     return hits.select("question_id", "iri", F.round("score", 6).alias("score"), "retrieval_rank")
 
 
-@add("WITH x AS (SELECT page_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(url), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS w FROM pages) SELECT page_id, array_to_string(w, ' ') AS words FROM x")
+@add("WITH x AS (SELECT page_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(url || ' ' || html), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS w FROM pages) SELECT page_id, array_to_string(w, ' ') AS words FROM x")
 def tokenise(spark, d):
     from tripleframe.functions import text as tx
 
     pages = rel.read_tables(spark, d, "pages")["pages"]
-    return pages.select("page_id", F.array_join(F.array_sort(tx.tokens(c("url"))), " ").alias("words"))
+    return pages.select("page_id", F.array_join(F.array_sort(tx.tokens(F.concat_ws(" ", "url", "html"))), " ").alias("words"))
 
 
 @add("SELECT kind, CASE WHEN kind IN ('owl_class', 'skos_concept') THEN 'class' WHEN kind = 'rdf_property' THEN 'property' ELSE 'unknown' END AS eval_kind, CASE WHEN kind IN ('owl_class', 'skos_concept') THEN 'owl_class,skos_concept' WHEN kind = 'rdf_property' THEN 'object_property,datatype_property,annotation_property,rdf_property' END AS back, count(*) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'owl_class' WHEN 'view' THEN 'skos_concept' WHEN 'error' THEN 'rdf_property' ELSE event_type END AS kind FROM events) GROUP BY ALL")
@@ -214,7 +215,7 @@ rr AS (SELECT *, score + boost::DOUBLE AS final_score, CAST(row_number() OVER (P
 
 @add(f"WITH {_RR} SELECT question_id, round(boost::DOUBLE, 6) AS boost, count(*) AS n FROM bo GROUP BY ALL")
 def rerank_boosts(spark, d):
-    out = reranked(spark, d, limit=100)
+    out = reranked(spark, d, limit=EVERY)
     return out.groupBy("question_id", F.round("rerank_score", 6).alias("boost")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -262,7 +263,7 @@ def selected(spark, d):
 
     rows = R.dedupe(brand_hits(spark, d)).join(brand_concepts(spark, d), "iri").withColumnRenamed("score", "final_score")
     rows = rows.withColumn("retrieval_score", c("final_score")).withColumn("rerank_score", F.lit(0.0))
-    return R.select(top_k(rows, ["question_id"], [F.desc("final_score"), F.asc("iri")], 100), 0.03, 2)
+    return R.select(top_k(rows, ["question_id"], [F.desc("final_score"), F.asc("iri")], EVERY), 0.03, 2)
 
 
 @add(f"WITH {_SEL} SELECT question_id, iri, place AS rank, final_score FROM sl")
