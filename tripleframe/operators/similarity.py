@@ -1,4 +1,4 @@
-"""Similarity joins that return every qualifying pair without comparing all pairs."""
+"""Similarity joins that return every qualifying pair from filtered candidates."""
 
 from __future__ import annotations
 

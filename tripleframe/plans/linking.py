@@ -2,8 +2,9 @@
 
 Mentions and surface forms are first reduced to their distinct normal forms. Equal forms meet in an
 equi-join, contained ones by their rarest gram, similar ones by the exact filter of
-``ratio_pairs``; only then are results spread back to the rows that asked. No step compares all
-pairs, and every pair at or above the threshold is found.
+``ratio_pairs``; only then are results spread back to the rows that asked. Every pair at or above
+the threshold is found. The similar ones are few at high thresholds only: at 0.4 nearly all pairs
+of distinct forms pass the filter.
 """
 
 from __future__ import annotations
