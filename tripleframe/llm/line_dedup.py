@@ -14,10 +14,10 @@ Nothing compares all members of a word's list with each other and emits it:
 1. Equal sets are one class, named by its first line.
 2. A semi-join on prefix words keeps the rows that have a partner at all; it returns each row once.
 3. Each class meets the first class of its words' lists; verified matches are done.
-4. The others meet all earlier classes.
+4. The others meet all earlier classes; the likeliest partner of each is verified first, all others only if it fails.
 
-Verification compares the words themselves. They are fetched by a second pass that keeps the lines asked for: a bitmap of
-fixed size thins them out in place, an equi-join decides. Texts are not shuffled.
+Verification compares the words, as 64-bit hashes. They are fetched by a second pass that keeps the lines asked for: a
+bitmap of fixed size thins them out in place, an equi-join decides. Texts are not shuffled.
 
 Defined results: null or blank text has no lines with words; lines without words are never removed. Rows without doc_id
 take no part and lose nothing. Rows that share a doc_id are one document: their lines at one place are not matches of
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm.common import bind, only, words, written
+from tripleframe.llm.common import WHITE, bind, only, words, written
 
 PERCENT = 80
 COUNTERS = 1 << 18
@@ -38,7 +38,8 @@ FILTER_BITS = 1 << 22
 
 
 def _shifted_one(by: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), by.cast("int"))
+    """A long with the one bit that the lowest six bits of an int name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), by)
 
 
 def _dense(spark: SparkSession, values: DataFrame, size: int) -> Column:
@@ -49,12 +50,15 @@ def _dense(spark: SparkSession, values: DataFrame, size: int) -> Column:
 
 
 def rarity_levels(texts: DataFrame, counters: int = COUNTERS) -> Column:
-    """An array with one level for each counter: four times the binary logarithm of how many words it counted."""
-    place = F.xxhash64("word").bitwiseAND(F.lit(counters - 1).cast("long"))
+    """An array with one level for each counter: four times the binary logarithm of how many words it counted.
+
+    Levels stand in the high byte, where keys have them.
+    """
+    place = F.hash("word").bitwiseAND(F.lit(counters - 1))
     counted = (
         texts.select(F.explode(words(F.col("text"))).alias("word")).groupBy(place.alias("place")).agg(F.count("*").alias("n"))
     )
-    level = F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("long")
+    level = F.shiftleft(F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("long"), 56)
     return _dense(texts.sparkSession, counted.select("place", level.alias("value")), counters)
 
 
@@ -62,7 +66,7 @@ def bitmap_of(keys: DataFrame, bits: int = FILTER_BITS) -> Column:
     """A bitmap of fixed size over the hashes in ``keys`` (h); ``in_bitmap`` never misses one of them."""
     place = keys.select(F.col("h").bitwiseAND(F.lit(bits - 1).cast("long")).alias("bit"))
     packed = place.groupBy(F.shiftright("bit", 6).alias("place")).agg(
-        F.bit_or(_shifted_one(F.col("bit").bitwiseAND(F.lit(63).cast("long")))).alias("value")
+        F.bit_or(_shifted_one(F.col("bit").cast("int"))).alias("value")
     )
     return _dense(keys.sparkSession, packed, bits // 64)
 
@@ -70,7 +74,7 @@ def bitmap_of(keys: DataFrame, bits: int = FILTER_BITS) -> Column:
 def in_bitmap(bitmap: Column, h: Column, bits: int = FILTER_BITS) -> Column:
     bit = h.bitwiseAND(F.lit(bits - 1).cast("long"))
     word = F.get(bitmap, F.shiftright(bit, 6).cast("int"))
-    return word.bitwiseAND(_shifted_one(bit.bitwiseAND(F.lit(63).cast("long")))) != 0
+    return word.bitwiseAND(_shifted_one(bit.cast("int"))) != 0
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -82,16 +86,16 @@ def _described(texts: DataFrame, levels: Column, percent: int, counters: int) ->
     """(doc_id, line, k, n, sig, prefix) of all lines with words: class, size, parity bitmap, keys of the prefix."""
 
     def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        level = F.get(F.col("levels"), h.bitwiseAND(F.lit(counters - 1).cast("long")).cast("int"))
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        level = F.get(F.col("levels"), F.hash(word).bitwiseAND(F.lit(counters - 1)))
+        # without nulls the keys are sorted as plain longs
+        return F.coalesce(level, F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 8))
 
     def summary(keys: Column) -> Column:
         n = F.size(keys)
         parity = F.aggregate(
             keys,
             F.lit(0).cast("long"),
-            lambda acc, x: acc.bitwiseXOR(_shifted_one(x.bitwiseAND(F.lit(63).cast("long")))),
+            lambda acc, x: acc.bitwiseXOR(_shifted_one(F.hash(x))),
         )
         length = n - F.ceil(n * percent / 100).cast("int") + 1
         return F.struct(
@@ -100,27 +104,49 @@ def _described(texts: DataFrame, levels: Column, percent: int, counters: int) ->
 
     keys = F.sort_array(F.array_distinct(F.transform(words(F.col("content")), key)))
     # the optimiser puts the subquery into the expression that uses it, so the array is not copied into rows
-    described = _lines(texts).withColumn("levels", levels).select("doc_id", "line", bind(keys, summary).alias("s"))
-    return described.select("doc_id", "line", "s.*").filter("n > 0")
+    worded = _lines(texts).filter(F.length(F.btrim("content", F.lit(WHITE))) > 0).withColumn("levels", levels)
+    return worded.select("doc_id", "line", bind(keys, summary).alias("s")).select("doc_id", "line", "s.*")
 
 
-def _may_match(x: str, y: str, percent: int) -> Column:
-    """Length, positional and bitmap filter on rows with size (n), place in the prefix (pos) and bitmap (sig)."""
+def _may_match(x: str, y: str, percent: int, bitmaps: list[str]) -> Column:
+    """Length, positional and bitmap filter on rows with size (n), place in the prefix (pos) and parity bitmaps."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     room = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    differing = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig")))
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
         & ((100 + percent) * room >= percent * (n + m))
-        & ((100 + percent) * differing <= (100 - percent) * (n + m))
+        & ((100 + percent) * _differing(x, y, bitmaps) <= (100 - percent) * (n + m))
     )
 
 
+def _differing(x: str, y: str, bitmaps: list[str]) -> Column:
+    """A lower bound of how many words only one of two lines has."""
+    return sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bitmaps)
+
+
+WIDE_BITMAP = ["s0", "s1", "s2", "s3"]
+
+
+def _wide_bitmap(items: Column) -> list[Column]:
+    """A parity bitmap of 256 bits in four longs."""
+
+    def quarter(i: int) -> Column:
+        return F.aggregate(
+            items,
+            F.lit(0).cast("long"),
+            lambda acc, x: F.when(
+                F.shiftright(x, 6).bitwiseAND(F.lit(3).cast("long")) == i, acc.bitwiseXOR(_shifted_one(F.hash(x)))
+            ).otherwise(acc),
+        )
+
+    return [quarter(i).alias(name) for i, name in enumerate(WIDE_BITMAP)]
+
+
 def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     """(k) of the later classes of the pairs (x, y) whose words are similar enough."""
     left = contents.select(F.col("k").alias("x"), F.col("items").alias("x_items"))
     right = contents.select(F.col("k").alias("y"), F.col("items").alias("y_items"))
-    both = pairs.join(right, "y").join(left, "x")
+    both = pairs.select("x", "y").join(right, "y").join(left, "x")
     common = F.size(F.array_intersect("x_items", "y_items"))
     enough = (100 + percent) * common >= percent * (F.size("x_items") + F.size("y_items"))
     return both.filter(enough).select(F.col("y").alias("k")).distinct()
@@ -137,53 +163,54 @@ def removed_lines(
     )
 
     # sets of up to three words are similar to equal sets only
-    prefixes = lines.filter("n > 3").select("k", "sig", "n", F.posexplode("prefix").alias("pos", "word"))
-    listed = prefixes.repartition("word").dropDuplicates()
+    firsts = classes.select("k", "first.doc_id", "first.line")
+    prefixes = lines.filter("n > 3").join(firsts, ["k", "doc_id", "line"], "left_semi")
+    # columns in the order of the table: no projection, so that both sides of the self-join read the same shuffle
+    listed = prefixes.select("k", "n", "sig", F.posexplode("prefix").alias("pos", "word"))
     x, y = listed.alias("x"), listed.alias("y")
-    partnered = (F.col("x.word") == F.col("y.word")) & (F.col("x.k") != F.col("y.k")) & _may_match("x", "y", percent)
+    partnered = (F.col("x.word") == F.col("y.word")) & (F.col("x.k") != F.col("y.k")) & _may_match("x", "y", percent, ["sig"])
     met = written(x.join(y, partnered, "left_semi"))
 
-    asked = classes.join(met.select("k").distinct(), "k", "left_semi").select("k", "first.doc_id", "first.line")
-    asked = written(asked)
+    asked = written(firsts.join(met.select("k").distinct(), "k", "left_semi"))
     place = F.xxhash64("doc_id", "line")
     sought = bitmap_of(asked.select(place.alias("h")))
+    hashes = F.transform(F.array_distinct(words(F.col("content"))), lambda w: F.xxhash64(w))
     contents = written(
         _lines(texts)
         .filter(in_bitmap(sought, place))
         .distinct()
         .join(asked, ["doc_id", "line"])
-        .select("k", F.array_distinct(words(F.col("content"))).alias("items"))
+        .select("k", "doc_id", "line", hashes.alias("items"))
     )
+    wide = contents.select("k", "doc_id", "line", *_wide_bitmap(F.col("items")))
+    rows = written(met.drop("sig").join(wide, "k"))
 
-    rows = written(met.join(asked, "k"))
-    earliest = rows.groupBy("word").agg(F.min(F.struct("doc_id", "line", "k", "sig", "n", "pos")).alias("f"))
-    earliest = earliest.select("word", "f.*")
+    together = F.col("x.word") == F.col("y.word")
+    alike = _may_match("x", "y", percent, WIDE_BITMAP)
+    order = ["doc_id", "line", "k", "n", "pos", *WIDE_BITMAP]
+    earliest = rows.groupBy("word").agg(F.min(F.struct(*order)).alias("f")).select("word", "f.*")
     first_pairs = (
         rows.alias("y")
-        .join(
-            earliest.alias("x"),
-            (F.col("x.word") == F.col("y.word")) & (F.col("x.k") != F.col("y.k")) & _may_match("x", "y", percent),
-        )
+        .join(earliest.alias("x"), together & (F.col("x.k") != F.col("y.k")) & alike)
         .select(F.col("x.k").alias("x"), F.col("y.k").alias("y"))
         .distinct()
     )
     done = written(_verified(first_pairs, contents, percent))
 
-    def before(a: str, b: str) -> Column:
-        return (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")) | (
-            (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.line") < F.col(f"{b}.line"))
-        )
-
-    rest = rows.join(done, "k", "left_anti")
-    other_pairs = (
-        rest.alias("y")
-        .join(
-            rows.alias("x"),
-            (F.col("x.word") == F.col("y.word")) & before("x", "y") & _may_match("x", "y", percent),
-        )
-        .select(F.col("x.k").alias("x"), F.col("y.k").alias("y"))
+    before = (F.col("x.doc_id") < F.col("y.doc_id")) | (
+        (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line") < F.col("y.line"))
+    )
+    distance = _differing("x", "y", WIDE_BITMAP) / (F.col("x.n") + F.col("y.n"))
+    other_pairs = written(
+        rows.join(done, "k", "left_anti")
+        .alias("y")
+        .join(rows.alias("x"), together & before & alike)
+        .select(F.col("x.k").alias("x"), F.col("y.k").alias("y"), distance.alias("distance"))
         .distinct()
     )
+    likeliest = other_pairs.groupBy("y").agg(F.min_by("x", "distance").alias("x"))
+    done = written(done.union(_verified(likeliest, contents, percent)))
+    other_pairs = other_pairs.join(done.select(F.col("k").alias("y")), "y", "left_anti")
     similar = done.union(_verified(other_pairs, contents, percent)).withColumn("similar", F.lit(True))
 
     losing = classes.join(similar, "k", "left").filter((F.col("times") > 1) | F.col("similar").isNotNull())
