@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,15 @@ WHITE_RUN = "[ \\x09-\\x0D]+"
 
 
 def words(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text in order; no words for null or blank text."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text in order; no words for null or blank text.
+
+    A text whose only white space is the space is cut at a plain character, which takes no regular expression.
+    """
     trimmed = F.btrim(text, F.lit(WHITE))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, WHITE_RUN)).otherwise(F.array().cast("array<string>"))
+    other = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in WHITE[1:]])
+    none = F.array().cast("array<string>")
+    mixed = F.when(F.length(trimmed) > 0, F.split(trimmed, WHITE_RUN)).otherwise(none)
+    return F.when(other, mixed).when(F.length(text) > 0, F.array_remove(F.split(text, " "), "")).otherwise(none)
 
 
 def count_words(text: Column) -> Column:

@@ -56,7 +56,7 @@ def rarity_levels(texts: DataFrame, counters: int = COUNTERS) -> Column:
     """
     place = F.hash("word").bitwiseAND(F.lit(counters - 1))
     counted = (
-        texts.select(F.explode(words(F.col("text"))).alias("word")).groupBy(place.alias("place")).agg(F.count("*").alias("n"))
+        _lines(texts).select(F.explode(words(F.col("content"))).alias("word")).groupBy(place.alias("place")).agg(F.count("*").alias("n"))
     )
     level = F.shiftleft(F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("long"), 56)
     return _dense(texts.sparkSession, counted.select("place", level.alias("value")), counters)
@@ -178,7 +178,6 @@ def removed_lines(
     contents = written(
         _lines(texts)
         .filter(in_bitmap(sought, place))
-        .distinct()
         .join(asked, ["doc_id", "line"])
         .select("k", "doc_id", "line", hashes.alias("items"))
     )
