@@ -1,6 +1,7 @@
 """Each stage of the pipeline against plain Python on its own input, and the registered queries on the small tables."""
 
 import os
+import random
 
 import pytest
 
@@ -66,3 +67,20 @@ def test_run_and_queries_return_all_rows(spark):
     for name, query in registry.runs.items():
         if name != "op7_chat_format":
             assert query(spark, FOLDER).count() == n, name
+
+
+def test_near_dedup_stage_links_from_four_fifths_on(spark, make_docs):
+    docs, rng = [], random.Random(12)
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(100)]
+        docs.append((10 * group, " ".join(base)))
+        for k in (1, 2, 3):  # one or two changed words: 0.90 and 0.81; three: 0.73
+            w = list(base)
+            for place in rng.sample(range(10, 90, 10), k):
+                w[place] = f"changed{group}x{k}x{place}"
+            docs.append((10 * group + k, " ".join(w)))
+    groups = plain.components(docs, 80)
+    want = {i for i, _ in docs if groups[i][1] == i}
+    assert want != {i for i, (_, c) in plain.components(docs).items() if c == i}
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, make_docs(docs), "").collect()
+    assert {r["doc_id"] for r in got} == want
