@@ -23,8 +23,8 @@ NEAR_BANDS = 36
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the threshold table."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that pass the base rule and the threshold table; repeated lines are left to the next stage."""
+    return quality_rules.apply_rules(docs, rules=quality_rules.RULES_BEFORE_LINE_DEDUP).filter("kept").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm import plain
-from tripleframe.llm import mixing
+from tripleframe.llm import mixing, quality_rules
 from tripleframe.llm.common import written
 from tripleframe.llm.queries import registry
 
@@ -84,3 +84,21 @@ def test_near_dedup_stage_links_from_four_fifths_on(spark, make_docs):
     assert want != {i for i, (_, c) in plain.components(docs).items() if c == i}
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, make_docs(docs), "").collect()
     assert {r["doc_id"] for r in got} == want
+
+
+def test_quality_stage_leaves_repeated_lines_to_line_dedup(spark, make_docs):
+    long = " ".join(f"the word{i}" for i in range(40))
+    half = [" ".join(f"the part{k}x{i}" for i in range(15)) for k in range(2)]
+    docs = make_docs([
+        (1, f"The short heading here\n{long}\nThe short heading here"),  # one line of three, 4 words of 88
+        (2, "\n".join([half[0], half[1], half[0], half[0]])),  # 60 words of 120
+        (3, long),
+        (4, None),
+    ])
+    stage = dict(corpus_pipeline.STAGES)
+    kept = written(stage["quality_rules"](spark, docs, ""))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3}
+    cleaned = {r["doc_id"]: r["text"] for r in stage["line_dedup"](spark, kept.filter("doc_id = 1"), "").collect()}
+    assert cleaned == {1: f"The short heading here\n{long}"}
+    shares = quality_rules.apply_rules(docs).select("doc_id", "measures.dup_word_share").collect()
+    assert {r[0]: r[1] for r in shares} == {1: 4 / 88, 2: 0.5, 3: 0.0, 4: None}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleframe.llm.common import WHITE, bind, count_chars, words
+from tripleframe.llm.common import WHITE, bind, count_chars, count_words, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -34,6 +34,9 @@ RULES: list[tuple[str, float | None, float | None]] = [
     ("words_per_line", 3.0, None),
 ]
 
+# Where line dedup follows, repetition counts by the words that it would take away, whatever the number of lines.
+RULES_BEFORE_LINE_DEDUP = [("dup_word_share", low, high) if name == "dup_line_share" else (name, low, high) for name, low, high in RULES]
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -86,10 +89,15 @@ def measures(text: Column, stop_words: list[str] | None = None) -> Column:
         )
 
     def of_lines(x: Column) -> Column:
-        return F.struct(
-            F.size(x).cast("long").alias("n_lines"),
-            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        )
+        def with_distinct(d: Column) -> Column:
+            left = F.aggregate(d, F.lit(0).cast("long"), lambda acc, line: acc + count_words(line))
+            return F.struct(
+                F.size(x).cast("long").alias("n_lines"),
+                (F.size(x) - F.size(d)).cast("long").alias("n_dup_lines"),
+                F.when(F.size(d) < F.size(x), left).alias("n_distinct_line_words"),
+            )
+
+        return bind(F.array_distinct(x), with_distinct)
 
     counts = F.struct(
         bind(words(text), of_words).alias("w"),
@@ -113,6 +121,7 @@ def measures(text: Column, stop_words: list[str] | None = None) -> Column:
             (c["w"]["n_stop_words"] / n).alias("stop_word_share"),
             (c["l"]["n_dup_lines"] / n_lines).alias("dup_line_share"),
             (n / n_lines).alias("words_per_line"),
+            ((n - F.coalesce(c["l"]["n_distinct_line_words"], n)) / n).alias("dup_word_share"),
         )
 
     return bind(counts, with_ratios)
