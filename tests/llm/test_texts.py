@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -140,6 +141,42 @@ def test_terms_that_give_entities_away(make_docs):
     assert "Zorbax" not in clean[100] and "[email]" in clean[100] and clean[100].endswith(" in the text")
 
 
+def test_terms_of_whole_documents_at_every_place(make_docs):
+    rng = random.Random(6)
+    url = "https://example.org/" + "a1b/" * 60
+    far = " ".join(f"w{i % 17}" for i in range(300))
+    docs = [(i, f"plain w{i % 17} text {i}") for i in range(80)]
+    docs += [(100 + i, f"é😀 Zorbax\twrote.  {far} x{i} mail me@corp.org or {url}\nthen Zorbax and {far} {url} Zorbax.") for i in range(2)]
+    docs += [(200 + i, " ".join(rng.choice("abcdefghij") for _ in range(9)) + f" 10.0.0.{i % 3} u{i % 4}") for i in range(9)]
+    docs += [(300, "me@other.org alone Quux"), (301, "me@third.org"), (302, "me@third.org Solo"), (303, "me@third.org Solo")]
+    holding = {}
+    for k, (_, text) in enumerate(docs):
+        for a, _, b, kind in base_spans(text):
+            holding.setdefault(f"{kind}:{text[a:b]}", set()).add(k)
+    spans = [base_spans(t) for _, t in docs]
+    free = [
+        [m for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if not any(s[0] < m.end() and m.start() < s[2] for s in found)]
+        for (_, t), found in zip(docs, spans, strict=True)
+    ]
+    outside = [{m.group() for m in f} for f in free]
+    every = [set(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t in docs]
+    want = {d: {} for d, _ in docs}
+    for rows in holding.values():
+        for term in set().union(*(outside[k] for k in rows)):
+            both, n = sum(term in outside[k] for k in rows), len(docs)
+            share = math.log2(both * n / (sum(term in e for e in every) * len(rows))) / math.log2(n / len(rows))
+            if both >= 2 and share >= 0.5:
+                for k in rows:
+                    for m in free[k]:
+                        if m.group() == term:
+                            place = want[docs[k][0]]
+                            place[m.span()] = max(share, place.get(m.span(), 0))
+    got = {r["doc_id"]: {(x["start"], x["end"]): x["action"] for x in r["terms"]} for r in pii.personal_data(make_docs(docs)).collect()}
+    assert got == {d: {s: "remove" if x >= 0.9 else "generalise" for s, x in places.items()} for d, places in want.items()}
+    found = [docs[80][1][a:b] for a, b in sorted(got[100])]
+    assert found.count("Zorbax") == 2 and found.count(url) == 2
+
+
 def test_personal_data_odd_rows(make_docs):
     docs = make_docs([(None, "x a@b.cd"), (1, None), (1, ""), (2, "a@b.cd"), (2, "a@b.cd")]).selectExpr("*", "1 AS row", "2 AS base")
     rows = sorted([(str(r["doc_id"]), r["n_email"]) for r in pii.counts_and_spans(docs).collect()])

@@ -4,14 +4,16 @@
 Java's matcher gives no offsets here, so a text is split at its matches and the lengths are added up. The patterns are
 written with possessive quantifiers and anchored runs: same matches, but no backtracking and no deep recursion.
 
-The found values are the protected entities. A term near an entity gives it away when knowing the term says much about
-the entity: with documents as events, information(term; entity) = log2(n(both) * N / (n(term) * n(entity))) is compared
-with all there is to know, log2(N / n(entity)). From ``GENERALISE`` of it on a term is generalised, from ``REMOVE`` on
-removed, provided that at least ``SUPPORT`` documents show it together with the entity; in one document alone everything
-would reveal everything. All counts are over all documents. Terms are whole words within ``REACH`` words of an entity.
+The found values are the protected entities. A term in a document with an entity gives it away when knowing the term says
+much about the entity: with documents as events, information(term; entity) = log2(n(both) * N / (n(term) * n(entity))) is
+compared with all there is to know, log2(N / n(entity)). From ``GENERALISE`` of it on a term is generalised, from
+``REMOVE`` on removed, provided that at least ``SUPPORT`` documents show it together with the entity; in one document
+alone everything would reveal everything. All counts are over whole documents, and every occurrence of a term in a
+document with the entity is marked. Terms are whole words outside all base spans, of any length.
 
-Texts are read twice (spans with their surroundings; in how many documents the terms occur) and never shuffled. Counts
-are combined before each shuffle. Entity-term pairs meet their counts in equi-joins, so a frequent entity is a row.
+Texts are read twice (spans and, where there is one, the words; in how many documents the terms occur) and never
+shuffled; the distinct words of documents with an entity are, and pairs are built only for entities in ``SUPPORT``
+documents, since no other can reach it. Pairs meet their counts in equi-joins, so a frequent entity is a row.
 
 Defined results: null text is empty and has no spans. Repeated rows get equal results and each counts as a document. Rows
 without doc_id are treated like others. An empty table gives an empty result. Other columns take no part.
@@ -34,8 +36,7 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 TERM = "term"
-REACH = 3
-CONTEXT_CHARS = 96
+BLOCK = 128
 SUPPORT = 2
 GENERALISE = 0.5
 REMOVE = 0.9
@@ -120,49 +121,54 @@ def entity_of(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def surroundings(text: Column, spans: Column, reach: int = REACH, chars: int = CONTEXT_CHARS) -> Column:
-    """(entity, term, start, end) of whole words within ``reach`` words of a span and outside all base spans."""
-    word = "[^\\x20\\x09-\\x0D]+"
-
-    def near(span: Column) -> Column:
-        low = F.greatest(span["start"] - chars, F.lit(0))
-        left = F.substring(text, low + 1, span["start"] - low)
-        right = F.substring(text, span["end"] + 1, F.lit(chars))
-        whole_left = F.filter(
-            found(left, word), lambda x: ((x["start"] > 0) | (low == 0)) & (x["end"] < F.length(left))
-        )
-        whole_right = F.filter(
-            found(right, word), lambda x: (x["start"] > 0) & ((x["end"] < F.length(right)) | (F.length(right) < chars))
-        )
-        before = F.transform(
-            F.slice(F.reverse(whole_left), F.lit(1), F.lit(reach)),
-            lambda x: F.struct(x["value"].alias("term"), (low + x["start"]).alias("start"), (low + x["end"]).alias("end")),
-        )
-        after = F.transform(
-            F.slice(whole_right, F.lit(1), F.lit(reach)),
-            lambda x: F.struct(
-                x["value"].alias("term"), (span["end"] + x["start"]).alias("start"), (span["end"] + x["end"]).alias("end")
+def placed_words(text: Column, spans: Column, block: int = BLOCK) -> Column:
+    """(term, start, end) of the words outside all base spans, in order.
+
+    Lengths are added up for blocks of pieces first, so a long text costs no quadratic copying.
+    """
+
+    def in_block(pieces: Column, begin: Column) -> Column:
+        return F.aggregate(
+            pieces,
+            F.struct(begin.alias("at"), F.array().cast("array<struct<term: string, start: int, end: int>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x) + 1).alias("at"),
+                F.when(F.length(x) == 0, acc["out"])
+                .otherwise(
+                    F.array_append(
+                        acc["out"],
+                        F.struct(x.alias("term"), acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end")),
+                    )
+                )
+                .alias("out"),
             ),
-        )
-        free = F.filter(
-            F.concat(before, after),
-            lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
-        )
-        return F.transform(
-            free,
-            lambda t: F.struct(
-                entity_of(span).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")
-            ),
-        )
+        )["out"]
+
+    def of_blocks(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda acc, w: acc + F.length(w) + 1))
+        begins = F.aggregate(
+            sizes,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        )["out"]
+        return F.flatten(F.zip_with(blocks, begins, in_block))
+
+    def cut(pieces: Column) -> Column:
+        count = F.ceil(F.size(pieces) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(pieces, i * block + 1, F.lit(block)))
+
+    blocks = bind(F.split(text, "[\\x20\\x09-\\x0D]", -1), cut)
+    return F.filter(
+        bind(blocks, of_blocks), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    )
 
-    return F.flatten(F.transform(spans, near))
 
+def disclosing_terms(near: DataFrame, entities: DataFrame, texts: DataFrame, documents: Column | int) -> DataFrame:
+    """(entity, term, share) of the distinct (row, entity, term) in ``near``: how much of the entity the term gives away.
 
-def disclosing_terms(near: DataFrame, texts: DataFrame, documents: Column | int) -> DataFrame:
-    """(entity, term, share) of the pairs in ``near`` (row, entity, term): how much of the entity the term gives away."""
-    together = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    together = together.filter(F.col("n_both") >= SUPPORT)
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    ``entities`` has (entity, n_entity), in how many documents each occurs.
+    """
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
     asked = together.select("term").distinct()
     everywhere = (
         texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
@@ -184,16 +190,21 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             "doc_id",
             F.monotonically_increasing_id().alias("row"),
             "base",
-            surroundings(F.col("text"), F.col("base")).alias("near"),
+            F.when(F.size("base") > 0, placed_words(F.col("text"), F.col("base"))).alias("words"),
         )
     )
-    near = spotted.filter("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.*")
-    shares = disclosing_terms(near, texts, spotted.count()).filter(F.col("share") >= GENERALISE)
+    holders = spotted.filter("size(base) > 0")
+    named = holders.select("row", F.explode(F.array_distinct(F.transform("base", entity_of))).alias("entity"))
+    entities = named.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
+    held = holders.select("row", F.explode(F.array_distinct(F.transform("words", lambda x: x["term"]))).alias("term"))
+    near = written(named.join(entities.select("entity"), "entity").join(held, "row").select("row", "entity", "term"))
+    shares = disclosing_terms(near, entities, texts, spotted.count()).filter(F.col("share") >= GENERALISE)
     action = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
+    marked = near.join(shares, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
     terms = (
-        near.join(shares, ["entity", "term"])
-        .groupBy("row", "start", "end")
-        .agg(F.max("share").alias("share"))
+        holders.select("row", F.explode("words").alias("x"))
+        .select("row", "x.*")
+        .join(marked, ["row", "term"])
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
     )
