@@ -34,7 +34,7 @@ SHARD_CELLS = 1 << 21
 QUERY_CELLS = 1 << 20
 # Shares of a shard's postings after which a proof is tried, and the share of rows that it may leave to rescore.
 CHECKS = (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875)
-RESCORE_SHARE = 1 / 16
+RESCORE_SHARE = 1 / 4
 # Bounds stay exact in a double below this; longer numbers are scored one by one with Python's integers.
 EXACT = 1 << 52
 
@@ -49,7 +49,7 @@ class ImpactIndex:
         self.level = ((vectors - self.low) // self.width).astype(np.int8)
         dims, levels, self.rows = [], [], []
         for d in range(vectors.shape[1]):
-            order = np.argsort(self.level[:, d], kind="stable").astype(np.int32)
+            order = np.argsort(self.level[:, d], kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(self.level[order, d])) + 1):
                 dims.append(d)
                 levels.append(self.level[rows[0], d])
@@ -73,26 +73,36 @@ class ImpactIndex:
         order = np.argsort(-impact, kind="stable")
         reached = np.cumsum(self.sizes[order])
         reach = np.abs(query) * (self.high - self.low)
-        slack = np.abs(query) * (self.width - 1)
-        gained = np.zeros(n, dtype=np.int64)
+        base = int(np.minimum(query * self.low, query * self.high).sum())
+        gained = np.full(n, base, dtype=np.int64)
         # The next level to come of each dimension: from the top down for positive components, else from the bottom up.
-        limit = np.where(query > 0, LEVELS, -1)
-        at = 0
+        sign = np.where(query > 0, 1, -1).astype(np.int8)
+        limit = np.where(query > 0, LEVELS, 1).astype(np.int8)
+        at, best = 0, np.iinfo(np.int64).min
         for share in (*CHECKS, 1.0):
-            stop = int(np.searchsorted(reached, share * n * dims)) + 1
+            stop = min(int(np.searchsorted(reached, share * n * dims)) + 1, len(order))
             for segment in order[at:stop].tolist():
                 gained[self.rows[segment]] += impact[segment]
-                limit[self.dims[segment]] = self.levels[segment]
-            at = min(stop, len(order))
+            # A later segment of a dimension lies nearer to its low end, so the last one marks how far it was processed.
+            limit[self.dims[order[at:stop]]] = sign[self.dims[order[at:stop]]] * self.levels[order[at:stop]]
+            at = stop
             frontier = impact[order[at]] if at < len(order) else 0
-            seen = np.where(query > 0, self.level >= limit, self.level <= limit)
-            sums = np.stack([np.minimum(reach, frontier), slack], axis=1).astype(np.float64)
-            open_, loose = (np.where(seen, 0.0, 1.0) @ sums[:, 0]), (seen @ sums[:, 1])
-            least = gained - loose
-            may = np.flatnonzero(gained + open_ >= np.partition(least, n - k)[n - k])
-            if len(may) <= max(n * RESCORE_SHARE, 2 * k):
+            open_most = np.minimum(reach, frontier).astype(np.float32) * np.float32(1 + 1e-6)
+            # The k-th best exact score of some rows that lead so far is a lower bound of the k-th best of all.
+            leading = np.argpartition(gained, n - min(n, 8 * k))[n - min(n, 8 * k) :]
+            best = max(best, int(np.sort(self.vectors[leading] @ query)[-k]))
+            # A sample tells whether a proof is worth trying; the proof itself looks at every row.
+            if at < len(order) and self._possible(slice(None, None, 16), gained, sign, limit, open_most, best).mean() > RESCORE_SHARE:
+                continue
+            may = np.flatnonzero(self._possible(slice(None), gained, sign, limit, open_most, best))
+            if len(may) <= n * RESCORE_SHARE:
                 break
-        return may, at and float(reached[at - 1]) / (n * dims)
+        return may, float(reached[at - 1]) / (n * dims)
+
+    def _possible(self, rows, gained, sign, limit, open_most, best) -> np.ndarray:
+        """Which rows may still score ``best``: dimensions not processed for a row add at most the frontier."""
+        open_ = (self.level[rows] * sign < limit).astype(np.float32) @ open_most
+        return gained[rows] + open_ * (1 + 1e-5) + 1 >= best
 
 
 def _fits(vectors: np.ndarray, queries: np.ndarray) -> bool:
