@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.operators.bindings import Bindings
-from tripleframe.operators.patterns import active_graph, is_variable
+from tripleframe.operators.patterns import Graph, active_graph, is_variable
 from tripleframe.session import cut_lineage
 
 
@@ -20,11 +20,13 @@ def _graph_keys(edge_table: DataFrame) -> list[str]:
     return ["g"] if "g" in edge_table.columns else []
 
 
-def edges(quads: DataFrame, *predicates: str, graph: str | None = None) -> DataFrame:
+def edges(quads: Graph, *predicates: str, graph: str | None = None) -> DataFrame:
     """Edges of one predicate, or of several in one scan."""
     keys = ["g"] if graph is not None and is_variable(graph) else []
     p = F.col("p")
     hit = p == predicates[0] if len(predicates) == 1 else p.isin(list(predicates))
+    if len(predicates) == 1 and not isinstance(quads, DataFrame):
+        quads = quads.narrowed(p=predicates[0])
     return active_graph(quads, graph).where(hit).select(*keys, "s", "o")
 
 
@@ -49,7 +51,7 @@ def alternative(*options: DataFrame) -> DataFrame:
 
 
 def nodes(
-    quads: DataFrame, graph: str | None = None, constants: list[str] | None = None
+    quads: Graph, graph: str | None = None, constants: list[str] | None = None
 ) -> DataFrame:
     """Identity pairs of every subject and object, and of constants the graph may not contain."""
     keys = ["g"] if graph is not None and is_variable(graph) else []

@@ -17,6 +17,8 @@ from tripleframe.functions import terms as t
 from tripleframe.operators.bindings import Bindings
 
 Slot = Any
+# Quads as a DataFrame, or a source that narrows its rows by constants: a mapped or a stored graph.
+Graph = Any
 
 
 def is_variable(slot: Slot) -> bool:
@@ -27,8 +29,28 @@ def _constant(slot: Slot) -> Column:
     return F.lit(slot) if isinstance(slot, str) else t.term(slot)
 
 
-def active_graph(quads: DataFrame, graph: str | None = None) -> DataFrame:
+def all_quads(graph: Graph) -> DataFrame:
+    """The rows of a graph as ``(g, s, p, o)``."""
+    return graph if isinstance(graph, DataFrame) else graph.quads
+
+
+def _key(slot: Slot) -> str | None:
+    """The term text of a constant that is known before the query runs."""
+    if is_variable(slot) or isinstance(slot, Column):
+        return None
+    return slot if isinstance(slot, str) else t.literal_key(slot)
+
+
+def _candidates(quads: Graph, s: Slot, p: Slot, o: Slot, graph: str | None) -> DataFrame:
+    """The rows among which a pattern's matches are; sources with pruning get its constants."""
+    if isinstance(quads, DataFrame):
+        return quads
+    return quads.narrowed(_key(s), _key(p), _key(o), None if graph is None else _key(graph))
+
+
+def active_graph(quads: Graph, graph: str | None = None) -> DataFrame:
     """Rows of the default graph, of one named graph, or of every named graph (``?g``)."""
+    quads = all_quads(quads)
     if graph is None:
         return quads.where(F.col("g").isNull())
     if is_variable(graph):
@@ -36,9 +58,9 @@ def active_graph(quads: DataFrame, graph: str | None = None) -> DataFrame:
     return quads.where(F.col("g") == graph)
 
 
-def pattern(quads: DataFrame, s: Slot, p: Slot, o: Slot, graph: str | None = None) -> Bindings:
+def pattern(quads: Graph, s: Slot, p: Slot, o: Slot, graph: str | None = None) -> Bindings:
     """Match one triple pattern. Constants reach the scan; a repeated variable adds an equality."""
-    df = active_graph(quads, graph)
+    df = active_graph(_candidates(quads, s, p, o, graph), graph)
     slots = [("s", s), ("p", p), ("o", o)]
     if graph is not None and is_variable(graph):
         slots.append(("g", graph))
@@ -53,20 +75,36 @@ def pattern(quads: DataFrame, s: Slot, p: Slot, o: Slot, graph: str | None = Non
     return Bindings(df.select(*[F.col(c).alias(v[1:]) for v, c in first.items()]))
 
 
-def _join_order(patterns: list[tuple], sizes: dict[str, int] | None) -> list[tuple]:
-    """Most constants first, then whatever touches a known variable, small predicates first."""
+# Rows, distinct subjects and distinct objects of a predicate.
+Sizes = dict[str, tuple[int, int, int]]
+
+
+def _statistics(quads: Graph, predicates: Iterable[Slot]) -> Sizes | None:
+    """What a source knows of its predicates; None where it keeps no statistics."""
+    if not hasattr(quads, "statistics"):
+        return None
+    return quads.statistics([p for p in predicates if isinstance(p, str) and not is_variable(p)])
+
+
+def _estimate(p: tuple, seen: set[str], sizes: Sizes) -> float:
+    """Rows that a pattern gives for each row found so far, or all its rows if it touches none of them."""
+    rows, subjects, objects = sizes.get(p[1], (0, 0, 0)) if isinstance(p[1], str) else (float("inf"), 1, 1)
+    known = [not is_variable(x) or x in seen for x in (p[0], p[2])]
+    for hit, distinct in zip(known, (subjects, objects), strict=True):
+        rows = rows / max(distinct, 1) if hit else rows
+    return rows
+
+
+def _join_order(patterns: list[tuple], sizes: Sizes | None) -> list[tuple]:
+    """Whatever touches a known variable next, by the rows it is expected to give; without statistics most constants first."""
 
     def variables(p: tuple) -> set[str]:
         return {x for x in p if is_variable(x)}
 
-    def cost(p: tuple) -> tuple:
-        size = (sizes or {}).get(p[1], float("inf")) if isinstance(p[1], str) else float("inf")
-        return (len(variables(p)), size)
-
     rest, ordered, seen = list(patterns), [], set()
     while rest:
         linked = [p for p in rest if variables(p) & seen] or rest
-        best = min(linked, key=cost)
+        best = min(linked, key=lambda p: len(variables(p)) if sizes is None else _estimate(p, seen, sizes))
         rest.remove(best)
         ordered.append(best)
         seen |= variables(best)
@@ -74,17 +112,19 @@ def _join_order(patterns: list[tuple], sizes: dict[str, int] | None) -> list[tup
 
 
 def bgp(
-    quads: DataFrame,
+    quads: Graph,
     patterns: list[tuple[Slot, Slot, Slot]],
     graph: str | None = None,
-    predicate_sizes: dict[str, int] | None = None,
+    statistics: Sizes | None = None,
 ) -> Bindings:
     """Join several triple patterns on their shared variables.
 
     Inside ``graph="?g"`` all patterns match in the same named graph, because ``g`` is shared too.
-    Columns come out in the order the variables are first written, whatever the join order.
+    Columns come out in the order the variables are first written, whatever the join order. The order follows
+    the statistics of a stored graph, or those that are given.
     """
-    parts = [pattern(quads, *p, graph=graph) for p in _join_order(patterns, predicate_sizes)]
+    sizes = _statistics(quads, [p[1] for p in patterns]) if statistics is None else statistics
+    parts = [pattern(quads, *p, graph=graph) for p in _join_order(patterns, sizes)]
     joined = reduce(Bindings.join, parts)
     written = [x[1:] for p in patterns for x in p if is_variable(x)]
     if graph is not None and is_variable(graph):
@@ -93,14 +133,23 @@ def bgp(
 
 
 def star(
-    quads: DataFrame, subject: str, predicates: dict[str, str], graph: str | None = None
+    quads: Graph, subject: str, predicates: dict[str, str], graph: str | None = None
 ) -> Bindings:
     """Several predicates of one subject in a single scan and one shuffle.
 
     Subjects with one value per predicate come straight from the aggregation. Those with several
     are joined the ordinary way, so the result always equals :func:`bgp` over the same patterns.
+
+    Statistics decide before planning: where no subject has two values of a predicate, the aggregation is all there
+    is; where predicates have many values on average, the patterns are joined.
     """
     subject_name = subject[1:]
+    sizes = _statistics(quads, predicates)
+    if sizes is not None and any(n > 2 * subjects for n, subjects, _ in sizes.values()):
+        return bgp(quads, [(subject, p, v) for p, v in predicates.items()], graph, sizes)
+    functional = sizes is not None and all(n == subjects for n, subjects, _ in sizes.values())
+    if not isinstance(quads, DataFrame):
+        quads = reduce(DataFrame.unionByName, [quads.narrowed(p=p) for p in predicates])
     names = {p: v[1:] for p, v in predicates.items()}
     rows = active_graph(quads, graph).where(F.col("p").isin(list(names)))
     aggs = []
@@ -114,6 +163,8 @@ def star(
     single = counted.where(present & ~many).select(
         F.col("s").alias(subject_name), *names.values()
     )
+    if functional:
+        return Bindings(single)
     busy = rows.join(counted.where(present & many).select("s"), "s", "left_semi")
     joined = bgp(
         busy.withColumn("g", F.lit(None).cast("string")),

@@ -51,6 +51,6 @@ def iri(kind: str, *columns: str) -> str:
 
 
 def load() -> Registry:
-    from tripleframe.queries import evaluation, functions, graph, linking, retrieval, schema  # noqa: F401
+    from tripleframe.queries import evaluation, functions, graph, linking, retrieval, schema, stored  # noqa: F401
 
     return registry

@@ -25,7 +25,7 @@ def shop(spark, d):
 
 @once
 def melted_shop(spark, d):
-    return R.shop_graph(spark, d, melted=True)
+    return R.melted_shop_graph(spark, d)
 
 
 documents = once(R.document_graph)
@@ -169,7 +169,7 @@ def graph_allowlist(spark, d):
 
 @add("SELECT 'http://example.org/inNation' AS p, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'http://example.org/inRegion', count(*) FROM nation")
 def path_predicate_allowlist(spark, d):
-    kept = P.allow_path_predicates(shop(spark, d), [EX + "inNation", EX + "inRegion"])
+    kept = P.allow_path_predicates(shop(spark, d).quads, [EX + "inNation", EX + "inRegion"])
     return kept.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 

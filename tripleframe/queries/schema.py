@@ -86,12 +86,12 @@ def remove_schema_terms(spark, d):
 
 @add(f"SELECT DISTINCT {iri('graph', 'source')} AS iri FROM documents")
 def discover_named_graphs(spark, d):
-    return discovery.named_graphs(documents(spark, d)).select("iri")
+    return discovery.named_graphs(documents(spark, d).quads).select("iri")
 
 
 @once
 def shop_snapshot(spark, d):
-    return discovery.snapshot(melted_shop(spark, d).unionByName(documents(spark, d)))
+    return discovery.snapshot(melted_shop(spark, d).unionByName(documents(spark, d).quads))
 
 
 @add(f"""{_Q} SELECT 'class' AS kind, count(DISTINCT k) AS n FROM ty UNION ALL SELECT 'property', count(DISTINCT p) FROM q

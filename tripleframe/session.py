@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)

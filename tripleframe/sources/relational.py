@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tripleframe import vocab as V
 from tripleframe.functions import terms as t
+from tripleframe.sources import mapped as M
 
 
 def entity(kind: str, *keys: str | Column) -> Column:
@@ -49,68 +50,62 @@ def melted_triples(
     return rows.select("g", "s", "x.p", "x.o").where(F.col("o").isNotNull())
 
 
-def shop_properties() -> dict[str, tuple[Column, dict[str, Column]]]:
+def shop_properties() -> dict[str, tuple[M.Term, dict[str, M.Term]]]:
     """Table name to (subject, properties) of the order-and-parts tables."""
 
-    def iri(kind: str) -> Column:
-        return F.lit(V.EX + kind)
-
-    def amount(name: str) -> Column:
-        return t.double_term(F.col(name))
-
-    def label(name: str, lang: str | None = None) -> Column:
-        return t.lang_term(F.col(name), lang) if lang else t.string_term(F.col(name))
+    def kind(name: str) -> M.Term:
+        return M.constant(V.EX + name)
 
     return {
         "region": (
-            entity("region", "r_regionkey"),
-            {V.RDF_TYPE: iri("Region"), V.RDFS_LABEL: label("r_name")},
+            M.entity("region", "r_regionkey"),
+            {V.RDF_TYPE: kind("Region"), V.RDFS_LABEL: M.text("r_name")},
         ),
         "nation": (
-            entity("nation", "n_nationkey"),
+            M.entity("nation", "n_nationkey"),
             {
-                V.RDF_TYPE: iri("Nation"),
-                V.RDFS_LABEL: label("n_name"),
-                V.EX + "inRegion": entity("region", "n_regionkey"),
+                V.RDF_TYPE: kind("Nation"),
+                V.RDFS_LABEL: M.text("n_name"),
+                V.EX + "inRegion": M.entity("region", "n_regionkey"),
             },
         ),
         "customer": (
-            entity("customer", "c_custkey"),
+            M.entity("customer", "c_custkey"),
             {
-                V.RDF_TYPE: iri("Customer"),
-                V.RDFS_LABEL: label("c_name"),
-                V.EX + "inNation": entity("nation", "c_nationkey"),
-                V.EX + "balance": amount("c_acctbal"),
-                V.EX + "segment": label("c_mktsegment", "en"),
+                V.RDF_TYPE: kind("Customer"),
+                V.RDFS_LABEL: M.text("c_name"),
+                V.EX + "inNation": M.entity("nation", "c_nationkey"),
+                V.EX + "balance": M.double("c_acctbal"),
+                V.EX + "segment": M.text("c_mktsegment", "en"),
             },
         ),
         "supplier": (
-            entity("supplier", "s_suppkey"),
+            M.entity("supplier", "s_suppkey"),
             {
-                V.RDF_TYPE: iri("Supplier"),
-                V.RDFS_LABEL: label("s_name"),
-                V.EX + "inNation": entity("nation", "s_nationkey"),
-                V.EX + "balance": amount("s_acctbal"),
+                V.RDF_TYPE: kind("Supplier"),
+                V.RDFS_LABEL: M.text("s_name"),
+                V.EX + "inNation": M.entity("nation", "s_nationkey"),
+                V.EX + "balance": M.double("s_acctbal"),
             },
         ),
         "part": (
-            entity("part", "p_partkey"),
+            M.entity("part", "p_partkey"),
             {
-                V.RDF_TYPE: iri("Part"),
-                V.RDFS_LABEL: label("p_name"),
-                V.EX + "brand": label("p_brand"),
-                V.EX + "size": t.integer_term(F.col("p_size")),
-                V.EX + "price": amount("p_retailprice"),
+                V.RDF_TYPE: kind("Part"),
+                V.RDFS_LABEL: M.text("p_name"),
+                V.EX + "brand": M.text("p_brand"),
+                V.EX + "size": M.integer("p_size"),
+                V.EX + "price": M.double("p_retailprice"),
             },
         ),
         "orders": (
-            entity("order", "o_orderkey"),
+            M.entity("order", "o_orderkey"),
             {
-                V.RDF_TYPE: iri("Order"),
-                V.EX + "placedBy": entity("customer", "o_custkey"),
-                V.EX + "status": label("o_orderstatus"),
-                V.EX + "total": amount("o_totalprice"),
-                V.EX + "placedOn": t.datetime_term(F.col("o_orderdate")),
+                V.RDF_TYPE: kind("Order"),
+                V.EX + "placedBy": M.entity("customer", "o_custkey"),
+                V.EX + "status": M.text("o_orderstatus"),
+                V.EX + "total": M.double("o_totalprice"),
+                V.EX + "placedOn": M.moment("o_orderdate"),
             },
         ),
     }
@@ -120,14 +115,21 @@ def read_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, Data
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
-def shop_graph(spark: SparkSession, folder: str, melted: bool = False) -> DataFrame:
+def shop_graph(spark: SparkSession, folder: str) -> M.MappedGraph:
     """Customers, orders, parts and places as a default graph."""
-    build = melted_triples if melted else triples
     specs = shop_properties()
     tables = read_tables(spark, folder, *specs)
-    return reduce(
-        DataFrame.unionByName, [build(tables[n], s, props) for n, (s, props) in specs.items()]
-    )
+    return M.MappedGraph([x for n, (s, props) in specs.items() for x in M.branches(tables[n], s, props)])
+
+
+def melted_shop_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The same graph with one pass over each table."""
+    specs = shop_properties()
+    tables = read_tables(spark, folder, *specs)
+    parts = [
+        melted_triples(tables[n], s.column, {p: o.column for p, o in props.items()}) for n, (s, props) in specs.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def contains_graph(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,19 +141,15 @@ def contains_graph(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def document_graph(spark: SparkSession, folder: str) -> DataFrame:
+def document_graph(spark: SparkSession, folder: str) -> M.MappedGraph:
     """Documents with a language-tagged title text, one named graph per source."""
     docs = read_tables(spark, folder, "documents")["documents"]
-    return triples(
-        docs,
-        entity("doc", "doc_id"),
-        {
-            V.RDF_TYPE: F.lit(V.EX + "Document"),
-            V.DEFAULT_PREFIXES["dct"] + "title": t.lang_term(F.col("text"), F.col("lang")),
-            V.EX + "length": t.integer_term(F.col("n_chars")),
-        },
-        graph=entity("graph", "source"),
-    )
+    properties = {
+        V.RDF_TYPE: M.constant(V.EX + "Document"),
+        V.DEFAULT_PREFIXES["dct"] + "title": M.opaque(t.lang_term(F.col("text"), F.col("lang"))),
+        V.EX + "length": M.integer("n_chars"),
+    }
+    return M.MappedGraph(M.branches(docs, M.entity("doc", "doc_id"), properties, graph=M.entity("graph", "source")))
 
 
 def reply_graph(spark: SparkSession, folder: str) -> DataFrame:
