@@ -71,3 +71,23 @@ def test_typed_sums_and_means(spark):
     assert got["b"][0] == t.literal_key(10**20 + 1)
     low = Bindings(spark.createDataFrame([(t.literal_key(v),) for v in (-9007199254740993, -9007199254740992)], "x string"), [])
     assert A.group(low, [], {"m": A.min_(x)}).df.first()["m"] == t.literal_key(-9007199254740993)
+
+
+def test_sums_of_long_numbers_are_exact_or_an_error(spark):
+    big = "9" * 38
+
+    def total(*numbers, of=A.sum_term):
+        rows = [(f'"{n}"^^{V.XSD}{"decimal" if "." in n else "integer"}',) for n in numbers]
+        df = spark.createDataFrame([*rows, (None,), ('"text"',)], "x string")
+        return df.agg(of(F.col("x")).alias("s")).first()["s"][1:].split('"')[0]
+
+    assert total("1", "9" * 37) == str(10**37)
+    assert total(big, "-1") == "9" * 37 + "8"
+    assert total(big, "-" + big, "5") == "5"
+    assert total("00" + big, "-" + big) == "0"
+    assert total("9" * 27, "1", of=A.avg_term) == "5" + "0" * 26 + ".0"
+    for numbers in (("1", big), ("9" * 39,), ("-" + "9" * 39, "1"), ("1." + "0" * 28 + "1",)):
+        with pytest.raises(Exception, match="digits"):
+            total(*numbers)
+    with pytest.raises(Exception, match="digits"):
+        total("1", big, of=A.avg_term)

@@ -92,3 +92,50 @@ def test_product(spark):
     b = Bindings(spark.createDataFrame([("3",), ("4",)], "y string"))
     assert a.join(b).df.count() == 4
     assert a.filter(F.lit(True)).optional(b.filter(F.lit(False))).df.count() == 2
+
+
+def test_exists_as_a_flag_beside_unbound_variables(pair):
+    """EXISTS inside a larger condition, with and without a condition that reads both sides."""
+    left, right = pair
+    hit = lambda l: any(compatible(l, r, "xy") for r in dicts(RIGHT, "r"))
+    got = left.filter_exists(right, lambda e: e | (F.col("l") == "l5"))
+    assert result(got) == sorted([(r[2], r[0], r[1]) for r in LEFT if hit(dict(zip("xyl", r))) or r[2] == "l5"], key=str)
+    got = left.filter_exists(right, lambda e: ~e)
+    assert result(got) == sorted([(r[2], r[0], r[1]) for r in LEFT if not hit(dict(zip("xyl", r)))], key=str)
+    wanted = lambda l: any(compatible(l, r, "xy") and r["r"] > "r1" for r in dicts(RIGHT, "r"))
+    for got, keep in (
+        (left.filter_exists(right, lambda e: e, lambda l, r: r("r") > "r1"), True), (left.exists(right, lambda l, r: r("r") > "r1"), True),
+        (left.not_exists(right, lambda l, r: r("r") > "r1"), False),
+    ):
+        assert result(got) == sorted([(r[2], r[0], r[1]) for r in LEFT if wanted(dict(zip("xyl", r))) == keep], key=str)
+
+
+def test_each_side_is_read_once(pair, spark, tmp_path):
+    paths = []
+    for name, side in zip("lr", pair):
+        side.df.write.parquet(f"{tmp_path}/{name}")
+        paths.append(Bindings(spark.read.parquet(f"{tmp_path}/{name}"), side.certain))
+    left, right = paths
+    for made in (
+        left.join(right), left.optional(right), left.minus(right), left.exists(right), left.not_exists(right),
+        left.filter_exists(right, lambda e: e | F.col("l").isNull()), left.optional(right, lambda l, r: r("r") > l("l")),
+    ):
+        plan = made.df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_many_unbound_variables(spark):
+    rng = __import__("random").Random(6)
+    names = ["a", "b", "c", "d"]
+    make = lambda n, third: [tuple(rng.choice([None, "1", "2"]) for _ in names) + (f"{third}{i}",) for i in range(n)]
+    rows_l, rows_r = make(40, "l"), make(30, "r")
+    left = Bindings(spark.createDataFrame(rows_l, "a string, b string, c string, d string, l string"), ["l"])
+    right = Bindings(spark.createDataFrame(rows_r, "a string, b string, c string, d string, r string"), ["r"])
+    ls, rs = [dict(zip([*names, "l"], r)) for r in rows_l], [dict(zip([*names, "r"], r)) for r in rows_r]
+    want = [merged(l, r) for l in ls for r in rs if compatible(l, r, names)]
+    assert result(left.join(right)) == sorted(want, key=str)
+    alone = [merged(l, {"r": None, **dict.fromkeys(names)}) for l in ls if not any(compatible(l, r, names) for r in rs)]
+    assert result(left.optional(right)) == sorted(want + alone, key=str)
+    shares = lambda l, r: any(l[v] is not None and l[v] == r[v] for v in names)
+    kept = [tuple(l[k] for k in sorted(l)) for l in ls if not any(compatible(l, r, names) and shares(l, r) for r in rs)]
+    assert result(left.minus(right)) == sorted(kept, key=str)

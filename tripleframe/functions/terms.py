@@ -449,7 +449,8 @@ def coalesce(*options: Any) -> Column:
 # ---- arithmetic -----------------------------------------------------------------------------
 
 
-def _too_wide() -> Column:
+def too_wide() -> Column:
+    """The error of exact numbers beyond 38 digits: it ends the query, since an unbound value would hide the number."""
     return F.raise_error(F.lit("an exact number needs more than 38 digits"))
 
 
@@ -461,7 +462,7 @@ def _scaled(k: Column) -> Column:
         n = F.when((p["whole"] == "") & (p["part"] == ""), F.lit(0).cast(_WIDE)).otherwise(digits.try_cast(_WIDE))
         return F.when(
             p.isNotNull(),
-            F.struct(F.coalesce(n, _too_wide().cast(_WIDE)).alias("n"), F.length(p["part"]).alias("scale")),
+            F.struct(F.coalesce(n, too_wide().cast(_WIDE)).alias("n"), F.length(p["part"]).alias("scale")),
         )
 
     return F.transform(F.array(exact_parts(k)), body)[0]
@@ -469,7 +470,7 @@ def _scaled(k: Column) -> Column:
 
 def _grown(n: Column, zeros: Column) -> Column:
     """n * 10**zeros."""
-    return F.coalesce(F.concat(n.cast("string"), F.repeat(F.lit("0"), zeros)).try_cast(_WIDE), _too_wide().cast(_WIDE))
+    return F.coalesce(F.concat(n.cast("string"), F.repeat(F.lit("0"), zeros)).try_cast(_WIDE), too_wide().cast(_WIDE))
 
 
 def _point(n: Column, scale: Column, datatype: Column | str = V.DECIMAL) -> Column:
@@ -501,7 +502,7 @@ def _quotient(x: Column, y: Column) -> Column:
     size = F.length(F.translate(x["n"].cast("string"), "-", ""))
     grown = F.greatest(28 - size, F.lit(0))
     top = _grown(x["n"], grown).try_cast("decimal(28,0)")
-    quotient = F.try_divide(F.coalesce(top, _too_wide().cast("decimal(28,0)")), y["n"])
+    quotient = F.try_divide(F.coalesce(top, too_wide().cast("decimal(28,0)")), y["n"])
     digits = F.translate(quotient.cast("decimal(38,10)").cast("string"), ".", "")
     scale = grown + x["scale"] - y["scale"] + 10
     shifted = F.concat(digits, F.repeat(F.lit("0"), F.greatest(-scale, F.lit(0))))
@@ -516,7 +517,7 @@ def _arithmetic(a: Any, b: Any, on_int, on_exact, on_dbl) -> Column:
             found = on_exact(p["x"], p["y"])
             if isinstance(found, Column):
                 return found
-            n, scale = F.coalesce(found[0], _too_wide().cast(_WIDE)), found[1]
+            n, scale = F.coalesce(found[0], too_wide().cast(_WIDE)), found[1]
             return F.when(p["x"].isNotNull() & p["y"].isNotNull(), wide_integer_term(n) if whole else _point(n, scale))
 
         return F.transform(F.array(F.struct(_scaled(x).alias("x"), _scaled(y).alias("y"))), body)[0]
@@ -571,7 +572,7 @@ def _unary(a: Any, minus, up, on_dbl) -> Column:
     """``up`` tells, of the (minus, whole, part) of a decimal, what to add to its whole part; ``minus`` keeps the sign."""
 
     def whole(p: Column) -> Column:
-        n = F.coalesce(F.concat(F.lit("0"), p["whole"]).try_cast(_WIDE), _too_wide().cast(_WIDE))
+        n = F.coalesce(F.concat(F.lit("0"), p["whole"]).try_cast(_WIDE), too_wide().cast(_WIDE))
         signed = F.when(p["minus"] & F.lit(minus), -n).otherwise(n)
         return (signed + up(p)).cast(_WIDE)
 

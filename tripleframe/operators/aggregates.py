@@ -7,6 +7,7 @@ native doubles for results that are only read.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,10 +44,21 @@ def avg(k: Column) -> Column:
 
 
 def _exact_sum(k: Column) -> Column:
-    """Sum of the integers and decimals as a decimal term: whole parts and 28 digits after the point are added apart."""
+    """Sum of the integers and decimals as a decimal term: whole parts and 28 digits after the point are added apart.
+
+    A whole part, or a sum of them, of more than 38 digits is an error that ends the query, and so are more than 28 digits
+    after the point; no number is left out.
+    """
     p = t.exact_parts(k)
     sign = F.when(p["minus"], F.lit(-1)).otherwise(1).cast("decimal(1,0)")
-    whole = F.sum(sign * F.concat(F.lit("0"), p["whole"]).try_cast("decimal(37,0)"))
+    # Upper and lower digits are added apart, so that the sum of long numbers does not overflow on the way.
+    digits = F.lpad(p["whole"], F.lit(38), F.lit("0"))
+    fits = F.length(p["whole"]) <= 38
+    short = lambda text: F.when(fits, text.cast("decimal(19,0)")).otherwise(t.too_wide().cast("decimal(19,0)"))
+    parts = [F.sum(F.when(p.isNotNull(), sign * short(F.substring(digits, at, 19)))) for at in (1, 20)]
+    upper, lower = (x.cast("decimal(38,0)") for x in parts)
+    joined = F.try_add(F.try_multiply(upper, F.lit(Decimal(10**19))), lower)
+    whole = F.when(upper.isNotNull(), F.coalesce(joined, t.too_wide().cast("decimal(38,0)")))
     long = F.length(p["part"]) > 28
     part = F.sum(
         F.when(long, F.raise_error(F.lit("a decimal has more than 28 digits after the point")).cast("decimal(28,28)")).otherwise(

@@ -2,17 +2,18 @@
 
 ``Bindings`` also knows which variables are *certain* (bound in every row). That decides whether a
 join can be a plain equi-join or has to treat an unbound variable as compatible with any value. The
-latter is split by null pattern into equi-joins, because the one-condition form would run as a
-nested loop over all pairs.
+one-condition form of the latter would run as a nested loop over all pairs. Instead every row is tagged with a mask of its
+unbound shared variables, and copied for each mask the other side may have; rows then meet in one equi-join on the pair of
+masks and the variables that are bound on both sides. Each side is read once, with 2**k copies of its rows for k variables that
+may be unbound on the other side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from functools import reduce
-from itertools import chain, combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +29,14 @@ def right_col(name: str) -> Column:
     return F.col(f"`{RIGHT}{name}`")
 
 
-def _subsets(names: list[str]) -> Iterator[tuple[str, ...]]:
-    return chain.from_iterable(combinations(names, n) for n in range(len(names) + 1))
+def _mask(names: list[str]) -> Column:
+    """One bit for each variable that is unbound in the row."""
+    bits = [F.when(left_col(n).isNull(), 1 << i).otherwise(0) for i, n in enumerate(names)]
+    return reduce(lambda a, b: a + b, bits, F.lit(0))
 
 
-def _with_nulls(df: DataFrame, names: list[str], nulls: tuple[str, ...]) -> DataFrame:
-    for n in names:
-        df = df.where(df[n].isNull() if n in nulls else df[n].isNotNull())
-    return df
+# Internal columns: mask of the row, mask of the other side it is copied for, keys, number of the row.
+_OWN, _FACING, _KEY, _ROW, _HIT = "__own", "__facing", "__key", "__row", "__hit"
 
 
 class Bindings:
@@ -118,84 +119,95 @@ class Bindings:
             parts.append(condition(left_col, right_col))
         return reduce(lambda a, b: a & b, parts) if parts else None
 
+    def _facing(self, shared: list[str], own: list[str], other: list[str]) -> DataFrame:
+        """Rows copied for every mask of ``other`` that the other side may have, with the key they meet on.
+
+        A variable that is unbound on either side is left out of the key by both, since both know the two masks.
+        """
+        masks = F.explode(F.array(*[F.lit(i) for i in range(1 << len(other))]))
+        df = self.df.withColumn(_OWN, _mask(own)).withColumn(_FACING, masks)
+        keys = {}
+        for i, v in enumerate(shared):
+            free = F.lit(False)
+            for names, mask in ((own, _OWN), (other, _FACING)):
+                if v in names:
+                    free = free | (F.col(mask).bitwiseAND(1 << names.index(v)) != 0)
+            keys[f"{_KEY}{i}"] = F.when(free, F.lit("")).otherwise(left_col(v))
+        return df.withColumns(keys)
+
+    def _met(self, other: Bindings, condition: Condition | None, how: str, numbered: bool = False) -> DataFrame:
+        """One equi-join of the tagged sides; ``_HIT`` marks rows that met a row on the right.
+
+        Without variables that may be unbound this is the plain join on the shared variables.
+        """
+        shared, maybe_l, maybe_r = self._shared(other)
+        left = Bindings(self.df.withColumn(_ROW, F.monotonically_increasing_id())) if numbered else self
+        right = other._renamed().withColumn(_HIT, F.lit(True))
+        if not maybe_l and not maybe_r:
+            on = self._on(shared, condition)
+            return left.df.join(right, F.lit(True) if on is None else on, how)
+        tagged = other._facing(shared, maybe_r, maybe_l)
+        right = tagged.toDF(*[RIGHT + v for v in tagged.columns]).withColumn(_HIT, F.lit(True))
+        pairs = [(_OWN, _FACING), (_FACING, _OWN), *[(f"{_KEY}{i}", f"{_KEY}{i}") for i in range(len(shared))]]
+        on = reduce(lambda a, b: a & b, [F.col(a) == F.col(RIGHT + b) for a, b in pairs])
+        on = on if condition is None else on & condition(left_col, right_col)
+        return left._facing(shared, maybe_l, maybe_r).join(right, on, how)
+
     def join(self, other: Bindings) -> Bindings:
         """Join on shared variables; unbound is compatible with anything. No shared: product."""
-        shared, maybe_l, maybe_r = self._shared(other)
         certain = self.certain | other.certain
-        if not maybe_l and not maybe_r:
-            on = self._on(shared, None)
-            right = other._renamed()
-            joined = self.df.crossJoin(right) if on is None else self.df.join(right, on)
-            return Bindings(self._merged(joined, other), certain)
-        parts = []
-        for nl in _subsets(maybe_l):
-            left = _with_nulls(self.df, maybe_l, nl)
-            for nr in _subsets(maybe_r):
-                right = Bindings(_with_nulls(other.df, maybe_r, nr))._renamed()
-                keys = [v for v in shared if v not in nl and v not in nr]
-                on = self._on(keys, None)
-                joined = left.crossJoin(right) if on is None else left.join(right, on)
-                parts.append(self._merged(joined, other))
-        return Bindings(reduce(DataFrame.unionByName, parts), certain)
+        if not self._shared(other)[0]:
+            return Bindings(self._merged(self.df.crossJoin(other._renamed()), other), certain)
+        return Bindings(self._merged(self._met(other, None, "inner"), other), certain)
 
     def optional(self, other: Bindings, condition: Condition | None = None) -> Bindings:
         """Left join. ``condition(l, r)`` is a filter written inside the optional part."""
+        copied = bool(self._shared(other)[2])
+        met = self._met(other, condition, "left", numbered=copied)
+        if copied:
+            # A row was copied for each mask of the right; if no copy met anything, the first stands for the row.
+            hits = F.count(_HIT).over(Window.partitionBy(_ROW))
+            met = met.withColumn(_HIT, F.col(_HIT).isNotNull() | ((hits == 0) & (F.col(_FACING) == 0))).where(_HIT)
+        return Bindings(self._merged(met, other), self.certain)
+
+    def _flagged(self, other: Bindings, condition: Condition | None, need_shared: bool = False) -> DataFrame:
+        """The rows with ``_HIT``: whether any compatible row is on the right. Each side is read once.
+
+        The right is reduced to its distinct shared variables where no condition reads more of it.
+        """
         shared, maybe_l, maybe_r = self._shared(other)
-        if not maybe_l and not maybe_r:
-            on = self._on(shared, condition)
-            joined = self.df.join(other._renamed(), F.lit(True) if on is None else on, "left")
-            return Bindings(self._merged(joined, other), self.certain)
-        matched = []
-        for nl in _subsets(maybe_l):
-            left = _with_nulls(self.df, maybe_l, nl)
-            for nr in _subsets(maybe_r):
-                right = Bindings(_with_nulls(other.df, maybe_r, nr))._renamed()
-                keys = [v for v in shared if v not in nl and v not in nr]
-                on = self._on(keys, condition)
-                matched.append(
-                    self._merged(left.join(right, F.lit(True) if on is None else on), other)
-                )
-        df = reduce(DataFrame.unionByName, matched)
-        rest = self.not_exists(other, condition).df
-        return Bindings(df.unionByName(rest, allowMissingColumns=True), self.certain)
-
-    def _anti(self, other: Bindings, condition: Condition | None, need_shared: bool) -> DataFrame:
-        shared, maybe_l, maybe_r = self._shared(other)
-        parts = []
-        for nl in _subsets(maybe_l):
-            left = _with_nulls(self.df, maybe_l, nl)
-            for nr in _subsets(maybe_r):
-                keys = [v for v in shared if v not in nl and v not in nr]
-                if need_shared and not keys:
-                    continue
-                right = Bindings(_with_nulls(other.df, maybe_r, nr))._renamed()
-                on = self._on(keys, condition)
-                left = left.join(right, F.lit(True) if on is None else on, "left_anti")
-            parts.append(left)
-        return reduce(DataFrame.unionByName, parts)
+        right = other if condition is not None else Bindings(other.df.select(*shared).distinct(), other.certain)
+        met = self._met(right, condition, "left", numbered=True)
+        hit = F.col(_HIT).isNotNull()
+        if need_shared and (maybe_l or maybe_r):
+            both = [left_col(v).isNotNull() & right_col(v).isNotNull() for v in shared]
+            hit = hit & reduce(lambda a, b: a | b, both)
+        kept = [F.first(left_col(v)).alias(v) for v in self.variables]
+        return met.groupBy(_ROW).agg(*kept, F.max(hit).alias(_HIT))
 
     def minus(self, other: Bindings) -> Bindings:
         """Drop rows with a compatible row on the right that shares a bound variable."""
-        return Bindings(self._anti(other, None, need_shared=True), self.certain)
+        shared, maybe_l, maybe_r = self._shared(other)
+        if not shared:
+            return self
+        if not maybe_l and not maybe_r:
+            return self.not_exists(other)
+        flagged = self._flagged(other, None, need_shared=True)
+        return Bindings(flagged.where(~F.col(_HIT)).select(*self.variables), self.certain)
+
+    def _tested(self, other: Bindings, condition: Condition | None, how: str) -> Bindings:
+        if self._shared(other)[2]:
+            hit = F.col(_HIT) if how == "left_semi" else ~F.col(_HIT)
+            return Bindings(self._flagged(other, condition).where(hit).select(*self.variables), self.certain)
+        return Bindings(self._met(other, condition, how).select(*self.variables), self.certain)
 
     def not_exists(self, other: Bindings, condition: Condition | None = None) -> Bindings:
         """Drop rows with a compatible row on the right; ``condition`` may read both sides."""
-        return Bindings(self._anti(other, condition, need_shared=False), self.certain)
+        return self._tested(other, condition, "left_anti")
 
     def exists(self, other: Bindings, condition: Condition | None = None) -> Bindings:
         """Keep rows with a compatible row on the right, each once."""
-        shared, maybe_l, maybe_r = self._shared(other)
-        parts = []
-        for nl in _subsets(maybe_l):
-            left = _with_nulls(self.df, maybe_l, nl)
-            for nr in _subsets(maybe_r):
-                keys = [v for v in shared if v not in nl and v not in nr]
-                right = Bindings(_with_nulls(other.df, maybe_r, nr))._renamed()
-                on = self._on(keys, condition)
-                on = F.lit(True) if on is None else on
-                parts.append(left.join(right, on, "left_semi"))
-                left = left.join(right, on, "left_anti")
-        return Bindings(reduce(DataFrame.unionByName, parts), self.certain)
+        return self._tested(other, condition, "left_semi")
 
     def filter_exists(
         self,
@@ -205,12 +217,13 @@ class Bindings:
     ) -> Bindings:
         """Filter with EXISTS as part of a larger condition: ``test(exists)`` gets the flag.
 
-        The outer columns are read through copies with names that cannot occur inside, since a
-        subquery prefers its own columns when names agree.
+        Where shared variables may be unbound the flag comes from one join of the tagged sides. Otherwise it is a
+        subquery; its outer columns are read through copies with names that cannot occur inside, since a subquery prefers its own
+        columns when names agree.
         """
         shared, maybe_l, maybe_r = self._shared(other)
         if maybe_l or maybe_r:
-            raise ValueError("bind the shared variables first: " + ", ".join(maybe_l + maybe_r))
+            return Bindings(self._flagged(other, condition).where(test(F.col(_HIT))).select(*self.variables), self.certain)
 
         def outer(name: str) -> Column:
             return F.col(f"`{LEFT}{name}`").outer()

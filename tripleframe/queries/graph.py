@@ -309,6 +309,19 @@ def exists_inside_or(spark, d):
     return rich.filter_exists(dear, lambda found: t.gt(c("bal"), 9000) | found).project("c").df
 
 
+@add(f"""{_TWO}, u AS (SELECT k, o FROM r JOIN customer ON c_custkey = k WHERE o IS NOT NULL OR c_nationkey = 3)
+SELECT {iri('customer', 'l.k')} AS c, {iri('order', 'l.o')} AS o FROM l JOIN customer ON c_custkey = l.k
+WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM u WHERE u.k = l.k AND (l.o IS NULL OR u.o IS NULL OR l.o = u.o))""")
+def exists_inside_or_maybe_unbound(spark, d):
+    """EXISTS as a flag where the shared order may be unbound on both sides."""
+    g = shop(spark, d)
+    dear, urgent = _dear_and_urgent(spark, d)
+    third = P.pattern(g, "?c", EX + "inNation", EX + "nation/3").df.withColumn("third", F.lit(True))
+    some = urgent.df.join(third, "c", "left").where("o IS NOT NULL OR third").select("c", "o")
+    rich = dear.join(P.pattern(g, "?c", EX + "balance", "?bal"))
+    return rich.filter_exists(Bindings(some, ["c"]), lambda found: t.gt(c("bal"), 9000) | found).project("c", "o").df
+
+
 @add(f"SELECT {CUST} AS c, c_mktsegment AS seg FROM customer WHERE (c_nationkey = 1 AND c_mktsegment = 'BUILDING') OR (c_nationkey = 2 AND c_mktsegment = 'MACHINERY')")
 def values_join(spark, d):
     g = shop(spark, d)
