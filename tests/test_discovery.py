@@ -67,3 +67,52 @@ def test_prefixes(spark):
     df = spark.createDataFrame([("http://e/x/y",), ("http://e/y",), ("http://e/x/y/z",), ("http://q/",)], "x string")
     got = [r[0] for r in df.select(P.to_prefixed(F.col("x"), table)).collect()]
     assert got == ["b:y", "a:y", None, None]
+
+
+def scans(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("Initial Plan")[0].count("FileScan")
+
+
+def test_one_scan_makes_all_sections(g, spark, tmp_path):
+    g.write.parquet(f"{tmp_path}/g")
+    stored = spark.read.parquet(f"{tmp_path}/g")
+    assert scans(discovery.node_sets(stored)) == 1
+    profile = discovery.Profile(stored)
+    for section in (discovery.properties, discovery.classes, discovery.individuals, discovery.observed_range):
+        assert scans(section(profile)) == 0
+        assert sorted(map(str, section(profile).collect())) == sorted(map(str, section(stored).collect()))
+    assert scans(discovery.snapshot(stored)) == 1  # the graphs; the rest is the profile's
+
+
+def test_sets_of_a_graph_with_odd_rows(spark):
+    rows = [
+        (None, "_:b", V.RDF_TYPE, "http://C"), (None, "http://a", "http://p", "_:b"), (None, "http://a", "http://p", '"x"@en'),
+        (None, "http://a", "http://p", '"x"'), (None, "http://a", "http://q", "http://nowhere"), ("http://g", "http://z", "http://only", "http://a"),
+        (None, "http://C", V.SKOS + "prefLabel", '"see"'), (None, "http://D", V.RDF_TYPE, V.OWL + "Class"), (None, "http://a", V.RDF_TYPE, '"odd"'),
+    ]
+    g = spark.createDataFrame(rows * 2, SCHEMA)
+    assert {(r["iri"], r["type"]) for r in discovery.observed_range(g).collect()} == {
+        ("http://p", "http://C"), ("http://p", V.RDF + "langString"), ("http://p", V.XSD + "string"), (V.SKOS + "prefLabel", V.XSD + "string"),
+        (V.RDF_TYPE, V.XSD + "string"),
+    }
+    assert {r["iri"]: r["label"] for r in discovery.classes(g).collect()} == {"http://C": None, "http://D": None, V.OWL + "Class": None}
+    assert names(discovery.property_names(g)) == sorted(["http://p", "http://q", "rdf:type", V.SKOS + "prefLabel"])
+    assert names(discovery.individuals(g)) == ["http://a"]
+    assert discovery.snapshot(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_failed_section_keeps_its_last_version(g, spark, tmp_path):
+    path = str(tmp_path / "snap")
+    assert discovery.stored_snapshot(spark, path).count() == 0
+    discovery.refresh(spark, g, path)
+
+    def half(quads):
+        made = discovery.sections(quads.where(F.col("s") != EX + "dan"))
+        broken = made["property"].withColumn("label", F.raise_error(F.lit("no properties today")))
+        return {**made, "property": broken}
+
+    terms, done, notes = discovery.refresh(spark, g, path, force=True, build=half)
+    assert done and list(notes) == ["property"]
+    counts = {r["kind"]: r["n"] for r in discovery.status(terms).collect()}
+    assert counts == {"class": 5, "property": 8, "individual": 9, "graph": 1}
+    assert sorted(map(str, discovery.stored_snapshot(spark, path).collect())) == sorted(map(str, terms.collect()))

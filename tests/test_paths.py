@@ -67,3 +67,34 @@ def test_single_way_on(spark):
     want = {p for p in closure(chain) if p[0] in names}
     assert pairs(paths.reach(e, seeds)) == sorted(want)
     assert pairs(paths.reach(e, seeds, include_start=True)) == sorted(want | {(n, n) for n in names})
+
+
+@pytest.mark.parametrize("block", [3, 50_000])
+def test_hubs_are_cut_into_blocks(spark, block):
+    """A node with a third of all edges in and out, chains behind it, a cycle through it, and branches behind chains."""
+    edges = [(f"u{i}", "hub") for i in range(12)] + [("hub", f"v{i}") for i in range(12)] + [(f"v{i}", f"w{i}") for i in range(12)]
+    edges += [("w0", "c0")] + [(f"c{i}", f"c{i + 1}") for i in range(9)] + [("c9", "f"), ("f", "x"), ("f", "y"), ("y", "hub"), ("x", "z")]
+    e = spark.createDataFrame(edges, "s string, o string")
+    whole = closure(edges)
+    assert pairs(paths.one_or_more(e, block=block)) == sorted(whole)
+    seeds = spark.createDataFrame([("u3",), ("hub",), ("v0",), ("w5",), ("none",)], "s string")
+    names = {r[0] for r in seeds.collect()}
+    want = {p for p in whole if p[0] in names}
+    assert pairs(paths.reach(e, seeds, block=block)) == sorted(want)
+    assert pairs(paths.reach(e, seeds, block=block, include_start=True)) == sorted(want | {(n, n) for n in names})
+    near = {(a, b) for a, b in edges if a in names} | {(a, d) for a, b in edges if a in names for c, d in edges if b == c}
+    assert pairs(paths.reach(e, seeds, block=block, max_hops=2, on_limit="stop")) == sorted(near)
+
+
+def test_blocks_bound_the_edges_of_a_key(spark):
+    edges = spark.createDataFrame([("hub", f"v{i}") for i in range(1000)] + [("a", "b")], "__from string, __to string")
+    blocks, hubs = paths._blocked(edges, [], 100)
+    sizes = {(r[0], r[1]): r[2] for r in blocks.groupBy("__from", "__block").count().collect()}
+    assert hubs.collect() == [("hub", 10)] and len(sizes) == 11 and max(sizes.values()) < 150
+
+
+def test_reach_of_nothing(spark):
+    e = spark.createDataFrame([], "s string, o string")
+    seeds = spark.createDataFrame([("a",)], "s string")
+    assert pairs(paths.reach(e, seeds)) == [] and pairs(paths.one_or_more(e)) == []
+    assert pairs(paths.reach(e, seeds, include_start=True)) == [("a", "a")]

@@ -2,6 +2,11 @@
 
 ``edges``, ``inverse``, ``sequence`` and ``alternative`` keep duplicates; ``zero_or_one``,
 ``one_or_more`` and ``zero_or_more`` return distinct pairs.
+
+A node with very many ways on, a hub, would put all its edges into one task of every join. So the ways on of a node are
+cut into blocks of bounded size by the hash of their far end; pairs that arrive at a hub are copied to its blocks, all others
+meet their one block. Nodes with a single way on are followed by doubled hops, so a chain costs the logarithm of its
+length wherever it lies in the graph.
 """
 
 from __future__ import annotations
@@ -13,7 +18,10 @@ from pyspark.sql import functions as F
 
 from tripleframe.operators.bindings import Bindings
 from tripleframe.operators.patterns import Graph, active_graph, is_variable
-from tripleframe.session import cut_lineage
+from tripleframe.session import cut_lineage, stored
+
+# Ways on of one node that one block holds.
+BLOCK = 50_000
 
 
 def _graph_keys(edge_table: DataFrame) -> list[str]:
@@ -68,7 +76,28 @@ def zero_or_one(edge_table: DataFrame, identity: DataFrame) -> DataFrame:
     return edge_table.unionByName(identity).distinct()
 
 
-def one_or_more(edge_table: DataFrame) -> DataFrame:
+def _blocked(ways: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """``(keys, __from, __block, __to)`` of ``(keys, __from, __to)``, and the hubs with their number of blocks.
+
+    The hubs are few, an entry for each ``block`` edges at most; they are written, so Spark broadcasts them if they
+    are small and splits the skewed side of the join if they are not.
+    """
+    ends = [*keys, "__from"]
+    counted = ways.groupBy(*ends).agg(F.count("*").alias("__n")).where(F.col("__n") > block)
+    hubs = stored(counted.select(*ends, F.ceil(F.col("__n") / block).cast("int").alias("__blocks")))
+    number = F.when(F.col("__blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("__to"), "__blocks")).cast("int")
+    return ways.join(hubs, ends, "left").select(*ends, number.alias("__block"), "__to"), hubs
+
+
+def _step(pairs: DataFrame, blocks: DataFrame, hubs: DataFrame, keys: list[str]) -> DataFrame:
+    """One hop on from every pair; pairs that end at a hub are copied to each of its blocks."""
+    ends = [*keys, "__from"]
+    arrived = pairs.withColumnRenamed("o", "__from").join(hubs, ends, "left")
+    copied = arrived.withColumn("__block", F.explode(F.sequence(F.lit(0), F.coalesce("__blocks", F.lit(1)) - 1)))
+    return copied.join(blocks, [*ends, "__block"]).select(*keys, "s", F.col("__to").alias("o"))
+
+
+def one_or_more(edge_table: DataFrame, block: int = BLOCK) -> DataFrame:
     """Transitive closure with both ends free.
 
     The newest pairs are joined with everything found so far, so the number of rounds is the
@@ -81,7 +110,8 @@ def one_or_more(edge_table: DataFrame) -> DataFrame:
     rounds = [newest]
     while True:
         found = reduce(DataFrame.unionByName, rounds)
-        step = sequence(newest, found)
+        ways = found.select(*keys, F.col("s").alias("__from"), F.col("o").alias("__to"))
+        step = _step(newest, *_blocked(ways, keys, block), keys)
         newest = cut_lineage(step.distinct().join(found, cols, "left_anti").select(*cols))
         if newest.isEmpty():
             return found
@@ -92,6 +122,47 @@ def zero_or_more(edge_table: DataFrame, identity: DataFrame) -> DataFrame:
     return one_or_more(edge_table).unionByName(identity).distinct()
 
 
+class _Ways:
+    """The ways on of a graph: blocks of the nodes with several, doubled hops of the nodes with one."""
+
+    def __init__(self, edge_table: DataFrame, keys: list[str], block: int) -> None:
+        self.keys = keys
+        self.all = cut_lineage(edge_table.select(*keys, F.col("s").alias("__from"), F.col("o").alias("__to")).distinct())
+        self.block = block
+        ends = [*keys, "__from"]
+        # Counted without a window: a hub's edges are combined in the tasks that read them.
+        one = self.all.groupBy(*ends).agg(F.count("*").alias("__n"), F.min("__to").alias("__to"))
+        self.single = stored(one.where("__n = 1").select(*ends, "__to"))
+        self.jumps = [self.single]
+
+    def blocks(self, branching_only: bool) -> tuple[DataFrame, DataFrame]:
+        ends = [*self.keys, "__from"]
+        ways = self.all.join(self.single.select(*ends), ends, "left_anti") if branching_only else self.all
+        blocks, hubs = _blocked(ways, self.keys, self.block)
+        return cut_lineage(blocks.repartition(*ends, "__block")), hubs
+
+    def jump(self, level: int) -> DataFrame:
+        """Hops of ``2**level`` along single ways; the table never outgrows the edges."""
+        while len(self.jumps) <= level:
+            half = self.jumps[-1]
+            onward = half.select(*self.keys, F.col("__from").alias("__to"), F.col("__to").alias("__next"))
+            joined = half.join(onward, [*self.keys, "__to"])
+            self.jumps.append(stored(joined.select(*self.keys, "__from", F.col("__next").alias("__to"))))
+        return self.jumps[level]
+
+    def followed(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` and every node behind them up to the next one that branches or ends."""
+        found, level = pairs, 0
+        while True:
+            hops = self.jump(level)
+            new = found.withColumnRenamed("o", "__from").join(hops, [*self.keys, "__from"])
+            new = new.select(*self.keys, "s", F.col("__to").alias("o")).join(found, [*self.keys, "s", "o"], "left_anti")
+            new = cut_lineage(new.distinct())
+            if new.isEmpty():
+                return found
+            found, level = cut_lineage(found.unionByName(new)), level + 1
+
+
 def reach(
     edge_table: DataFrame,
     starts: DataFrame,
@@ -99,33 +170,38 @@ def reach(
     max_hops: int | None = None,
     on_limit: str = "error",
     consolidate_every: int = 8,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Distinct ``(start, node)`` pairs reachable from ``starts(s)``, walked one hop per round.
+    """Distinct ``(start, node)`` pairs reachable from ``starts(s)``.
 
-    Walk ``inverse(edges)`` when only the far end is known. The edge table is partitioned by its
-    source once and every round joins the small frontier to it. Where no node has two ways on, as in
-    reply chains, hops are doubled instead, so even one very long chain takes few rounds. With
-    ``max_hops``, an unfinished walk raises unless ``on_limit="stop"`` asks for the bounded answer.
+    Walk ``inverse(edges)`` when only the far end is known. A round takes one hop from the nodes that branch, then follows all single
+    ways by doubled hops, so the number of rounds is that of the branching nodes on a path. With ``max_hops`` every round is
+    one hop; an unfinished walk raises unless ``on_limit="stop"`` asks for the bounded answer.
     """
     keys = _graph_keys(edge_table)
     pair = keys + ["s", "o"]
-    hops = cut_lineage(
-        edge_table.select(*keys, F.col("s").alias("__from"), F.col("o").alias("__to"))
-        .distinct()
-        .repartition(*keys, "__from")
-    )
+    ways = _Ways(edge_table, keys, block)
+    bounded = max_hops is not None
+    blocks, hubs = ways.blocks(branching_only=not bounded)
     seeds = cut_lineage(starts.select(*keys, "s").distinct().withColumn("o", F.col("s")))
-    if max_hops is None:
-        branching = hops.groupBy(*keys, "__from").count().where(F.col("count") > 1)
-        if branching.isEmpty():
-            return _follow(hops, seeds, keys, include_start)
+
+    def single_hop(pairs: DataFrame) -> DataFrame:
+        hops = ways.single
+        return pairs.withColumnRenamed("o", "__from").join(hops, [*keys, "__from"]).select(*keys, "s", F.col("__to").alias("o"))
+
     seen = [seeds] if include_start else []
     frontier, hop = seeds, 0
     while True:
-        step = _step(frontier, hops, keys).distinct()
+        step = _step(frontier, blocks, hubs, keys)
+        if hop == 0 and not bounded:
+            # A start itself is no result yet, so its single way is taken as a hop of its own.
+            step = step.unionByName(single_hop(frontier))
+        step = step.distinct()
+        if not bounded:
+            step = ways.followed(cut_lineage(step))
         if seen:
             step = step.join(reduce(DataFrame.unionByName, seen), pair, "left_anti").select(*pair)
-        if max_hops is not None and hop == max_hops:
+        if bounded and hop == max_hops:
             if on_limit == "error" and not step.isEmpty():
                 raise ValueError(f"path goes on after {max_hops} hops; pass on_limit='stop' to cut")
             break
@@ -139,34 +215,6 @@ def reach(
     return reduce(DataFrame.unionByName, seen) if seen else frontier
 
 
-def _step(pairs: DataFrame, hops: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        pairs.withColumnRenamed("o", "__from")
-        .join(hops, keys + ["__from"])
-        .select(*keys, "s", F.col("__to").alias("o"))
-    )
-
-
-def _follow(hops: DataFrame, seeds: DataFrame, keys: list[str], include_start: bool) -> DataFrame:
-    """All nodes on the single way on from every seed, in logarithmically many rounds.
-
-    Round ``k`` appends what lies ``2**k`` hops behind the pairs found so far and doubles the hops.
-    The doubled table never outgrows the edge table, since every node has at most one way on.
-    """
-    pair = keys + ["s", "o"]
-    found = seeds if include_start else cut_lineage(_step(seeds, hops, keys))
-    while True:
-        new = _step(found, hops, keys).join(found, pair, "left_anti").select(*pair)
-        new = cut_lineage(new.distinct())
-        if new.isEmpty():
-            return found
-        found = cut_lineage(found.unionByName(new))
-        onward = hops.select(*keys, F.col("__from").alias("__to"), F.col("__to").alias("__next"))
-        hops = cut_lineage(
-            hops.join(onward, keys + ["__to"]).select(*keys, "__from", F.col("__next").alias("__to"))
-        )
-
-
 def as_bindings(edge_table: DataFrame, s: str, o: str, graph: str | None = None) -> Bindings:
     """Pairs as bindings; each end is a variable or a constant, ``?x ?x`` asks for cycles."""
     df = edge_table

@@ -483,6 +483,45 @@ def path_zero_or_more_with_cycles(spark, d):
     return paths.zero_or_more(_trade(spark, d), nations.withColumn("o", c("s")))
 
 
+_ALL = EX + "all"
+
+
+@add(f"""
+WITH w AS (SELECT {ORDER} AS o, {PLACED} AS c, {iri('nation', 'c_nationkey')} AS n, {iri('region', 'n_regionkey')} AS r, o_orderstatus AS st
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT '{_ALL}' AS s, o FROM w UNION SELECT '{_ALL}', c FROM w UNION SELECT '{_ALL}', n FROM w UNION SELECT '{_ALL}', r FROM w
+UNION SELECT o, c FROM w WHERE st = 'P' UNION SELECT o, n FROM w WHERE st = 'P' UNION SELECT o, r FROM w WHERE st = 'P'""")
+def path_reach_through_hub(spark, d):
+    """A hub with nearly half of all edges, followed by chains, from the hub and from open orders."""
+    g = shop(spark, d)
+    placed = paths.edges(g, EX + "placedBy")
+    hub = placed.select(F.lit(_ALL).alias("s"), c("s").alias("o"))
+    edges = paths.alternative(hub, placed, paths.edges(g, EX + "inNation"), paths.edges(g, EX + "inRegion"))
+    pending = P.pattern(g, "?s", EX + "status", t.literal_key("P")).df
+    starts = pending.unionByName(spark.createDataFrame([(_ALL,)], "s string"))
+    return paths.reach(edges, starts, block=1000)
+
+
+_USE = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'user/' || user_id AS a, 'kind/' || event_type AS b FROM events
+  UNION SELECT DISTINCT 'kind/' || event_type, 'all' FROM events
+  UNION SELECT DISTINCT 'all', 'hour/' || strftime(ts, '%Y-%m-%d') FROM events),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"""
+
+
+@add(f"{_USE} SELECT '{EX}' || a AS s, '{EX}' || b AS o FROM r")
+def path_closure_through_hubs(spark, d):
+    """Closure over all users of the events: few kinds that everybody uses, one node behind them, then days."""
+    events = R.read_tables(spark, d, "events")["events"]
+    at = lambda kind, x: F.concat(F.lit(EX + kind + "/"), x)
+    user, kind = at("user", c("user_id").cast("string")), at("kind", c("event_type"))
+    day = at("hour", F.date_format("ts", "yyyy-MM-dd"))
+    every = F.lit(_ALL)
+    edges = [events.select(a.alias("s"), b.alias("o")).distinct() for a, b in ((user, kind), (kind, every), (every, day))]
+    return paths.one_or_more(paths.alternative(*edges), block=200)
+
+
 # ---- aggregates -----------------------------------------------------------------------------
 
 

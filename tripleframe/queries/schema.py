@@ -9,6 +9,7 @@ from tripleframe.functions import terms as t
 from tripleframe.plans import discovery
 from tripleframe.queries import iri, once, registry
 from tripleframe.queries.graph import EX, documents, melted_shop
+from tripleframe.session import shared_path
 from tripleframe.sources import rdf, records, results
 from tripleframe.sources import relational as R
 
@@ -107,6 +108,27 @@ def schema_concepts(spark, d):
     return found.select("iri", "kind", F.array_join("domain", ",").alias("domain"), "source")
 
 
+@add(f"""{_Q} SELECT 'class' AS kind, count(DISTINCT k) AS n, 'second' AS from_run FROM ty WHERE k <> '{EX}Customer'
+UNION ALL SELECT 'property', count(DISTINCT p), 'first' FROM q
+UNION ALL SELECT 'individual', count(DISTINCT s), 'second' FROM ty WHERE k <> '{EX}Customer'""")
+def snapshot_after_failed_refresh(spark, d):
+    """A refresh, a second one over fewer rows whose properties fail, then what a reader finds."""
+    g = melted_shop(spark, d)
+    path = shared_path(spark)
+    first, _, _ = discovery.refresh(spark, g, path)
+    started = first.agg(F.max("last_refresh_at")).first()[0]
+
+    def fewer(quads):
+        customers = c("s").startswith(EX + "customer/") & (c("p") == V.RDF_TYPE)
+        made = discovery.sections(quads.where(~customers))
+        return {**made, "property": made["property"].withColumn("label", F.raise_error(F.lit("fails")))}
+
+    discovery.refresh(spark, g, path, force=True, build=fewer)
+    run = F.when(c("last_refresh_at") == F.lit(started), "first").otherwise("second")
+    found = discovery.stored_snapshot(spark, path).withColumn("from_run", run)
+    return found.groupBy("kind", "from_run").agg(F.count(F.lit(1)).alias("n")).select("kind", "n", "from_run")
+
+
 # ---- readers and writers --------------------------------------------------------------------
 
 
