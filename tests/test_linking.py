@@ -196,3 +196,38 @@ def test_hints(spark, schema):
     }
     more = hints.infer(q, sel, schema, with_grouping=True).where("rule = 'grouping'").collect()
     assert [(r["question_id"], r["property_iri"].replace(EX, "")) for r in more] == [(0, "worksFor")]
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10])
+def test_best_candidates_equal_all_pairs_and_measure_few(spark, limit):
+    """Names of similar words: nearly all pairs pass the bound of 0.4, few have to be measured."""
+    import random
+
+    rng = random.Random(9)
+    parts = ["red", "blue", "large", "small", "widget", "gear", "gizmo", "anvil", "rod", "bolt", "hinge", "copper", "steel", "oak"]
+    names = sorted({" ".join(rng.sample(parts, rng.randint(1, 3))) + rng.choice(["", " x", " 12", " nine"]) for _ in range(160)})
+    asked = sorted({n[: rng.randint(3, len(n))][::-1][::-1] + rng.choice(["", "z", " old"]) for n in rng.sample(names, 60)} | {"zzzz", "--"})
+    kinds = ["class", "property"]
+    rows = [(kinds[i % 2], f"http://t/{i:03d}", None, n, [names[i - 1]] if i % 9 == 0 else []) for i, n in enumerate(names)]
+    terms = spark.createDataFrame(rows, "kind string, iri string, prefixed_name string, label string, aliases array<string>")
+    mentions = spark.createDataFrame(
+        [(a, ["class"] if i % 3 == 0 else None) for i, a in enumerate(asked)] + [(a, ["property"]) for a in asked[:20]], "mention string, kinds array<string>"
+    )
+    got = linking.link(mentions, terms, limit=limit)
+    found = {}
+    for r in got.collect():
+        found.setdefault((r["mention"], tuple(r["kinds"])), []).append((r["rank"], r["iri"], round(r["score"], 9)))
+    every = linking.top_k(
+        linking.all_candidates(mentions, terms), ["mention", "kinds"], [F.desc("score"), linking.kind_rank(F.col("kind")), F.asc("iri")], limit
+    )
+    want = {}
+    for r in every.collect():
+        want.setdefault((r["mention"], tuple(r["kinds"])), []).append((r["rank"], r["iri"], round(r["score"], 9)))
+    for key, rows in found.items():
+        assert sorted(rows) == sorted(want.get(key, [(0, "", 0.0)]))
+    assert set(want) <= set(found)
+    _, measured = linking.best_candidates(mentions, terms, limit)
+    pairs = measured.select("a_t", "b_t").collect()
+    assert len(pairs) == len(set(map(tuple, pairs)))
+    if limit == 1:
+        assert len(pairs) < 0.1 * len(asked) * len(names)

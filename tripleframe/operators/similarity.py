@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleframe.functions import text as tx
-from tripleframe.session import broadcast_if_small, use_all_cores
+from tripleframe.session import broadcast_if_small, stored, use_all_cores
 
 # ---- containment ----------------------------------------------------------------------------
 
@@ -97,48 +99,58 @@ def _character_tokens(c: Column) -> Column:
     return F.array_sort(F.flatten(numbered))
 
 
-def ratio_pairs(
-    left: DataFrame, left_col: str, right: DataFrame, right_col: str, min_ratio: float
-) -> DataFrame:
-    """All pairs of texts whose :func:`matching_ratio` is at least ``min_ratio``, with the ratio.
+_EPS = 1e-9
+
+
+def _prepared(df: DataFrame, side: str, ratio: Column) -> DataFrame:
+    """Adds the characters of ``<side>_t`` and those of them that a pair of at least ``ratio`` has to share one of."""
+    n = F.length(f"{side}_t")
+    least = F.ceil(n * (ratio / (2 - ratio)) - _EPS)
+    need = F.ceil((n + least) * (ratio / 2) - _EPS)
+    keep = F.greatest((n - need + 1).cast("int"), F.lit(1))
+    with_all = df.withColumns({f"{side}_n": n, f"{side}_all": _character_tokens(F.col(f"{side}_t"))})
+    return with_all.withColumn(f"{side}_pre", F.slice(f"{side}_all", F.lit(1), keep))
+
+
+def _ratio_candidates(left: DataFrame, right: DataFrame, level: float) -> DataFrame:
+    """Pairs whose bound lies in ``[lower, covered)``: ``left(a_t, lower, covered)`` with ``lower >= level`` by ``right(b_t)``.
 
     The ratio cannot exceed twice the shared characters over the total length. So a qualifying pair
     has similar lengths and shares enough characters that the rarest ones of both sides must meet
-    (prefix filtering). Pairs meet on such a character plus a length class, once each, then pass
-    the character bound, and only what is left is measured in Python.
+    (prefix filtering). Pairs meet on such a character plus a length class, once each, then pass the bound.
     """
-    if not 0 < min_ratio <= 1:
-        raise ValueError("min_ratio must be above 0 and at most 1")
-    spread = min_ratio / (2 - min_ratio)
-    eps = 1e-9
-
-    def prepare(df: DataFrame, name: str, side: str) -> DataFrame:
-        n = F.length("t")
-        least = F.ceil(n * spread - eps)
-        need = F.ceil((n + least) * (min_ratio / 2) - eps)
-        base = df.select(F.col(name).alias("t")).where(F.length("t") > 0).distinct()
-        return base.select(
-            F.col("t").alias(f"{side}_t"),
-            n.alias(f"{side}_n"),
-            _character_tokens(F.col("t")).alias(f"{side}_all"),
-            (n - need + 1).cast("int").alias("keep"),
-        ).withColumn(f"{side}_pre", F.slice(f"{side}_all", F.lit(1), F.greatest("keep", F.lit(1)))).drop("keep")
-
-    a, b = prepare(left, left_col, "a"), prepare(right, right_col, "b")
+    spread = level / (2 - level)
+    a, b = _prepared(left, "a", F.col("lower")), _prepared(right, "b", F.lit(level))
 
     def length_class(n: Column) -> Column:
         return F.floor(F.log2(n)).cast("int")
 
     a = a.withColumn("band", length_class(F.col("a_n"))).withColumn("token", F.explode("a_pre"))
-    low = F.greatest(F.ceil(F.col("b_n") * spread - eps), F.lit(1))
-    high = F.floor(F.col("b_n") / spread + eps)
+    low = F.greatest(F.ceil(F.col("b_n") * spread - _EPS), F.lit(1))
+    high = F.floor(F.col("b_n") / spread + _EPS)
     b = b.withColumn("band", F.explode(F.sequence(length_class(low), length_class(high))))
     b = b.withColumn("token", F.explode("b_pre"))
     first_shared = F.element_at(F.array_intersect("a_pre", "b_pre"), 1)
     bound = 2.0 * F.size(F.array_intersect("a_all", "b_all")) / (F.col("a_n") + F.col("b_n"))
-    met = a.join(b, ["token", "band"]).where(
-        (F.col("token") == first_shared) & (bound >= min_ratio - eps)
-    )
+    met = a.join(b, ["token", "band"]).where(F.col("token") == first_shared).withColumn("bound", bound)
+    return met.where((F.col("bound") >= F.col("lower") - _EPS) & (F.col("bound") < F.col("covered") - _EPS)).select("a_t", "b_t", "bound")
+
+
+def _texts(df: DataFrame, name: str, side: str) -> DataFrame:
+    return df.select(F.col(name).alias(f"{side}_t")).where(F.length(f"{side}_t") > 0).distinct()
+
+
+def ratio_pairs(
+    left: DataFrame, left_col: str, right: DataFrame, right_col: str, min_ratio: float
+) -> DataFrame:
+    """All pairs of texts whose :func:`matching_ratio` is at least ``min_ratio``, with the ratio.
+
+    Only pairs that pass the bound on shared characters are measured in Python.
+    """
+    if not 0 < min_ratio <= 1:
+        raise ValueError("min_ratio must be above 0 and at most 1")
+    asked = _texts(left, left_col, "a").withColumns({"lower": F.lit(min_ratio), "covered": F.lit(2.0)})
+    met = _ratio_candidates(asked, _texts(right, right_col, "b"), min_ratio)
     measured = met.select(
         F.col("a_t").alias(left_col),
         F.col("b_t").alias(right_col),
@@ -147,6 +159,47 @@ def ratio_pairs(
     return measured.where(F.col("ratio") >= min_ratio)
 
 
+# Bounds from which pairs are measured, round by round, before the smallest ratio asked for.
+LEVELS = (0.85, 0.7, 0.55)
+
+
+def best_ratio_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    min_ratio: float,
+    known: DataFrame,
+    kth_score: Callable[[DataFrame], DataFrame],
+    levels: tuple[float, ...] = LEVELS,
+) -> tuple[DataFrame, DataFrame]:
+    """Enough pairs ``(a_t, b_t, score)`` to know the best of every left text; ``known`` pairs have their score already.
+
+    ``kth_score`` gives ``(a_t, theta)`` from the pairs so far: what a new pair has to reach to count, and at
+    least ``min_ratio``. A round measures the pairs whose bound is below what was covered, but not below the round's
+    level or the text's threshold; a text is done when its threshold has reached what is covered. So each pair is
+    measured once at most, and only while it can still count; ties with the threshold are measured.
+
+    Returns the pairs at ``min_ratio`` or above, and all that were measured.
+    """
+    texts, others = _texts(left, "a_t", "a"), _texts(right, "b_t", "b")
+    known = stored(known.select("a_t", "b_t", "score"))
+    state = stored(texts.join(kth_score(known), "a_t", "left").select("a_t", F.coalesce("theta", F.lit(min_ratio)).alias("theta"), F.lit(2.0).alias("covered")))
+    rounds, measured = [known], []
+    for level in [*[x for x in levels if x > min_ratio], min_ratio]:
+        lower = F.greatest(F.lit(level), F.col("theta"))
+        open_ = state.where(F.col("theta") < F.col("covered")).where(lower < F.col("covered"))
+        met = _ratio_candidates(open_.select("a_t", lower.alias("lower"), "covered"), others, level)
+        new = met.join(known.select("a_t", "b_t"), ["a_t", "b_t"], "left_anti")
+        scored = stored(new.select("a_t", "b_t", matching_ratio(F.col("a_t"), F.col("b_t")).alias("score")))
+        measured.append(scored)
+        rounds.append(scored.where(F.col("score") >= min_ratio))
+        theta = kth_score(reduce(DataFrame.unionByName, rounds))
+        now = state.select("a_t", F.least(lower, F.col("covered")).alias("covered"))
+        state = stored(now.join(theta, "a_t", "left").select("a_t", F.coalesce("theta", F.lit(min_ratio)).alias("theta"), "covered"))
+        if state.where(F.col("theta") < F.col("covered")).isEmpty():
+            break
+    return reduce(DataFrame.unionByName, rounds), reduce(DataFrame.unionByName, measured)
+
+
 # ---- nearest vectors ------------------------------------------------------------------------
 
 SCORE_DIGITS = 9

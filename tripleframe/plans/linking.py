@@ -1,10 +1,9 @@
 """Link free-text mentions to schema terms.
 
 Mentions and surface forms are first reduced to their distinct normal forms. Equal forms meet in an
-equi-join, contained ones by their rarest gram, similar ones by the exact filter of
-``ratio_pairs``; only then are results spread back to the rows that asked. Every pair at or above
-the threshold is found. The similar ones are few at high thresholds only: at 0.4 nearly all pairs
-of distinct forms pass the filter.
+equi-join, contained ones by their rarest gram, similar ones by the filter of ``best_ratio_pairs``: a bound from shared characters
+on every pair, and the score of each mention's last candidate as a threshold that rises from round to round. Results are
+spread back to the rows that asked. The best candidates are those that measuring all pairs would give.
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tripleframe.functions import text as tx
 from tripleframe.operators.forms import top_k
-from tripleframe.operators.similarity import contained_pairs, ratio_pairs
+from tripleframe.operators.similarity import best_ratio_pairs, contained_pairs, ratio_pairs
+from tripleframe.session import stored
 
 # Scores of the two certain tiers and the thresholds of linking and deciding.
 EXACT_SCORE = 1.0
@@ -54,40 +54,40 @@ def surface_forms(terms: DataFrame) -> DataFrame:
     return terms.select("kind", "iri", F.posexplode(forms).alias("pos", "form"))
 
 
-def scored_forms(mention_forms: DataFrame, term_forms: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``(nm, nf, score)`` for distinct normal forms; the best tier that applies."""
-    m = mention_forms.select("nm").where(F.col("nm") != "").distinct()
-    f = term_forms.select("nf").where(F.col("nf") != "").distinct()
-    equal = m.join(f, F.col("nm") == F.col("nf")).withColumn("score", F.lit(EXACT_SCORE))
-    tiers = equal
+def certain_forms(m: DataFrame, f: DataFrame, min_score: float) -> DataFrame:
+    """``(nm, nf, score)`` of equal forms and of forms one of which contains the other."""
+    tiers = m.join(f, F.col("nm") == F.col("nf")).withColumn("score", F.lit(EXACT_SCORE))
     if min_score <= CONTAINED_SCORE:
         inside = contained_pairs(f, "nf", "nf", m, "nm").select("nm", "nf")
         around = contained_pairs(m, "nm", "nm", f, "nf").select("nm", "nf")
         near = inside.unionByName(around).withColumn("score", F.lit(CONTAINED_SCORE))
         tiers = tiers.unionByName(near)
+    return tiers.groupBy("nm", "nf").agg(F.max("score").alias("score"))
+
+
+def scored_forms(mention_forms: DataFrame, term_forms: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``(nm, nf, score)`` for distinct normal forms; the best tier that applies."""
+    m = mention_forms.select("nm").where(F.col("nm") != "").distinct()
+    f = term_forms.select("nf").where(F.col("nf") != "").distinct()
     similar = ratio_pairs(m, "nm", f, "nf", min_score)
     # A pair in a certain tier keeps that tier's score even when its ratio is higher.
     certain = F.contains("nf", "nm") | F.contains("nm", "nf")
     similar = similar.where(~certain).withColumnRenamed("ratio", "score")
-    return tiers.unionByName(similar).groupBy("nm", "nf").agg(F.max("score").alias("score"))
+    return certain_forms(m, f, min_score).unionByName(similar)
 
 
-def all_candidates(
-    mentions: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE
-) -> DataFrame:
-    """Every term with a form at or above ``min_score``, once per distinct (mention, kinds).
-
-    ``mentions(mention[, kinds])``: an empty or missing ``kinds`` allows every kind.
-    """
+def _asked(mentions: DataFrame) -> DataFrame:
     if "kinds" not in mentions.columns:
         mentions = mentions.withColumn("kinds", F.lit(None).cast("array<string>"))
-    asked = (
+    return (
         mentions.select("mention", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
         .distinct()
         .withColumn("nm", tx.normalise(F.col("mention")))
     )
-    forms = surface_forms(terms).withColumn("nf", tx.normalise(F.col("form")))
-    pairs = scored_forms(asked, forms, min_score)
+
+
+def _spread(asked: DataFrame, forms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scores of pairs of forms brought back to (mention, kinds) and terms, the best form of each term."""
     hits = asked.join(pairs, "nm").join(forms, "nf")
     allowed = (F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind"))
     best = F.max_by(
@@ -101,6 +101,50 @@ def all_candidates(
     )
 
 
+def all_candidates(
+    mentions: DataFrame, terms: DataFrame, min_score: float = MIN_SCORE
+) -> DataFrame:
+    """Every term with a form at or above ``min_score``, once per distinct (mention, kinds).
+
+    ``mentions(mention[, kinds])``: an empty or missing ``kinds`` allows every kind.
+    """
+    asked = _asked(mentions)
+    forms = surface_forms(terms).withColumn("nf", tx.normalise(F.col("form")))
+    return _spread(asked, forms, scored_forms(asked, forms, min_score))
+
+
+def best_candidates(
+    mentions: DataFrame, terms: DataFrame, limit: int, min_score: float = MIN_SCORE
+) -> tuple[DataFrame, DataFrame]:
+    """Terms among which the best ``limit`` of every (mention, kinds) are, and the pairs of forms that were measured.
+
+    The ``limit``-th best score of a mention is a threshold that rises while pairs are measured, most promising first;
+    pairs whose bound lies below it are never measured.
+    """
+    asked = stored(_asked(mentions))
+    forms = stored(surface_forms(terms).withColumn("nf", tx.normalise(F.col("form"))))
+    m = asked.select("nm").where(F.col("nm") != "").distinct()
+    f = forms.select("nf").where(F.col("nf") != "").distinct()
+
+    def threshold(pairs: DataFrame) -> DataFrame:
+        found = _spread(asked, forms, pairs.select(F.col("a_t").alias("nm"), F.col("b_t").alias("nf"), "score"))
+        ranked = top_k(found, ["mention", "kinds"], [F.desc("score")], limit, "at")
+        last = ranked.where(F.col("at") == limit - 1).select("mention", "kinds", "score")
+        # A form that several (mention, kinds) share needs the lowest of their thresholds.
+        each = asked.join(last, ["mention", "kinds"], "left").groupBy("nm")
+        return each.agg(F.min(F.coalesce("score", F.lit(min_score))).alias("theta")).withColumnRenamed("nm", "a_t")
+
+    known = certain_forms(m, f, min_score).select(F.col("nm").alias("a_t"), F.col("nf").alias("b_t"), "score")
+    pairs, measured = best_ratio_pairs(
+        m.withColumnRenamed("nm", "a_t"), f.withColumnRenamed("nf", "b_t"), min_score, known, threshold
+    )
+    scored = pairs.select(F.col("a_t").alias("nm"), F.col("b_t").alias("nf"), "score")
+    if min_score > CONTAINED_SCORE:
+        # Contained forms are no candidates then, whatever their ratio is.
+        scored = scored.where((F.col("nm") == F.col("nf")) | ~(F.contains("nf", "nm") | F.contains("nm", "nf")))
+    return _spread(asked, forms, scored), measured
+
+
 def link(
     mentions: DataFrame,
     terms: DataFrame,
@@ -112,8 +156,9 @@ def link(
 
     A mention without any candidate gets one row of kind ``unknown`` with score 0.
     """
+    found, _ = best_candidates(mentions, terms, limit, min_score)
     ranked = top_k(
-        all_candidates(mentions, terms, min_score),
+        found,
         ["mention", "kinds"],
         [F.desc("score"), kind_rank(F.col("kind")), F.asc("iri")],
         limit,
