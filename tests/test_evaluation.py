@@ -160,3 +160,26 @@ def test_lists_summary_differences(spark):
     p = spark.createDataFrame([("c", "x"), ("c", "y")], "case_id string, iri string")
     s = spark.createDataFrame([("c", "y"), ("c", "z")], "case_id string, iri string")
     assert sorted(tuple(r) for r in E.term_differences(p, s).collect()) == [("c", "x", "reported"), ("c", "z", "resolved")]
+
+
+def test_assignments_are_found_whenever_they_exist(spark):
+    import itertools
+    import random
+
+    rng = random.Random(12)
+    rows = [[["x2", "x1"], ["x2", "x3"], ["x2", "x3"]], [], [["a"]], [["a"], []], [["a"], ["a"]]]
+    rows += [[rng.sample("abcdef", rng.randint(0, 4)) for _ in range(rng.randint(1, 6))] for _ in range(150)]
+
+    def possible(row):
+        return any(len(set(picked)) == len(row) for picked in itertools.product(*row))
+
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, choices array<array<string>>")
+    got = {r["i"]: r["ok"] for r in df.select("i", E._assignable(F.col("choices")).alias("ok")).collect()}
+    assert got == {i: possible(r) for i, r in enumerate(rows)}
+
+
+def test_aliases_make_way_for_each_other(spark):
+    same = "http://example.org/v"
+    extra = [("ka", "x1"), ("ka", "x2"), ("kb", "x2"), ("kb", "x3"), ("kc", "x2"), ("kc", "x3")]
+    assert matched(spark, [{"x1": same, "x2": same, "x3": same}], {"ka": "ex:v", "kb": "ex:v", "kc": "ex:v"}, extra)
+    assert not matched(spark, [{"x2": same, "x3": same}], {"ka": "ex:v", "kb": "ex:v", "kc": "ex:v"}, extra)

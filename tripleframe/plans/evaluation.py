@@ -6,6 +6,7 @@ denominator is neutral: 1 for what should be high, 0 for what should be low.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,12 +78,63 @@ def _plain_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[?$]", ""))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _assignable(choices: Column) -> Column:
+    """Whether every element of ``array<array<string>>`` can take a text of its own: a matching, by augmenting paths.
+
+    Elements are placed one after another. One whose texts are all taken looks for a chain of elements that each move on
+    to another of their texts, the last to a free one; if there is no such chain, no assignment exists. The state is the list of
+    pairs, as long as the elements placed so far.
+    """
+    steps = F.sequence(F.lit(0), F.size(choices) - 1)
+
+    def first(found: Column) -> Column:
+        return F.get(found, F.lit(0))
+
+    def chain(pairs: Column, i: Column) -> Column:
+        """Texts that a chain from element ``i`` reaches, each with the element that would take it; nearest first."""
+
+        def reached(texts: Column, by: Column) -> Column:
+            return F.transform(texts, lambda x: F.struct(x.alias("text"), by.alias("by")))
+
+        def widen(seen: Column, _: Column) -> Column:
+            known = F.transform(seen, lambda x: x["text"])
+            movable = F.filter(pairs, lambda p: F.array_contains(known, p["text"]))
+            onward = F.transform(movable, lambda p: reached(F.array_except(F.get(choices, p["by"]), known), p["by"]))
+            return F.concat(seen, F.flatten(onward))
+
+        return F.aggregate(steps, reached(F.get(choices, i), i), widen)
+
+    def place(pairs: Column, i: Column) -> Column:
+        def moved(seen: Column) -> Column:
+            taken = F.transform(pairs, lambda p: p["text"])
+            free = first(F.filter(seen, lambda x: ~F.array_contains(taken, x["text"])))["text"]
+
+            def move(state: Column, _: Column) -> Column:
+                by = first(F.filter(seen, lambda x: x["text"] == state["at"]))["by"]
+                left = first(F.filter(state["pairs"], lambda p: p["by"] == by))["text"]
+                others = F.filter(state["pairs"], lambda p: p["by"] != by)
+                placed = F.concat(others, F.array(F.struct(state["at"].alias("text"), by.alias("by"))))
+                return F.when(state["at"].isNull(), state).otherwise(F.struct(placed.alias("pairs"), left.alias("at")))
+
+            end = F.aggregate(steps, F.struct(pairs.alias("pairs"), free.alias("at")), move)
+            return F.when(free.isNotNull(), end["pairs"])
+
+        return F.when(pairs.isNotNull(), _let(chain(pairs, i), moved))
+
+    nothing = F.array().cast("array<struct<text:string,by:int>>")
+    return F.when(F.size(choices) == 0, True).otherwise(F.aggregate(steps, nothing, place).isNotNull())
+
+
 def _row_matches() -> Column:
     """Whether map ``bindings`` answers map ``wanted``; ``extra`` maps names to further aliases.
 
     Both maps hold the :func:`comparable` keys of their values. Every wanted column takes a different answer column that
-    has its name or one of its aliases and a fitting value. Columns with the fewest such choices choose first, names go
-    before aliases; there is no search beyond that.
+    has its name or one of its aliases and a fitting value. If any such assignment exists it is found, see :func:`_assignable`.
     """
     none = F.array().cast("array<string>")
     pairs = [x for k, v in VARIABLE_ALIASES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))]
@@ -103,15 +155,9 @@ def _row_matches() -> Column:
         fitting = F.filter(
             ranked, lambda c: (c["rank"] > 0) & F.arrays_overlap(entry["value"], F.element_at("bindings", c["name"]))
         )
-        names = F.transform(F.array_sort(fitting), lambda c: c["name"])
-        return F.struct(F.size(names).alias("n"), entry["key"].alias("key"), names.alias("names"))
-
-    def take(used: Column, entry: Column) -> Column:
-        return F.array_append(used, F.get(F.array_except(entry["names"], used), F.lit(0)))
+        return F.transform(F.array_sort(fitting), lambda c: c["name"])
 
-    entries = F.array_sort(F.transform(F.map_entries("wanted"), choices))
-    assigned = F.aggregate(entries, none, take)
-    return F.forall(assigned, lambda c: c.isNotNull())
+    return _let(F.transform(F.map_entries("wanted"), choices), _assignable)
 
 
 def match_bindings(
