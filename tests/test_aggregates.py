@@ -91,3 +91,12 @@ def test_sums_of_long_numbers_are_exact_or_an_error(spark):
             total(*numbers)
     with pytest.raises(Exception, match="digits"):
         total("1", big, of=A.avg_term)
+
+
+def test_large_groups_are_joined_in_pieces(spark):
+    rows = [("a", f'"{i % 700:03d}"') for i in range(2000)] + [("b", '"x"'), ("b", None), (None, '"n"'), ("c", None), ("b", "http://iri")]
+    b = Bindings(spark.createDataFrame(rows, "g string, x string"), [])
+    for distinct in (False, True):
+        one = A.group(b, ["g"], {"all": A.group_concat(F.col("x"), "|", distinct)}).df
+        several = A.concat_groups(b, ["g"], "all", "x", "|", distinct).df
+        assert sorted(map(tuple, several.collect()), key=str) == sorted(map(tuple, one.collect()), key=str)

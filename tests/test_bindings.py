@@ -139,3 +139,28 @@ def test_many_unbound_variables(spark):
     shares = lambda l, r: any(l[v] is not None and l[v] == r[v] for v in names)
     kept = [tuple(l[k] for k in sorted(l)) for l in ls if not any(compatible(l, r, names) and shares(l, r) for r in rs)]
     assert result(left.minus(right)) == sorted(kept, key=str)
+
+
+def test_join_on_equal_values(spark):
+    from tripleframe import vocab as V
+    from tripleframe.functions import terms as t
+    from tripleframe.functions.terms import literal_key as lit
+
+    x = V.XSD
+    terms = [
+        lit(1), lit("1.0", datatype=V.DECIMAL), '"1e0"^^' + V.DOUBLE, '"01"^^' + x + "int", lit("0.1", datatype=V.DECIMAL), '"0.1"^^' + V.FLOAT,
+        lit(2**60), lit(2**60 + 1), '"1.152921504606847E18"^^' + V.DOUBLE, '"-0.0"^^' + V.DOUBLE, lit(0), '"NaN"^^' + V.DOUBLE, '"bad"^^' + V.DOUBLE,
+        lit("2020-01-01T00:00:00", datatype=V.DATETIME), lit("2020-01-01", datatype=V.DATE), lit("2020-01-01T01:00:00+01:00", datatype=V.DATETIME),
+        lit(True), '"1"^^' + V.BOOLEAN, lit("a"), lit("a", lang="en"), lit("1"), "http://a", "_:a", '"q"^^http://own', None,
+    ]
+    rows = [(f"k{i % 2}", str(i), v) for i, v in enumerate(terms)]
+    left = Bindings(spark.createDataFrame(rows, "k string, i string, x string"), ["k", "i"])
+    right = Bindings(spark.createDataFrame(rows, "k string, j string, y string"), ["k", "j"])
+    plain = left.join(right).filter(t.eq(F.col("x"), F.col("y")))
+    got = left.join_equal(right, ("x", "y"))
+    assert got.variables == plain.variables and result(got) == result(plain) and len(result(got)) > len(terms)
+    one = Bindings(left.df.drop("k"), ["i"])
+    pairs = one.join_equal(Bindings(right.df.drop("k"), ["j"]), ("x", "y"))
+    wide = one.join(Bindings(right.df.drop("k"), ["j"])).filter(t.eq(F.col("x"), F.col("y")))
+    assert result(pairs) == result(wide)
+    assert "NestedLoop" not in pairs.df._jdf.queryExecution().toString() and "Cartesian" not in pairs.df._jdf.queryExecution().toString()

@@ -345,6 +345,27 @@ def ne(a: Any, b: Any) -> Column:
     return ~eq(a, b)
 
 
+def value_key(k: Column) -> Column:
+    """A text that is the same for any two terms of equal value: what a join on value equality can hash.
+
+    Numbers give the bits they have as a double, so ``1``, ``1.0`` and ``1e0`` meet; so may long exact numbers that only
+    differ beyond a double's digits, which :func:`eq` tells apart afterwards. Dates give their instant, booleans their
+    value, all other terms themselves.
+    """
+
+    def body(x: Column) -> Column:
+        kind = _kind(x)
+        value = (
+            F.when(kind == 1, F.concat(F.lit("n"), (num(x) + F.lit(0.0)).cast("string")))
+            .when(kind == 2, F.concat(F.lit("d"), F.unix_micros(timestamp(x)).cast("string")))
+            .when(kind == 3, F.concat(F.lit("b"), boolean(x).cast("string")))
+        )
+        # The control character keeps keys apart from terms.
+        return F.coalesce(F.concat(F.lit("\x01"), value), x)
+
+    return _let(k, body)
+
+
 def _kind(k: Column) -> Column:
     """0 no literal, 1 number, 2 date or dateTime, 3 boolean, 4 string, 5 tagged string, 9 other."""
     tail = _tail(k)

@@ -116,6 +116,28 @@ def group_concat(k: Column, separator: str = " ", distinct: bool = False) -> Col
     return F.when(F.size(texts) > 0, F.array_join(texts, separator)).otherwise(F.lit(""))
 
 
+def concat_groups(
+    bindings: Bindings, by: list[str], name: str, variable: str, separator: str = " ", distinct: bool = False
+) -> Bindings:
+    """GROUP_CONCAT of groups of any size: the same value as :func:`group_concat`, one row for each group.
+
+    Texts are ranged by group and text, so a large group spreads over many ranges. The texts of a group in one range
+    become one piece, and the pieces of a group are joined in order at the end: no task holds a group's list,
+    only the value itself.
+    """
+    texts = bindings.df.select(*by, t.text(F.col(f"`{variable}`")).alias("__text"))
+    groups = texts.select(*by).distinct()
+    texts = texts.where(F.col("__text").isNotNull())
+    texts = texts.distinct() if distinct else texts
+    ranged = texts.repartitionByRange(*by, "__text").withColumn("__range", F.spark_partition_id())
+    pieces = ranged.groupBy(*by, "__range").agg(F.array_join(F.array_sort(F.collect_list("__text")), separator).alias("__piece"))
+    ordered = F.array_sort(F.collect_list(F.struct("__range", "__piece")))
+    joined = pieces.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["__piece"]), separator).alias(name))
+    on = reduce(lambda a, b: a & b, [groups[v].eqNullSafe(joined[v]) for v in by])
+    out = groups.join(joined, on, "left").select(*[groups[v] for v in by], F.coalesce(name, F.lit("")).alias(name))
+    return Bindings(out, (bindings.certain & set(by)) | {name})
+
+
 def group(
     bindings: Bindings,
     by: list[str | tuple[str, Column]],

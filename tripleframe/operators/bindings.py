@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripleframe.functions import terms as t
+
 LEFT, RIGHT = "__left_", "__right_"
 Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -160,6 +162,25 @@ class Bindings:
             return Bindings(self._merged(self.df.crossJoin(other._renamed()), other), certain)
         return Bindings(self._merged(self._met(other, None, "inner"), other), certain)
 
+    def join_equal(self, other: Bindings, *pairs: tuple[str, str]) -> Bindings:
+        """Join on the shared variables and on value equality of each ``(left, right)`` pair of variables.
+
+        What a filter ``?x = ?y`` above a join says, but the values' keys are part of the equi-join, so rows meet
+        only where the values can be equal. Rows with an unbound side are removed, as the filter's error would.
+        """
+        names = [f"{_KEY}value{i}" for i in range(len(pairs))]
+
+        def keyed(side: Bindings, columns: list[str]) -> Bindings:
+            # Bound once: the optimiser may put a computed variable's expression in place of its name. An unbound
+            # value has no key and meets nothing.
+            keys = {n: F.transform(F.array(left_col(v)), t.value_key)[0] for n, v in zip(names, columns, strict=True)}
+            return Bindings(side.df.withColumns(keys), side.certain | {*names, *columns})
+
+        joined = keyed(self, [x for x, _ in pairs]).join(keyed(other, [y for _, y in pairs]))
+        for x, y in pairs:
+            joined = joined.filter(t.eq(left_col(x), left_col(y)))
+        return joined.project(*[v for v in joined.variables if v not in names])
+
     def optional(self, other: Bindings, condition: Condition | None = None) -> Bindings:
         """Left join. ``condition(l, r)`` is a filter written inside the optional part."""
         copied = bool(self._shared(other)[2])

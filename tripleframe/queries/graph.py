@@ -384,8 +384,20 @@ def value_equality_join(spark, d):
     cust = P.bgp(g, [("?c", V.RDF_TYPE, EX + "Customer"), ("?c", EX + "inNation", "?n"), ("?c", EX + "balance", "?cb")])
     supp = P.bgp(g, [("?s", V.RDF_TYPE, EX + "Supplier"), ("?s", EX + "inNation", "?n"), ("?s", EX + "balance", "?sb")])
     level = lambda b, v, name: b.bind(name, t.floor(t.divide(c(v), 500)), certain=True).project(*[x for x in b.variables if x != v], name)
-    b = level(cust, "cb", "x").join(level(supp, "sb", "y")).filter(t.eq(c("x"), c("y")))
-    return b.project("c", "s").df
+    return level(cust, "cb", "x").join_equal(level(supp, "sb", "y"), ("x", "y")).project("c", "s").df
+
+
+@add(f"""
+SELECT {iri('supplier', 's_suppkey')} AS s, {iri('nation', 'n_nationkey')} AS n, p.k AS parts
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN (SELECT p_size, count(*) AS k FROM part GROUP BY p_size) p ON p_size = n_nationkey""")
+def value_join_across_types(spark, d):
+    """Doubles, decimals and integers of equal value meet."""
+    tb = R.read_tables(spark, d, "supplier", "nation", "part")
+    doubles = Bindings(tb["supplier"].select(R.entity("supplier", "s_suppkey").alias("s"), t.double_term(c("s_nationkey")).alias("x")))
+    decimals = Bindings(tb["nation"].select(R.entity("nation", "n_nationkey").alias("n"), t.decimal_term(c("n_nationkey").cast("decimal(9,2)")).alias("y")))
+    sizes = tb["part"].groupBy("p_size").agg(F.count(F.lit(1)).alias("parts"))
+    integers = Bindings(sizes.select(t.integer_term(c("p_size")).alias("z"), "parts"))
+    return doubles.join_equal(decimals, ("x", "y")).join_equal(integers, ("y", "z")).df.select("s", "n", "parts")
 
 
 # ---- paths ----------------------------------------------------------------------------------
@@ -575,6 +587,15 @@ def aggregate_group_concat(spark, d):
     return A.group(once, ["n"], {"segments": A.group_concat(c("seg"), ", ")}).df
 
 
+@add("SELECT o_orderstatus AS st, md5(string_agg(o_orderpriority || ' ' || o_orderkey, '|' ORDER BY o_orderpriority || ' ' || o_orderkey)) AS hash FROM orders GROUP BY 1")
+def aggregate_group_concat_of_large_groups(spark, d):
+    """Three groups that hold all orders, two of them nearly half each."""
+    orders = R.read_tables(spark, d, "orders")["orders"]
+    rows = orders.select(c("o_orderstatus").alias("st"), t.string_term(F.concat_ws(" ", "o_orderpriority", "o_orderkey")).alias("x"))
+    found = A.concat_groups(Bindings(rows), ["st"], "all", "x", separator="|")
+    return found.df.select("st", F.md5("all").alias("hash"))
+
+
 @add("SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY 1")
 def group_by_expression(spark, d):
     b = P.pattern(shop(spark, d), "?o", EX + "placedOn", "?d")
