@@ -12,6 +12,7 @@ expressions, so it stays inside generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -216,20 +217,21 @@ def _is_exact(k: Column) -> Column:
 
 def exact_parts(k: Column) -> Column:
     """An integer or decimal literal as (minus, whole, part): digits without leading, or trailing, zeros; else NULL."""
-
-    def split(t: Column) -> Column:
-        body = F.translate(t, "+-", "")
-        part = F.when(F.instr(body, ".") > 0, F.substring_index(body, ".", -1)).otherwise(F.lit(""))
-        return F.when(
-            F.rlike(t, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)$")),
-            F.struct(
-                t.startswith("-").alias("minus"),
-                F.ltrim(F.substring_index(body, ".", 1), F.lit("0")).alias("whole"),
-                F.rtrim(part, F.lit("0")).alias("part"),
-            ),
-        )
-
-    return F.when(_is_exact(k), F.transform(F.array(_typed_text(k)), split)[0])
+    return F.when(_is_exact(k), F.transform(F.array(_typed_text(k)), _digits)[0])
+
+
+def _digits(text: Column) -> Column:
+    """The text of an exact number as (minus, whole, part)."""
+    body = F.translate(text, "+-", "")
+    part = F.when(F.instr(body, ".") > 0, F.substring_index(body, ".", -1)).otherwise(F.lit(""))
+    return F.when(
+        F.rlike(text, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)$")),
+        F.struct(
+            text.startswith("-").alias("minus"),
+            F.ltrim(F.substring_index(body, ".", 1), F.lit("0")).alias("whole"),
+            F.rtrim(part, F.lit("0")).alias("part"),
+        ),
+    )
 
 
 def exact_key(k: Column) -> Column:
@@ -475,7 +477,7 @@ def too_wide() -> Column:
     return F.raise_error(F.lit("an exact number needs more than 38 digits"))
 
 
-def _scaled(k: Column) -> Column:
+def _scaled(k: Column, parts: Callable[[Column], Column] = exact_parts) -> Column:
     """An integer or decimal as (n, scale) with value n / 10**scale. More than 38 digits are an error, not an unbound value."""
 
     def body(p: Column) -> Column:
@@ -486,7 +488,7 @@ def _scaled(k: Column) -> Column:
             F.struct(F.coalesce(n, too_wide().cast(_WIDE)).alias("n"), F.length(p["part"]).alias("scale")),
         )
 
-    return F.transform(F.array(exact_parts(k)), body)[0]
+    return F.transform(F.array(parts(k)), body)[0]
 
 
 def _grown(n: Column, zeros: Column) -> Column:
@@ -530,54 +532,89 @@ def _quotient(x: Column, y: Column) -> Column:
     return F.when(y["n"] != 0, _point(shifted, F.greatest(scale, F.lit(0))))
 
 
+def _wide(text: Column) -> Column:
+    """A whole number of up to 38 digits; more are an error, other texts are NULL."""
+    plain = F.translate(text, "0123456789", "").isin("", "-", "+")
+    too_long = F.when(F.rlike(text, F.lit(r"^[+-]?\d+$")), too_wide().cast(_WIDE))
+    return F.coalesce(F.when(plain, text.try_cast(_WIDE)), too_long)
+
+
+def _short_decimal(text: Column) -> Column:
+    """A decimal with at most eight digits before and ten after the point; NULL for others. Sums and products of two are exact."""
+    after = F.when(F.instr(text, ".") > 0, F.length(F.substring_index(text, ".", -1))).otherwise(0)
+    plain = F.translate(text, "0123456789.", "").isin("", "-", "+") & (after <= 10)
+    return F.when(plain & (F.length(text) - after <= 9), text.try_cast("decimal(18,10)"))
+
+
 def _arithmetic(a: Any, b: Any, on_int, on_exact, on_dbl) -> Column:
-    """``on_int`` on long integers, ``on_exact`` on (n, scale) pairs gives (n, scale) or a term, ``on_dbl`` on doubles."""
+    """``on_int`` on whole numbers and short decimals, ``on_exact`` on (n, scale) pairs gives (n, scale) or a term, ``on_dbl`` on doubles.
+
+    Text and kind of both operands are read once. Whole numbers are computed as long integers where they fit and as
+    decimals of 38 digits else, short decimals as such; only longer decimals are taken apart into digits.
+    """
 
-    def exact(x: Column, y: Column, whole: bool) -> Column:
+    def exact(x: Column, y: Column) -> Column:
         def body(p: Column) -> Column:
             found = on_exact(p["x"], p["y"])
             if isinstance(found, Column):
                 return found
             n, scale = F.coalesce(found[0], too_wide().cast(_WIDE)), found[1]
-            return F.when(p["x"].isNotNull() & p["y"].isNotNull(), wide_integer_term(n) if whole else _point(n, scale))
+            return F.when(p["x"].isNotNull() & p["y"].isNotNull(), _point(n, scale))
 
-        return F.transform(F.array(F.struct(_scaled(x).alias("x"), _scaled(y).alias("y"))), body)[0]
+        pair = F.struct(_scaled(x, _digits).alias("x"), _scaled(y, _digits).alias("y"))
+        return F.transform(F.array(pair), body)[0]
 
-    def body(x: Column, y: Column) -> Column:
-        rank = F.when(
-            numeric_rank(x).isNotNull() & numeric_rank(y).isNotNull(),
-            F.greatest(numeric_rank(x), numeric_rank(y)),
-        )
-        real = on_dbl(number_of(_typed_text(x)), number_of(_typed_text(y)))
-        out = (
-            F.when(rank == 4, double_term(real))
-            .when(rank == 2, exact(x, y, False))
+    def whole(x: Column, y: Column) -> Column:
+        short = integer_term(on_int(x.try_cast("bigint"), y.try_cast("bigint")))
+
+        def long(p: Column) -> Column:
+            n = F.coalesce(on_int(p["x"], p["y"]), too_wide().cast(_WIDE))
+            return F.when(p["x"].isNotNull() & p["y"].isNotNull(), wide_integer_term(n))
+
+        wide = F.transform(F.array(F.struct(_wide(x).alias("x"), _wide(y).alias("y"))), long)[0]
+        return F.coalesce(short, wide)
+
+    def outcome(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        rank = F.when(p["rx"].isNotNull() & p["ry"].isNotNull(), F.greatest(p["rx"], p["ry"]))
+        real = on_dbl(number_of(x), number_of(y))
+        digits = exact(x, y)
+        decimals = digits
+        if on_int is not None:
+            decimals = F.coalesce(decimal_term(on_int(_short_decimal(x), _short_decimal(y))), digits)
+        return (
+            F.when(rank == 1, digits if on_int is None else whole(x, y))
+            .when(rank == 4, double_term(real))
+            .when(rank == 2, decimals)
             .when(rank == 3, typed_term(real.cast("float"), V.FLOAT))
         )
-        if on_int is None:
-            return out.when(rank == 1, exact(x, y, False))
-        short = on_int(_typed_text(x).try_cast("bigint"), _typed_text(y).try_cast("bigint"))
-        return out.when(rank == 1, F.coalesce(integer_term(short), exact(x, y, True)))
+
+    def body(x: Column, y: Column) -> Column:
+        parts = {"x": _typed_text(x), "y": _typed_text(y), "rx": numeric_rank(x), "ry": numeric_rank(y)}
+        return F.transform(F.array(F.struct(*[v.alias(k) for k, v in parts.items()])), outcome)[0]
 
     return _let(term(a), lambda x: _let(term(b), lambda y: body(x, y)))
 
 
 def add(a: Any, b: Any) -> Column:
+    """Exact for integers and decimals; a result of more than 38 digits is an error that ends the query."""
     return _arithmetic(a, b, F.try_add, lambda x, y: _summed(x, y, F.try_add), lambda x, y: x + y)
 
 
 def subtract(a: Any, b: Any) -> Column:
+    """Exact for integers and decimals; a result of more than 38 digits is an error that ends the query."""
     return _arithmetic(a, b, F.try_subtract, lambda x, y: _summed(x, y, F.try_subtract), lambda x, y: x - y)
 
 
 def multiply(a: Any, b: Any) -> Column:
+    """Exact for integers and decimals; a result of more than 38 digits is an error that ends the query."""
     return _arithmetic(
         a, b, F.try_multiply, lambda x, y: (F.try_multiply(x["n"], y["n"]), x["scale"] + y["scale"]), lambda x, y: x * y
     )
 
 
 def divide(a: Any, b: Any) -> Column:
-    """Integers divide to a decimal; a zero divisor is an error."""
+    """Integers divide to a decimal; a zero divisor is an error. Exact operands keep at least 28 significant digits."""
     return _arithmetic(a, b, None, _quotient, F.try_divide)
 
 
