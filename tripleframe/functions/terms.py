@@ -546,6 +546,12 @@ def _short_decimal(text: Column) -> Column:
     return F.when(plain & (F.length(text) - after <= 9), text.try_cast("decimal(18,10)"))
 
 
+def _short_quotient(x: Column, y: Column) -> Column:
+    """The quotient of two short decimals where it ends after ten digits at most, which multiplying back proves."""
+    quotient = F.try_divide(x, y).try_cast("decimal(19,10)")
+    return F.when(quotient * y == x, quotient)
+
+
 def _arithmetic(a: Any, b: Any, on_int, on_exact, on_dbl) -> Column:
     """``on_int`` on whole numbers and short decimals, ``on_exact`` on (n, scale) pairs gives (n, scale) or a term, ``on_dbl`` on doubles.
 
@@ -579,11 +585,10 @@ def _arithmetic(a: Any, b: Any, on_int, on_exact, on_dbl) -> Column:
         rank = F.when(p["rx"].isNotNull() & p["ry"].isNotNull(), F.greatest(p["rx"], p["ry"]))
         real = on_dbl(number_of(x), number_of(y))
         digits = exact(x, y)
-        decimals = digits
-        if on_int is not None:
-            decimals = F.coalesce(decimal_term(on_int(_short_decimal(x), _short_decimal(y))), digits)
+        native = on_int or _short_quotient
+        decimals = F.coalesce(decimal_term(native(_short_decimal(x), _short_decimal(y))), digits)
         return (
-            F.when(rank == 1, digits if on_int is None else whole(x, y))
+            F.when(rank == 1, decimals if on_int is None else whole(x, y))
             .when(rank == 4, double_term(real))
             .when(rank == 2, decimals)
             .when(rank == 3, typed_term(real.cast("float"), V.FLOAT))

@@ -49,22 +49,23 @@ def _exact_sum(k: Column) -> Column:
     A whole part, or a sum of them, of more than 38 digits is an error that ends the query, and so are more than 28 digits
     after the point; no number is left out.
     """
-    p = t.exact_parts(k)
-    sign = F.when(p["minus"], F.lit(-1)).otherwise(1).cast("decimal(1,0)")
-    # Upper and lower digits are added apart, so that the sum of long numbers does not overflow on the way.
-    digits = F.lpad(p["whole"], F.lit(38), F.lit("0"))
-    fits = F.length(p["whole"]) <= 38
-    short = lambda text: F.when(fits, text.cast("decimal(19,0)")).otherwise(t.too_wide().cast("decimal(19,0)"))
-    parts = [F.sum(F.when(p.isNotNull(), sign * short(F.substring(digits, at, 19)))) for at in (1, 20)]
-    upper, lower = (x.cast("decimal(38,0)") for x in parts)
+    def split(p: Column) -> Column:
+        # Upper and lower digits are added apart, so that the sum of long numbers does not overflow on the way.
+        digits = F.lpad(p["whole"], F.lit(38), F.lit("0"))
+        fits = F.length(p["whole"]) <= 38
+        sign = F.when(p["minus"], F.lit(-1)).otherwise(1).cast("decimal(1,0)")
+        upper, lower = (sign * F.substring(digits, at, 19).cast("decimal(19,0)") for at in (1, 20))
+        long = F.raise_error(F.lit("a decimal has more than 28 digits after the point")).cast("decimal(28,28)")
+        part = F.when(F.length(p["part"]) > 28, long).otherwise(sign * F.concat(F.lit("0."), p["part"], F.lit("0")).try_cast("decimal(28,28)"))
+        whole = F.when(fits, F.struct(upper.alias("upper"), lower.alias("lower"), part.alias("part")))
+        return F.when(p.isNotNull(), F.coalesce(whole, t.too_wide().cast("struct<upper:decimal(21,0),lower:decimal(21,0),part:decimal(30,28)>")))
+
+    # Taken apart once for each row, not once for each use.
+    x = F.transform(F.array(t.exact_parts(k)), split)[0]
+    upper, lower = (F.sum(x[name]).cast("decimal(38,0)") for name in ("upper", "lower"))
+    part = F.sum(x["part"])
     joined = F.try_add(F.try_multiply(upper, F.lit(Decimal(10**19))), lower)
     whole = F.when(upper.isNotNull(), F.coalesce(joined, t.too_wide().cast("decimal(38,0)")))
-    long = F.length(p["part"]) > 28
-    part = F.sum(
-        F.when(long, F.raise_error(F.lit("a decimal has more than 28 digits after the point")).cast("decimal(28,28)")).otherwise(
-            sign * F.concat(F.lit("0."), p["part"], F.lit("0")).try_cast("decimal(28,28)")
-        )
-    )
     none = F.lit(t.literal_key("0.0", datatype=V.DECIMAL))
     whole_term = F.coalesce(t.decimal_term(whole), none)
     return t.add(whole_term, F.coalesce(t.decimal_term(part.cast("decimal(38,28)")), none))
