@@ -207,9 +207,18 @@ def names_inside_whole_documents(spark, d):
 
 @add()
 def mentions_in_whole_documents(spark, d):
-    docs = R.read_tables(spark, d, "documents")["documents"].select(c("doc_id").alias("question_id"), c("text").alias("question"))
-    found = mentions.merge(mentions.verb_phrases(docs), mentions.class_nouns(docs), mentions.capitalised_words(docs))
-    return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("mentions"), F.max("end").alias("last_end"))
+    """All five finders over all documents: every mention with its kinds, finders and span."""
+    tb = R.read_tables(spark, d, "documents", "benchmark")
+    docs = tb["documents"].select(c("doc_id").alias("question_id"), c("text").alias("question"))
+    # Benchmark passages as individuals: the passage is the label, its first word the short name.
+    passages = tb["benchmark"].select(
+        F.lit("individual").alias("kind"), R.entity("item", "item_id").alias("iri"),
+        F.concat(F.lit("ex:"), F.lower(F.substring_index("text", " ", 1))).alias("prefixed_name"), c("text").alias("label"),
+        F.array().cast("array<string>").alias("aliases"),
+    )
+    found = mentions.extract(docs, name_terms(spark, d).unionByName(passages))
+    listed = [F.array_join(x, ",").alias(x) for x in ("kinds", "sources")]
+    return found.select(c("question_id").alias("doc_id"), "text", *listed, "start", "end")
 
 
 # ---- relation hints -------------------------------------------------------------------------
