@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,73 @@ def test_kinds_limit_and_ties(spark, concepts):
     assert rows == {(1, 0): "Acme", (2, 0): "Acme", (2, 1): "Company", (3, 0): "Acme", (3, 1): "Company"}
 
 
+def plain_rank(text, kinds, rows, limit):
+    """All pairs measured: (iri, score, matched text) of the best concepts."""
+    words = lambda s: {w for w in s.lower().split() if w}
+    best = {}
+    for iri, kind, forms in rows:
+        if kinds and kind not in kinds:
+            continue
+        for pos, form in enumerate(forms):
+            q, c = text.lower().strip(), form.lower().strip()
+            n = len(words(q) & words(c))
+            score = 1.0 if q == c else 0.85 if q in c or c in q else 0.5 * n / max(len(words(q)), len(words(c))) if n else 0.0
+            if score:
+                best[iri] = min(best.get(iri, (0.0, 0, "")), (-score, pos, form))
+    return [(i, -s, m) for i, (s, _, m) in sorted(best.items(), key=lambda x: (x[1][0], x[0]))[:limit]]
+
+
+def made_concepts(n, seed):
+    """Texts of one to five words by falling frequency; "the" is in every text of the first alias."""
+    rng, words = random.Random(seed), [f"w{i}x" for i in range(40)]
+    pick = lambda: " ".join(words[min(39, int(rng.expovariate(0.12)))] for _ in range(rng.randint(1, 4)))
+    return [(f"c{i:04d}", rng.choice(["class", "property"]), [pick(), "the " + pick(), "same for all"][: rng.randint(2, 3)]) for i in range(n)], pick
+
+
+def as_concepts(spark, rows):
+    return spark.createDataFrame(
+        [(i, None, f[0], f[1:], k) for i, k, f in rows], "iri string, prefixed_name string, label string, aliases array<string>, kind string"
+    )
+
+
+@pytest.mark.parametrize("limit", [1, 5, 1000])
+def test_word_lists_read_in_part_rank_as_all_pairs_do(spark, limit):
+    rows, pick = made_concepts(150, limit)
+    texts = [pick() for _ in range(12)] + ["the", "the " + pick(), "the for w1x", "unknown", "the unknown words", "same for", "same for all", "for all the w39x w0x w1x"]
+    kinds = [[], ["class"], ["property", "class"], ["none"]]
+    asked = [(i, t, t, k) for i, (t, k) in enumerate((t, k) for t in texts for k in kinds)]
+    forms = [(i, k, [*f, i]) for i, k, f in rows]  # the last segment of the IRI is a form too
+    got = {}
+    for r in R.token_retrieve(reqs(spark, *asked), as_concepts(spark, rows), limit).orderBy("question_id", "retrieval_rank").collect():
+        got.setdefault(r["question_id"], []).append((r["iri"], r["score"], r["matched_text"]))
+    for q, t, _, k in asked:
+        assert got.get(q, []) == plain_rank(t, k, forms, limit), (t, k)
+
+
+def test_a_word_in_every_text_adds_no_pairs(spark):
+    rows = [(f"c{i:04d}", "class", [f"the thing{i}"]) for i in range(400)] + [(f"d{i}", "class", [f"the rare word {i}"]) for i in range(8)]
+    forms = R.concept_forms(as_concepts(spark, rows)).withColumn("ct", F.lower("form"))
+    index = R.WordIndex(forms, 5)
+    asked = spark.createDataFrame([("the rare word", []), ("the", []), ("rare the", [])], "qt string, kinds array<string>")
+    per_text = {r["qt"]: r["count"] for r in R.scored_texts(asked, index).where("score < 0.85").groupBy("qt").count().collect()}
+    assert per_text.get("the rare word", 0) == 0  # contained texts hold all places
+    assert per_text["rare the"] <= 8 + 2 * 5
+    assert per_text.get("the", 0) <= 2 * 5
+    assert index.postings.where("word = 'the'").count() == 408
+
+
+def test_search_scores_what_the_filters_leave(spark):
+    c = spark.createDataFrame(
+        [("ka", "x", "red car", "class", False, ["b1"], ["g1"]), ("kb", "x", "red", "class", True, ["b1"], ["g1"]), ("kc", "y", "red", "class", False, ["b1"], ["g1"]), ("kd", "x", "blue car", "class", None, ["b2"], ["g2"])],
+        "iri string, ontology_id string, label string, kind string, deprecated boolean, branch_ids array<string>, group_ids array<string>",
+    ).withColumn("prefixed_name", F.lit(None).cast("string")).withColumn("aliases", F.array().cast("array<string>"))
+    find = lambda **k: [(r["iri"], r["score"]) for r in R.search(reqs(spark, (1, "m", "the red car", [])), c, **k).orderBy("retrieval_rank").collect()]
+    assert find(ontology_id="x") == [("ka", 0.85), ("kd", 1 / 6)]
+    assert find(ontology_id="x", include_deprecated=True) == [("ka", 0.85), ("kb", 0.85), ("kd", 1 / 6)]
+    assert find(groups=["g1"], top=1) == [("ka", 0.85)]
+    assert find(branches=["b3"]) == []
+
+
 def test_requests_and_hints(spark):
     q = spark.createDataFrame([(1, "Who works for Acme?"), (2, "hm")], "question_id int, question string")
     m = spark.createDataFrame(

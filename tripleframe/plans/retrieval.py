@@ -14,6 +14,7 @@ from tripleframe.functions import text as tx
 from tripleframe.operators import paths
 from tripleframe.operators.forms import top_k
 from tripleframe.operators.similarity import contained_pairs, nearest_vectors
+from tripleframe.session import stored
 
 # Scores of the text tiers, limits, and the name of the whole-question request.
 EQUAL_SCORE = 1.0
@@ -105,50 +106,136 @@ def concept_forms(concepts: DataFrame) -> DataFrame:
     )
 
 
-def scored_texts(asked: DataFrame, forms: DataFrame) -> DataFrame:
-    """``(qt, ct, score)`` for distinct texts: equal, contained either way, or shared tokens."""
-    q, c = asked.select("qt").distinct(), forms.select("ct").distinct()
-    equal = q.join(c, F.col("qt") == F.col("ct")).withColumn("score", F.lit(EQUAL_SCORE))
+def pair_score(q: Column, c: Column) -> Column:
+    """The score of two lower-case texts: equal, one contained in the other, or shared words; 0 for none of these."""
+    words = F.size(F.array_intersect(tx.tokens(q), tx.tokens(c)))
+    longer = F.greatest(F.size(tx.tokens(q)), F.size(tx.tokens(c)))
+    return (
+        F.when(q == c, F.lit(EQUAL_SCORE))
+        .when(F.contains(q, c) | F.contains(c, q), F.lit(CONTAINED_SCORE))
+        .when(words > 0, overlap_score(words, longer))
+        .otherwise(F.lit(0.0))
+    )
+
+
+def overlap_score(shared: Column, longer: Column) -> Column:
+    """The score of ``shared`` words when the longer of the two texts has ``longer`` distinct words."""
+    return OVERLAP_WEIGHT * shared / longer
+
+
+def whole_matches(q: DataFrame, c: DataFrame) -> DataFrame:
+    """``(qt, ct, score)`` of distinct texts that are equal or contained either way."""
+    equal = q.join(c, F.col("qt") == F.col("ct")).select("qt", "ct", F.lit(EQUAL_SCORE).alias("score"))
     inside = contained_pairs(c, "ct", "ct", q, "qt").select("qt", "ct")
     around = contained_pairs(q, "qt", "qt", c, "ct").select("qt", "ct")
-    contained = inside.unionByName(around).withColumn("score", F.lit(CONTAINED_SCORE))
+    other = inside.unionByName(around).where("qt <> ct").distinct()
+    return equal.unionByName(other.withColumn("score", F.lit(CONTAINED_SCORE)))
+
+
+class WordIndex:
+    """Concept texts by word and number of words, each list also cut to the concepts that win its ties.
+
+    ``offers(ct, kind, iri)`` are the first ``limit`` IRIs of a text and kind: all concepts of a text score alike, so no
+    other can rank through it. ``postings(word, cn, ct, cw)`` has every text of a word. ``heads`` has those texts of a
+    (word, cn, kind) that offer its first ``limit`` IRIs. ``sizes(word, cn, n)`` tells which lists exist before any is read.
+    """
+
+    def __init__(self, forms: DataFrame, limit: int):
+        concepts = forms.select("ct", "kind", "iri").distinct()
+        self.limit = limit
+        self.offers = stored(top_k(concepts, ["ct", "kind"], [F.asc("iri")], limit).drop("rank"))
+        texts = self.offers.select("ct").distinct().withColumn("cw", tx.tokens(F.col("ct")))
+        self.postings = stored(texts.select(F.explode("cw").alias("word"), F.size("cw").alias("cn"), "ct", "cw"))
+        self.sizes = self.postings.groupBy("word", "cn").agg(F.count(F.lit(1)).alias("n"))
+
+    def heads(self, words: DataFrame) -> DataFrame:
+        """``(word, cn, ct, cw)`` of the given words, at most ``limit`` texts for each (word, cn, kind)."""
+        offered = self.postings.join(words.select("word").distinct(), "word", "left_semi").join(self.offers, "ct")
+        per_iri = offered.groupBy("word", "cn", "kind", "iri").agg(F.min(F.struct("ct", "cw")).alias("t"))
+        first = top_k(per_iri, ["word", "cn", "kind"], [F.asc("iri")], self.limit)
+        return first.select("word", "cn", "t.ct", "t.cw").distinct()
+
+    def query_words(self, q: DataFrame) -> DataFrame:
+        """``(qt, qn, word, j, known)``: indexed words of a text, rarest first, with the words up to each."""
+        rows = self.sizes.groupBy("word").agg(F.sum("n").alias("n"))
+        split = q.withColumn("qw", tx.tokens(F.col("qt")))
+        exploded = split.select("qt", F.size("qw").alias("qn"), F.explode("qw").alias("word"))
+        listed = exploded.join(rows, "word").groupBy("qt", "qn").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("l"))
+        known = listed.select("qt", "qn", F.transform("l", lambda x: x["word"]).alias("known"))
+        return known.select("qt", "qn", "known", F.posexplode("known").alias("j", "word"))
+
+
+def shared_words(asked: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(qt, ct, score)`` of texts that meet on a word, each at the rarest word they share only."""
+    met = asked.join(lists, ["word", "cn"])
+    first = met.where((F.col("j") == 0) | ~F.arrays_overlap(F.slice("known", F.lit(1), F.col("j")), F.col("cw")))
+    shared = F.size(F.array_intersect("known", "cw"))
+    return first.select("qt", "ct", overlap_score(shared, F.greatest("qn", "cn")).alias("score"))
+
+
+def ranked_concepts(pairs: DataFrame, asked: DataFrame, offers: DataFrame, limit: int) -> DataFrame:
+    """``(qt, kinds, iri, score, retrieval_rank)``: the best concepts that scored texts offer to each request."""
+    allowed = (F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind"))
+    hits = asked.join(pairs, "qt").join(offers, "ct").where(allowed)
+    best = hits.groupBy("qt", "kinds", "iri").agg(F.max("score").alias("score"))
+    return top_k(best, ["qt", "kinds"], [F.desc("score"), F.asc("iri")], limit, "retrieval_rank")
 
-    def worded(df: DataFrame, name: str, size: str) -> DataFrame:
-        words = df.withColumn("__w", tx.tokens(F.col(name)))
-        return words.select(name, F.size("__w").alias(size), F.explode("__w").alias("word"))
 
-    shared = (
-        worded(q, "qt", "qn")
-        .join(worded(c, "ct", "cn"), "word")
-        .groupBy("qt", "ct", "qn", "cn")
-        .agg(F.count(F.lit(1)).alias("n"))
+def scored_texts(asked: DataFrame, index: WordIndex) -> DataFrame:
+    """``(qt, ct, score)``: every pair of texts that can put a concept among the best ``limit`` of a request.
+
+    Words are taken rarest first. Texts whose rarest shared word is the j-th of m share at most m - j + 1 words, which
+    bounds their score for each number of words they may have. Lists whose bound is below the score that already holds
+    the last place are not read. That score comes from equal and contained texts and from the heads of the rarest word.
+    Of the last word only heads are read at all: texts that share nothing else score alike per (word, cn), so the first
+    ``limit`` IRIs win. A word in every text thus adds no pairs but those, unless it is needed beside rarer ones.
+    """
+    q = asked.select("qt").distinct()
+    whole = stored(whole_matches(q, index.offers.select("ct").distinct()))
+    words = stored(index.query_words(q))
+    last = F.col("j") == F.size("known") - 1
+    heads = stored(index.heads(words.where((F.col("j") == 0) | last)))
+    rarest = words.where("j = 0").join(index.sizes.select("word", "cn"), "word")
+    early = whole.unionByName(shared_words(rarest, heads))
+    held = (
+        ranked_concepts(early, asked, index.offers, index.limit)
+        .groupBy("qt", "kinds")
+        .agg(F.when(F.count(F.lit(1)) == index.limit, F.min("score")).otherwise(F.lit(0.0)).alias("least"))
+    )
+    every = asked.join(held, ["qt", "kinds"], "left").groupBy("qt").agg(F.min(F.coalesce("least", F.lit(0.0))).alias("least"))
+    most = F.least(F.size("known") - F.col("j"), F.col("cn"))
+    open_lists = stored(
+        words.join(every, "qt")
+        .join(index.sizes.select("word", "cn"), "word")
+        .where(overlap_score(most, F.greatest("qn", "cn")) >= F.col("least"))
     )
-    overlap = shared.select(
-        "qt", "ct", (OVERLAP_WEIGHT * F.col("n") / F.greatest("qn", "cn")).alias("score")
+    return (
+        whole.unionByName(shared_words(open_lists.where(~last), index.postings))
+        .unionByName(shared_words(open_lists.where(last), heads))
     )
-    every = equal.unionByName(contained).unionByName(overlap)
-    return every.groupBy("qt", "ct").agg(F.max("score").alias("score"))
 
 
 def token_retrieve(reqs: DataFrame, concepts: DataFrame, limit: int = RETRIEVAL_LIMIT) -> DataFrame:
     """Best concepts per request by text overlap; ties by IRI, ranks from 0.
 
-    Equal requests are answered once and the answer is joined back to all of them.
+    Equal requests are answered once and the answer is joined back to all of them. The matched text is the best form of
+    a concept, the first of equals.
     """
     asked = reqs.withColumn("qt", F.lower(F.trim("text"))).where(F.col("qt") != "")
-    distinct = asked.select("qt", F.coalesce("kinds", empty_kinds()).alias("kinds")).distinct()
+    asked = asked.withColumn("kinds", F.coalesce("kinds", empty_kinds()))
+    distinct = asked.select("qt", "kinds").distinct()
     forms = concept_forms(concepts).withColumn("ct", F.lower(F.trim("form")))
-    hits = distinct.join(scored_texts(distinct, forms), "qt").join(forms, "ct")
+    index = WordIndex(forms, limit)
+    ranked = ranked_concepts(scored_texts(distinct, index), distinct, index.offers, limit)
     allowed = (F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind"))
-    best = F.max_by(F.struct("form", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b")
-    per_concept = (
-        hits.where(allowed)
-        .groupBy("qt", "kinds", "iri")
-        .agg(best)
-        .select("qt", "kinds", "iri", F.col("b.form").alias("matched_text"), F.col("b.score").alias("score"))
+    order = F.struct(pair_score(F.col("qt"), F.col("ct")), -F.col("pos"))
+    matched = (
+        ranked.join(forms, "iri")
+        .where(allowed)
+        .groupBy("qt", "kinds", "iri", "score", "retrieval_rank")
+        .agg(F.max_by("form", order).alias("matched_text"))
     )
-    ranked = top_k(per_concept, ["qt", "kinds"], [F.desc("score"), F.asc("iri")], limit, "retrieval_rank")
-    back = asked.withColumn("kinds", F.coalesce("kinds", empty_kinds())).join(ranked, ["qt", "kinds"])
+    back = asked.join(matched, ["qt", "kinds"])
     return back.select("question_id", "mention", "iri", "score", "retrieval_rank", "matched_text")
 
 

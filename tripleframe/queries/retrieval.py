@@ -25,10 +25,10 @@ UNION ALL SELECT iri, kind, 1, 'ex:' || label FROM cn WHERE kind = 'class'),
 ft AS (SELECT *, lower(form) AS ct, list_distinct(list_filter(regexp_split_to_array(lower(form), '[^a-z0-9]+'), lambda x: x <> '')) AS cw FROM fm)"""
 
 
-def _retrieve_sql(texts: str, limit: int) -> str:
+def _retrieve_sql(texts: str, limit: int, allowed: str = "true") -> str:
     return f"""WITH {_CONCEPTS}, {texts},
 qt AS (SELECT DISTINCT t, list_distinct(list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda x: x <> '')) AS qw FROM tx),
-sc AS (SELECT t, iri, max(CASE WHEN t = ct THEN 1.0 WHEN contains(ct, t) OR contains(t, ct) THEN 0.85 ELSE 0.5 * len(list_intersect(qw, cw)) / greatest(len(qw), len(cw)) END)::DOUBLE AS score FROM qt, ft GROUP BY 1, 2 HAVING score > 0),
+sc AS (SELECT t, iri, max(CASE WHEN t = ct THEN 1.0 WHEN contains(ct, t) OR contains(t, ct) THEN 0.85 ELSE 0.5 * len(list_intersect(qw, cw)) / greatest(len(qw), len(cw)) END)::DOUBLE AS score FROM qt, ft WHERE {allowed} GROUP BY 1, 2 HAVING score > 0),
 rk AS (SELECT t, iri, score, CAST(row_number() OVER (PARTITION BY t ORDER BY score DESC, iri) - 1 AS INT) AS retrieval_rank FROM sc QUALIFY retrieval_rank < {limit})"""
 
 
@@ -55,6 +55,16 @@ def retrieve_by_tokens(spark, d):
     return hits.select("question_id", "iri", F.round("score", 6).alias("score"), "retrieval_rank")
 
 
+_LIVE = "iri IN (SELECT iri FROM cn WHERE kind = 'individual' AND NOT lower(label) LIKE '%e')"
+
+
+@add(f"{_retrieve_sql(_TX, 10, _LIVE)} SELECT question_id, iri, round(score, 6) AS score, retrieval_rank FROM tx JOIN rk USING (t)")
+def concept_search_scores(spark, d):
+    concepts = name_concepts(spark, d).withColumn("ontology_id", F.lit("shop")).withColumn("deprecated", F.lower("label").endswith("e"))
+    hits = R.search(part_requests(spark, d), concepts, top=10, ontology_id="shop", kinds=["individual"])
+    return hits.select("question_id", "iri", F.round("score", 6).alias("score"), "retrieval_rank")
+
+
 @add("WITH x AS (SELECT page_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(url || ' ' || html), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS w FROM pages) SELECT page_id, array_to_string(w, ' ') AS words FROM x")
 def tokenise(spark, d):
     from tripleframe.functions import text as tx
