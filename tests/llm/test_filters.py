@@ -84,6 +84,21 @@ def test_near_duplicates_follow_chains_and_large_groups(make_docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == plain.components(docs)
 
 
+def test_near_duplicates_of_repeated_ids_go_by_their_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    base, near, other = " ".join(words), " ".join([*words[:59], "changed"]), " ".join(f"o{i}" for i in range(30))
+    rows = [(5, base, "x", 1), (3, near, "y", 2), (5, other, "z", 3), (5, other, "z", 3), (8, base, "x", 4), (9, "", "x", 5), (9, None, "x", 6), (None, base, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, group int")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect() if r["doc_id"])
+    assert got == [(3, 56, 3, True), (5, 26, 5, True), (5, 26, 5, True), (5, 56, 3, False), (8, 56, 3, False), (9, 0, 9, True), (9, 0, 9, True)]
+    left = near_dedup.keep_one(docs)
+    assert left.columns == docs.columns
+    assert sorted(r["group"] for r in left.collect()) == [2, 3, 5, 6, 7]
+    assert near_dedup.keep_one(docs.limit(0)).count() == 0
+    folded = spark.createDataFrame([(4, base), (4, base.upper()), (4, base)], "doc_id long, text string")
+    assert near_dedup.keep_one(folded).count() == 1
+
+
 def test_near_duplicates_odd_rows(make_docs):
     docs = make_docs([(5, "one two three four five six"), (5, "one two three four five six"), (2, "ONE two three four five six"),
                       (None, "one two three four five six"), (7, None), (8, " "), (9, "one two"), (10, "One Two")])

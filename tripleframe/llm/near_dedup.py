@@ -6,11 +6,11 @@ coordinates are cut into bands; documents that share a band meet.
 
 Nothing compares all members of a bucket:
 
-1. Documents with equal sets form one class; from here on only the smallest id of a class is handled.
+1. Documents with equal sets form one class with a number of its own; from here on only one text of a class is handled.
 2. Runs that no other of the remaining documents has cannot be common to a pair. Counting them once per document bounds
    the overlap of every pair from above, exactly, and drops most of the near misses of large groups.
-3. Every member of a bucket is compared with the smallest id of the bucket. Exact links give components.
-4. What is left of a bucket are members outside the component of its smallest id. Only these meet the other members of
+3. Every member of a bucket is compared with the smallest class of the bucket. Exact links give components.
+4. What is left of a bucket are members outside the component of its smallest class. Only these meet the other members of
    the bucket, and only across components: a link inside a component would change nothing.
 
 So each pair that shares a band is verified on full sets or already connected. With 24 bands of 5 a pair at a
@@ -18,9 +18,10 @@ similarity of 0.85 shares none with probability 8e-7.
 
 Defined results: null text or text without words has an empty set, is linked with nothing and is its own component.
 Fewer than five words: the whole sequence is the one run. Rows without doc_id are linked with nothing, have no component
-and are kept. Rows that repeat a doc_id
-are judged by their own text. An empty table gives an empty result. Other
-columns of the input take no part.
+and are kept. Rows that repeat a doc_id are judged by their own text: classes, sets and links go by the 128-bit digest of
+the set, and a component has the smallest doc_id of its rows. ``near_duplicates`` keeps every row of that doc_id in the
+component; ``keep_one`` keeps one row, the one whose text has the smallest hash, and of equal rows any. An empty table
+gives an empty result. Other columns of the input take no part.
 """
 
 from __future__ import annotations
@@ -98,11 +99,12 @@ def _sketches(width: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "bands"],
             )
 
     return run
@@ -116,10 +118,10 @@ def _full_sets(width: int):
                 held.append(hashes.view(np.int64))
                 size += len(hashes)
                 if size > 1 << 20:
-                    yield _set_batch(batch.column("doc_id").slice(row, len(held)), held)
+                    yield _set_batch(batch.column("id").slice(row, len(held)), held)
                     row, held, size = row + len(held), [], 0
             if held:
-                yield _set_batch(batch.column("doc_id").slice(row, len(held)), held)
+                yield _set_batch(batch.column("id").slice(row, len(held)), held)
 
     return run
 
@@ -191,35 +193,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    width: int = WIDTH,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    percent: int = PERCENT,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
-    texts = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+def _class_texts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, text): one text of each class. Only classes of several rows can match a text twice, and only they are grouped."""
+    named = texts.join(classes.select("doc_id", "text_hash", "id", "several"), ["doc_id", "text_hash"])
+    folded = named.filter("several").groupBy("id").agg(F.first("text").alias("text"))
+    return named.filter("NOT several").select("id", "text").union(folded)
+
+
+def judged(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, group), one row for each row of ``docs``.
+
+    ``group`` numbers components; it is null, as component_id may be, where a row is linked with nothing by definition.
+    """
+    texts = only(docs, doc_id=doc_id, text=text).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
+    )
     sketches = written(
         texts.mapInArrow(
-            _sketches(width, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"
+            _sketches(width, bands, rows), "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"
         )
     )
     known = sketches.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = written(
-        known.groupBy("digest").agg(
-            F.min("doc_id").alias("id"),
-            F.min_by("bands", "doc_id").alias("bands"),
+        known.groupBy("digest")
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.min_by(F.struct("text_hash", "bands"), "doc_id").alias("of_first"),
             F.first("n_shingles").alias("n"),
+            (F.count("*") > 1).alias("several"),
+        )
+        .select(
+            F.monotonically_increasing_id().alias("id"), "digest", "doc_id", "of_first.text_hash", "of_first.bands", "n", "several"
         )
     )
     members = classes.select("id", "n", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     met = written(members.join(crowded, "key").select("key", "id", "n"))
     sets = written(
-        texts.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
+        _class_texts(texts, classes.join(met.select("id").distinct(), "id", "left_semi")).mapInArrow(
             _full_sets(width), "id long, items array<long>"
         )
     )
@@ -284,12 +295,61 @@ def near_duplicates(
     links = written(first_links.union(verified(across, sets, percent)))
     labels = components(links)
 
-    of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    joined = sketches.join(of_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select(
+    first = classes.join(labels, "id").groupBy("component").agg(F.min("doc_id").alias("first"))
+    linked = labels.join(first, "component")
+    of_class = classes.join(linked, "id", "left").select(
+        "digest", F.coalesce("component", "id").alias("group"), F.coalesce("first", "doc_id").alias("first")
+    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
+    return sketches.join(of_class, "digest", "left").select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"),
     )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = WIDTH,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return judged(docs, doc_id, text, width, bands, rows, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = WIDTH,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """The rows of ``docs`` without all but one row of each component, with all their columns.
+
+    Decisions go by identifier and hash of the text, so rows that repeat an identifier keep their own fate.
+    """
+    found = judged(docs, doc_id, text, width, bands, rows, percent).filter("group IS NOT NULL")
+    counted = written(found.groupBy("group", "component_id", "doc_id", "text_hash").agg(F.count("*").alias("times")))
+    firsts = counted.filter("doc_id = component_id")
+    top = firsts.groupBy("group").agg(F.min("text_hash").alias("top"))
+    last = firsts.join(top, "group").filter("text_hash = top")
+    goes = counted.select("group", "doc_id", "text_hash").subtract(last.select("group", "doc_id", "text_hash"))
+    again = written(last.filter("times > 1").select("doc_id", "text_hash"))
+
+    def met(keys: DataFrame):
+        return (docs[doc_id].cast("long") == keys["__near_id"]) & (F.xxhash64(docs[text]) == keys["__near_hash"])
+
+    again = again.select(F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_hash"))
+    out = goes.select(F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_hash")).union(again)
+    once = docs.join(out, met(out), "left_anti")
+    repeated = docs.join(again, met(again)).dropDuplicates(["__near_id", "__near_hash"]).drop("__near_id", "__near_hash")
+    return once.union(repeated)
