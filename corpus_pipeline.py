@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function). Each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of the documents.
+
+Defined results: null and empty texts fail the base rule and go with the first stage. Rows that repeat a doc_id are
+judged by their own text; of equal rows near dedup keeps one. Rows without doc_id pass near dedup. Further columns are
+carried along. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,10 +38,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each group of near duplicates."""
-    found = near_dedup.near_duplicates(docs, bands=NEAR_BANDS, percent=NEAR_PERCENT)
-    others = found.filter("NOT kept").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, of those with the smallest identifier in the group."""
+    return near_dedup.keep_one(docs, bands=NEAR_BANDS, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
