@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from tripleframe.llm import chat, language, quality_rank
+from tripleframe.llm import chat, language, quality_rank, queries
 
 MESSAGES = "conv_id long, turn long, role string, text string"
 SCHEMAS = {"find": {"q": ("string", True), "n": ("integer", False)}, "add": {"x": ("number", True)}}
@@ -76,6 +76,25 @@ def test_chat_odd_rows(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_registered_query_checks_calls_by_the_tools_a_conversation_declares(spark, tmp_path):
+    kinds = lambda **k: {"properties": {n: {"type": v} for n, v in k.items()}, "required": [n for n in k if n != "n"]}
+    tools = json.dumps({"tools": [{"name": "find", "parameters": kinds(q="string", n="integer")}, {"name": "now"}]})
+    more = json.dumps({"tools": [{"name": "find", "parameters": kinds(x="number")}, {"name": "add", "parameters": kinds(x="number", y="odd")}]})
+    calls = [("a", "find", {"q": "s", "n": 1}, []), ("b", "find", {"n": 1}, []), ("c", "find", {"q": 1}, ["a"]), ("d", "nope", {}, []),
+             ("e", "now", {}, []), ("f", "now", {"z": 1}, []), ("g", "add", {"x": 1.5, "y": [1]}, []), ("h", "add", {"x": "1", "y": 2}, []),
+             ("i", "add", [1], [])]
+    rows = [(k, 0, "system", tools if k == 1 else "be kind") for k in (1, 2)] + [(1, 1, "system", more)]
+    rows += [(k, 2, "assistant", call(*calls)) for k in (1, 2, None)]
+    rows += [(k, 3 + n, "tool", result(c[0], n)) for k in (1, 2) for n, c in enumerate(calls)]
+    spark.createDataFrame(rows, MESSAGES).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op7_chat_format(spark, str(tmp_path)).collect()
+    status = {(r["conv_id"], r["call_id"]): r["status"] for r in got if r["kind"] == 1}
+    bad = {"b": "bad_arguments", "c": "bad_arguments", "d": "unknown_tool", "f": "bad_arguments", "h": "bad_arguments", "i": "bad_arguments"}
+    assert [status[1, c[0]] for c in calls] == [bad.get(c[0], "ok") for c in calls]
+    assert {status[2, c[0]] for c in calls} == {"ok"} and {status[None, c[0]] for c in calls} == {"no_result"}
+    assert len(got) == len(rows) - 3 + 3 * len(calls) and sum(r["role"] == "system" for r in got) == 3
+
+
 def speech(rng, parts, n):
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n)).capitalize() + "."
 

@@ -7,8 +7,14 @@ of ``{"id", "name", "arguments", "after"}``, holds calls; ``after`` names calls
 Calls and results meet in an equi-join on (conversation, identifier), so a conversation with a third of all rows is
 spread over its identifiers; no conversation is gathered into one row or task. Calls are levelled: a call is one above
 the highest call it follows. Rows sorted by (conv_id, order_turn, level, kind, turn, part) are in topological order:
-every call after the calls it names, every result after its call. Arguments are checked against the tools' schemas,
-which are compiled into one expression. JSON is canonical because variants keep object keys sorted and write no spaces.
+every call after the calls it names, every result after its call. JSON is canonical because variants keep object keys
+sorted and write no spaces.
+
+Arguments are checked against the tools' schemas. Schemas that are given hold for all conversations and are compiled into
+one expression. Without them a conversation's own hold: a text of role ``system`` that is a JSON object with ``tools``, a
+list of ``{"name", "parameters": {"properties": {argument: {"type"}}, "required"}}``, declares tools, of equal names the
+first by turn. They meet the calls on (conversation, name). In a conversation that declares none, calls are not checked.
+The declaring text is a plain message.
 
 Status of a row: ``ok``; for calls ``no_result``, ``duplicate_id``, ``unknown_tool``, ``bad_arguments``, ``missing_call``
 (it follows a call that is not there), ``cycle``; for results ``orphan`` and ``duplicate_id``. The first of several
@@ -33,6 +39,7 @@ Schemas = dict[str, dict[str, tuple[str, bool]]]
 
 _CALLS = "tool_calls array<struct<id: string, name: string, arguments: variant, after: array<string>>>"
 _RESULT = "tool_call_id string, content variant"
+_TOOL = "name: string, parameters: struct<properties: map<string, struct<type: string>>, required: array<string>>"
 _TYPES = {
     "string": "^STRING$",
     "integer": "^BIGINT$",
@@ -58,6 +65,37 @@ def arguments_fit(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return fits
 
 
+def _declared(rows: DataFrame) -> DataFrame:
+    """(conv_id, name, properties, required): the tools that conversations declare."""
+    tools = (
+        rows.filter((F.col("role") == "system") & F.col("text").startswith("{"))
+        .select("conv_id", "turn", F.explode(F.from_json("text", f"tools array<struct<{_TOOL}>>")["tools"]).alias("tool"))
+        .filter(F.col("tool")["name"].isNotNull())
+    )
+    first = tools.groupBy("conv_id", F.col("tool")["name"].alias("name")).agg(
+        F.min(F.struct("turn", F.to_json("tool").alias("json"))).alias("first")
+    )
+    of = F.from_json(F.col("first")["json"], f"struct<{_TOOL}>")["parameters"]
+    return first.select(
+        "conv_id",
+        "name",
+        F.coalesce(of["properties"], F.create_map().cast("map<string, struct<type: string>>")).alias("properties"),
+        F.coalesce(of["required"], F.array().cast("array<string>")).alias("required"),
+    )
+
+
+def _fit_declared(arguments: Column, properties: Column, required: Column) -> Column:
+    """As :func:`arguments_fit`, for a schema that lies in columns; types that are not known fit everything."""
+    given = F.try_variant_get(arguments, "$", "map<string, variant>")
+    kinds = F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair])
+    right = F.forall(
+        F.map_entries(given),
+        lambda x: F.map_contains_key(properties, x["key"])
+        & F.coalesce(F.rlike(F.schema_of_variant(x["value"]), kinds[properties[x["key"]]["type"]]), kinds[properties[x["key"]]["type"]].isNull()),
+    )
+    return F.coalesce(right & (F.size(F.array_except(required, F.map_keys(given))) == 0), F.lit(False))
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, level, order_turn) of every call that is in no cycle and follows none."""
     edges = cut_lineage(
@@ -102,7 +140,6 @@ def format_chats(
     (conv_id, turn, part, role, kind, call_id, level, order_turn, linked_turn, status, json); kind is 0 for messages, 1
     for calls, 2 for results, part the place of a call in its message, linked_turn the turn of the result or the call.
     """
-    schemas = schemas or {}
     rows = only(messages, conv_id=conv_id, turn=turn, role=role, text=text).withColumn(
         "text", F.coalesce("text", F.lit(""))
     )
@@ -137,7 +174,7 @@ def format_chats(
         every_call.select(
             "conv_id", "turn", "role", "part", "id", "name", "row",
             F.coalesce("after", F.array().cast("array<string>")).alias("after"),
-            arguments_fit(F.col("name"), F.col("arguments"), schemas).alias("fits"),
+            (F.lit(True) if schemas is None else arguments_fit(F.col("name"), F.col("arguments"), schemas)).alias("fits"),
             F.coalesce(F.to_json("arguments"), F.lit("null")).alias("arguments"),
         )
     )
@@ -166,12 +203,20 @@ def format_chats(
         .join(missing, ["conv_id", "id"], "left")
         .join(answer, ["conv_id", "id"], "left")
     )
+    if schemas is None:
+        tools = _declared(rows)
+        declaring = tools.select("conv_id", F.lit(True).alias("declares")).distinct()
+        linked = linked.join(declaring, "conv_id", "left").join(tools, ["conv_id", "name"], "left")
+        unknown = F.col("declares").isNotNull() & F.col("required").isNull()
+        fits = F.col("required").isNull() | _fit_declared(F.try_parse_json("arguments"), F.col("properties"), F.col("required"))
+    else:
+        unknown, fits = ~F.coalesce(F.col("name").isin(list(schemas)), F.lit(False)), F.col("fits")
     status = (
         F.when(F.coalesce(F.col("row") != F.col("first_row"), F.lit(False)), "duplicate_id")
         .when(F.col("id").isNotNull() & F.col("conv_id").isNotNull() & F.col("level").isNull(), "cycle")
         .when(F.coalesce("missing", F.lit(False)), "missing_call")
-        .when(~F.coalesce(F.col("name").isin(list(schemas)), F.lit(False)) if schemas else F.lit(True), "unknown_tool")
-        .when(~F.col("fits"), "bad_arguments")
+        .when(unknown, "unknown_tool")
+        .when(~fits, "bad_arguments")
         .when(F.col("answered").isNull(), "no_result")
         .otherwise("ok")
     )
