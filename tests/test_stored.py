@@ -104,6 +104,25 @@ def test_stored_patterns_prune(stored):
     assert "by_object" in by_object and "EqualTo(o," in by_object and "PartitionFilters: [isnotnull(folder" in by_object
 
 
+def test_hubs_common_objects_and_long_texts_spread_over_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "RANGE_BYTES", 20_000)
+    rows = [(None, EX + f"n{i}", V.RDF_TYPE, EX + "Thing") for i in range(2000)]
+    rows += [(EX + "g", EX + "hub", EX + "to", EX + f"n{i}") for i in range(2000)]
+    rows += [(None, EX + f"n{i}", EX + "text", lit("word " * 400 + str(i))) for i in range(60)] + [(None, EX + "n1", EX + "text", lit("short"))]
+    df = spark.createDataFrame(rows * 3, SCHEMA).repartition(6)
+    kept = store.write(df, f"{tmp_path}/g")
+    for name in ("by_subject", "by_object"):
+        read = spark.read.parquet(f"{kept.path}/{name}")
+        assert sorted(map(tuple, read.select("g", "s", "p", "o").collect()), key=str) == sorted(rows, key=str)
+        files = read.groupBy("p", F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.sum(F.length("o")).alias("size")).collect()
+        for p, most in ((V.RDF_TYPE, 1000), (EX + "to", 1000), (EX + "text", 30)):
+            assert max(r["n"] for r in files if r["p"] == p) <= most, (name, p)
+    assert kept.statistics([V.RDF_TYPE, EX + "to", EX + "text"]) == {
+        V.RDF_TYPE: (2000, 2000, 1), EX + "to": (2000, 1, 2000), EX + "text": (61, 60, 61)}
+    none = store.write(df.limit(0), f"{tmp_path}/none")
+    assert none.quads.count() == none.predicates.count() == 0 and none.statistics([EX + "to"]) == {EX + "to": (0, 0, 0)}
+
+
 def test_half_a_store_is_none(spark, stored, tmp_path):
     df, kept = stored
     kept.quads.write.parquet(f"{tmp_path}/h/by_subject")

@@ -13,11 +13,18 @@ The number of folders does not grow with the number of predicates, and no file n
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDERS = 32
+# Bytes of a range, and of a range of a graph that is too small to keep all cores busy otherwise.
+RANGE_BYTES = 64 << 20
+SMALL_RANGE_BYTES = 4 << 20
+# Objects beyond are laid in ranges of their own; characters of an object that ranges are cut by.
+LONG_BYTES = 1024
+PREFIX = 64
 _COLUMNS = ["g", "s", "p", "o"]
 
 
@@ -62,32 +69,52 @@ class StoredGraph:
         return {p: found.get(p, (0, 0, 0)) for p in asked}
 
 
+def _parts(size: int, cores: int) -> int:
+    """Ranges for so many bytes: a range is sorted in memory, so its size is fixed and their number grows."""
+    return max(-(-size // RANGE_BYTES), min(cores, -(-size // SMALL_RANGE_BYTES)), 1)
+
+
 def write(quads: DataFrame, path: str, by_object: bool = True, folders: int = FOLDERS) -> StoredGraph:
-    """Store ``(g, s, p, o)`` as a set under ``path`` and open it. The quads are read once.
+    """Store ``(g, s, p, o)`` as a set under ``path`` and open it.
+
+    Ranges have about equal numbers of rows, so rows with long objects get ranges of their own, and the number of ranges
+    follows the bytes. The ranges of a subject go on by object and those of an object by subject: neither a hub nor the
+    object of most rows is one task. Equal rows lie in one range and are folded there.
 
     ``about`` is written last: a folder without it is no store, so a reader never opens half of one.
     """
     spark, path = quads.sparkSession, path.rstrip("/")
-    rows = quads.select(*_COLUMNS).distinct().withColumn("folder", _folder(F.col("p"), folders))
-
-    def lay(df: DataFrame, name: str, second: str) -> None:
-        ranged = df.repartitionByRange("folder", "p", second).sortWithinPartitions("folder", "p", second)
-        ranged.write.partitionBy("folder").parquet(f"{path}/{name}")
-
-    lay(rows, "by_subject", "s")
+    cores = spark.sparkContext.defaultParallelism
+    rows = quads.select(*_COLUMNS).withColumn("folder", _folder(F.col("p"), folders))
+    long = F.coalesce(F.octet_length("o") > LONG_BYTES, F.lit(False))
+    size = F.lit(64) + reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(x), F.lit(0)) for x in _COLUMNS])
+    sizes = {r["long"]: r["size"] for r in rows.groupBy(long.alias("long")).agg(F.sum(size).alias("size")).collect()}
+
+    def lay(df: DataFrame, name: str, second: str, then: Column, fold: bool) -> None:
+        # An empty graph is written as well, so that its tables exist.
+        for kind in sizes or {False: 0}:
+            part = df.where(long) if kind else df.where(~long)
+            start = F.substring(second, 1, PREFIX) if second == "o" else F.col(second)
+            ranged = part.withColumns({"__start": start, "__then": then}).repartitionByRange(
+                _parts(sizes.get(kind, 0), cores), "folder", "p", "__start", "__then"
+            )
+            ranged = (ranged.distinct() if fold else ranged).drop("__start", "__then")
+            ranged.sortWithinPartitions("folder", "p", second).write.mode("append").partitionBy("folder").parquet(f"{path}/{name}")
+
+    lay(rows, "by_subject", "s", F.xxhash64("o"), True)
     kept = spark.read.schema("g string, s string, p string, o string, folder int").parquet(f"{path}/by_subject")
     if by_object:
-        lay(kept, "by_object", "o")
-    # Statistics only: hashes stand for the terms, so that long texts are not shuffled.
-    of_s = F.struct(F.lit("s").alias("end"), F.xxhash64("s").alias("x"))
-    of_o = F.struct(F.lit("o").alias("end"), F.xxhash64("o").alias("x"))
-    ends = kept.select("p", F.explode(F.array(of_s, of_o)).alias("e"))
-    # Distinct ends in two levels: the counts of a predicate with most rows come from many tasks.
-    distinct = ends.groupBy("p", "e.end", "e.x").agg(F.count("*").alias("n"))
-    of = lambda end, value: F.sum(F.when(F.col("end") == end, value).otherwise(0))
-    stats = distinct.groupBy("p").agg(
-        of("s", F.col("n")).alias("rows"), of("s", 1).cast("long").alias("subjects"), of("o", 1).cast("long").alias("objects")
-    )
+        lay(kept, "by_object", "o", F.xxhash64("s"), False)
+
+    # Statistics only: hashes stand for the terms, so that no text is shuffled or held.
+    def ends(of: str, rows_too: bool) -> DataFrame:
+        # Distinct ends in two levels: the counts of a predicate with most rows come from many tasks.
+        distinct = kept.groupBy(F.xxhash64("p").alias("id"), F.xxhash64(of).alias("x")).agg(F.count("*").alias("n"))
+        totals = [F.sum("n").alias("rows")] if rows_too else []
+        return distinct.groupBy("id").agg(*totals, F.count("*").alias("subjects" if of == "s" else "objects"))
+
+    names = kept.select("p").distinct().withColumn("id", F.xxhash64("p"))
+    stats = names.join(ends("s", True), "id").join(ends("o", False), "id").select("p", "rows", "subjects", "objects")
     stats.write.parquet(f"{path}/predicates")
     about = spark.range(1).select(F.lit(folders).alias("folders"), F.lit(by_object).alias("with_objects"))
     about.coalesce(1).write.parquet(f"{path}/about")
