@@ -4,6 +4,7 @@ import json
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tripleframe.llm import chat, language, quality_rank, queries
@@ -155,6 +156,38 @@ def test_quality_of_held_out_texts(spark, make_docs):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def test_quality_model_is_fitted_on_all_labelled_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    size = len(quality_rank.MEASURES)
+    label = (rng.random(900) < 0.8).astype(int)
+    x = rng.normal(size=(900, size)) + label[:, None] * np.linspace(0.0, 0.6, size)
+    x[:, 3] = 2.0
+    rows = spark.createDataFrame([(i, [float(v) for v in r], int(y)) for i, (r, y) in enumerate(zip(x, label))], "doc_id long, measures array<double>, label int")
+    good, bad = int(label.sum()), int((label == 0).sum())
+    spread = np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1)
+    d = ((x[label == 1][:, None] - x[label == 0][None]) / spread).reshape(-1, size)
+    w = np.zeros(size)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(size), d.T @ (1 - p) / len(d) - 1e-3 * w)
+    monkeypatch.setattr(quality_rank, "PAIRS", good * bad)
+    weights, cut = quality_rank.fit(rows)
+    assert weights * spread == pytest.approx(w, abs=1e-6)
+    scores = np.sort(x @ weights)
+    assert cut == pytest.approx((scores[bad - 1] + scores[bad]) / 2, abs=1e-9)
+    # With fewer pairs than all, every row still has its part.
+    monkeypatch.setattr(quality_rank, "PAIRS", 1)
+    one_hot = rows.selectExpr("doc_id", f"transform(sequence(1, {size}), i -> CAST(doc_id AS DOUBLE)) AS measures", "label")
+    pairs, n = quality_rank.paired(one_hot, good, bad, np.ones(size))
+    assert pairs.count() == n == 4 * good
+    ids = {0: np.flatnonzero(label == 0), 1: np.flatnonzero(label == 1)}
+    met = [r["x"][0] for r in pairs.collect()]
+    # Sums of differences: each good row counts four times, bad rows as evenly as the numbers allow.
+    assert abs(sum(met) - (4 * ids[1].sum() - 4 * good / bad * ids[0].sum())) <= 4 * ids[0].sum()
+    near, _ = quality_rank.fit(rows)
+    assert np.corrcoef(x @ near, x @ weights)[0, 1] > 0.98
+
+
 def test_quality_without_labels_and_empty(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs([(1, "a b"), (1, "a b"), (None, None)]).selectExpr("*", "1 AS measures", "2 AS label")

@@ -6,8 +6,11 @@ difference of the scores. The scores are cut at the quantile that equals the sha
 is the probability of being preferred to a text at the cut.
 
 Measures are taken from every whole text in one pass without a shuffle and written, as a few numbers a document; labels
-meet that table, not the texts. The model is fitted on at most ``MAX_LABELS`` labelled rows, those with the smallest hash
-of their identifier, and ``PAIRS`` pairs of them; these are the only rows that reach the driver.
+meet that table, not the texts. The model is fitted on all labelled rows that may be learned from: they are numbered in
+the order of a hash of their identifier, and every row of the commoner label meets rows of the other in even steps around
+its numbers, so that every row takes part. These are all pairs up to ``PAIRS`` of them, and beyond at least
+``PARTNERS`` for each row of the commoner label. Newton steps and the cut are jobs over these tables; the driver gets
+sums, and the two scores on both sides of the cut.
 
 Defined results: null text is empty; empty text has measures of zero and a score like any other. Labels that are null or
 neither 0 nor 1 are not used; a document that is labelled more than once counts each time. Without labels of both kinds
@@ -20,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleframe.llm import arrow_text as at
 from tripleframe.llm.common import only, written
 from tripleframe.llm.language import held_out
 
-MAX_LABELS = 20_000
 PAIRS = 100_000
+PARTNERS = 4
 RIDGE = 1e-3
 MEASURES = (
     "log_words bytes_per_word symbols_per_word upper_share digits_share marks_per_word stops_per_word lines_per_word "
@@ -116,34 +119,79 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
-    """Weights that maximise the likelihood of all preferences, by Newton steps on the differences."""
-    rng = np.random.default_rng(1)
-    x = good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]
-    w = np.zeros(x.shape[1])
+def _sums(w: np.ndarray):
+    """The sums of the gradient and of the curvature of a task's preferences at the weights ``w``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(w) * (len(w) + 1))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(w))
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            total += np.concatenate([x.T @ (1 - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "value"])
+
+    return run
+
+
+def fit_pairs(pairs: DataFrame, n: int, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
+    """Weights that maximise the likelihood of all ``n`` preferences (x: the differences), by Newton steps."""
+    size = len(MEASURES)
+    w = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (1 - p) / pairs - ridge * w
-        curvature = (x * (p * (1 - p))[:, None]).T @ x / pairs + ridge * np.eye(len(w))
-        step = np.linalg.solve(curvature, gradient)
+        sums = pairs.mapInArrow(_sums(w), "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+        total = np.array([r["value"] for r in sorted(sums.collect())]) / n
+        gradient = total[:size] - ridge * w
+        step = np.linalg.solve(total[size:].reshape(size, size) + ridge * np.eye(size), gradient)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(rows: list[tuple[list[float], int]]) -> tuple[np.ndarray, float]:
-    """(weights, cut) such that w.x - cut is the score of a text relative to the quantile of the bad share."""
-    x = np.array([r[0] for r in rows], dtype=float).reshape(len(rows), len(MEASURES))
-    y = np.array([r[1] for r in rows], dtype=int)
-    if not (y == 1).any() or not (y == 0).any():
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``number``, their place in the order from 0; ranges are sorted and counted, none is gathered."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    ranges = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return ranged.withColumn("place", place).join(starts, "range").withColumn("number", F.col("start") + F.col("place"))
+
+
+def paired(rows: DataFrame, good: int, bad: int, scale: np.ndarray) -> tuple[DataFrame, int]:
+    """(x) of the preferences, the scaled differences of good and bad rows, and how many there are."""
+    many, few = max(good, bad), min(good, bad)
+    partners = min(few, max(PARTNERS, -(-PAIRS // many)))
+    number = F.col("number") - F.when(F.col("label") == 1, bad).otherwise(0)
+    placed = written(_numbered(rows.withColumn("hash", F.xxhash64("doc_id")), "label", "hash", "doc_id", "measures").select("label", "measures", number.alias("number")))
+    common = int(good >= bad)
+    meets = F.transform(F.sequence(F.lit(0), F.lit(partners - 1)), lambda k: (F.col("number") + F.floor(k * few / partners)) % few)
+    left = placed.filter(F.col("label") == common).select(F.col("measures").alias("a"), F.explode(meets).alias("number"))
+    right = placed.filter(F.col("label") != common).select(F.col("measures").alias("b"), "number")
+    sign = np.where(scale > 0, 1 / np.where(scale > 0, scale, 1), 1) * (1 if common else -1)
+    difference = F.zip_with(F.zip_with("a", "b", lambda x, y: x - y), F.array(*[F.lit(float(v)) for v in sign]), lambda x, v: x * v)
+    return written(left.join(right, "number").select(difference.alias("x"))), many * partners
+
+
+def _product(w: np.ndarray) -> Column:
+    products = F.zip_with("measures", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """(weights, cut) of ``rows`` (doc_id, measures, label): w.x - cut is a score relative to the quantile of the bad share."""
+    spread = [F.stddev_pop(F.col("measures")[i]).alias(name) for i, name in enumerate(MEASURES)]
+    about = rows.agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"), *spread).first()
+    good, bad = about["good"], about["bad"]
+    if not good or not bad:
         return np.zeros(len(MEASURES)), 0.0
-    mean, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread == 0] = 1
-    z = (x - mean) / spread
-    w = fit_pairs(z[y == 1], z[y == 0])
-    cut = float(np.quantile(z @ w, (y == 0).mean(), method="midpoint"))
-    return w / spread, cut + float((mean / spread) @ w)
+    scale = np.array([about[name] for name in MEASURES])
+    pairs, n = paired(rows, good, bad, scale)
+    w = fit_pairs(pairs, n) / np.where(scale > 0, scale, 1)
+    scored = _numbered(rows.select(_product(w).alias("score")), "score")
+    # The scores on both sides of the quantile of the bad share.
+    edge = scored.filter(F.col("number").isin(bad - 1, bad)).agg(F.avg("score")).first()[0]
+    return w, float(edge)
 
 
 def rank_quality(
@@ -152,24 +200,15 @@ def rank_quality(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    max_labels: int = MAX_LABELS,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; learns from labelled rows that are not held out."""
     rows = only(docs, doc_id=doc_id, text=text).withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
     kind = rows.schema["doc_id"].dataType.simpleString()
     measured = written(rows.mapInArrow(_measure, f"doc_id {kind}, held_out boolean, measures array<double>"))
     marks = only(labels, doc_id=doc_id, label=label).filter("label IN (0, 1)")
-    sample = (
-        measured.filter(~F.col("held_out"))
-        .join(marks, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label", "measures")
-        .limit(max_labels)
-        .select("measures", "label")
-        .collect()
-    )
-    w, cut = fit([(r["measures"], r["label"]) for r in sample])
-    products = F.zip_with("measures", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b)
-    margin = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v) - F.lit(cut)
+    known = written(measured.filter(~F.col("held_out")).join(marks, "doc_id").select("doc_id", "measures", "label"))
+    w, cut = fit(known)
+    margin = _product(w) - F.lit(cut)
     return measured.select(
         "doc_id", "held_out", (1 / (1 + F.exp(-F.greatest(F.least(margin, F.lit(50.0)), F.lit(-50.0))))).alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
