@@ -162,6 +162,15 @@ def test_lists_summary_differences(spark):
     assert sorted(tuple(r) for r in E.term_differences(p, s).collect()) == [("c", "x", "reported"), ("c", "z", "resolved")]
 
 
+def test_term_differences_in_one_shuffle_and_of_nulls(spark):
+    of = lambda rows: spark.createDataFrame(rows, "case_id string, iri string")
+    found = E.term_differences(of([("c", "x"), ("c", None), (None, "y"), ("c", "x")]), of([("c", None), ("d", None), ("c", "z")]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    want = [(None, "y", "reported"), ("c", "x", "reported"), ("c", "z", "resolved"), ("d", None, "resolved")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
 def test_assignments_are_found_whenever_they_exist(spark):
     import itertools
     import random

@@ -552,10 +552,13 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def term_differences(reported: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``(case_id, iri, side)``: terms only the planner reports, or only the resolver selected."""
-    r, s = reported.select("case_id", "iri").distinct(), resolved.select("case_id", "iri").distinct()
-    keys = ["case_id", "iri"]
-    return (
-        r.join(s, keys, "left_anti").withColumn("side", F.lit("reported"))
-        .unionByName(s.join(r, keys, "left_anti").withColumn("side", F.lit("resolved")))
+    """``(case_id, iri, side)``: terms only the planner reports, or only the resolver selected.
+
+    One aggregation over the tagged rows of both sides, combined before its only shuffle; equal means equal or both null.
+    """
+    both = reported.select("case_id", "iri", F.lit(False).alias("__resolved")).unionByName(
+        resolved.select("case_id", "iri", F.lit(True).alias("__resolved"))
     )
+    sides = both.groupBy("case_id", "iri").agg(F.min("__resolved").alias("__low"), F.max("__resolved").alias("__high"))
+    side = F.when(F.col("__low"), "resolved").otherwise("reported")
+    return sides.where("__low = __high").select("case_id", "iri", side.alias("side"))
