@@ -98,6 +98,16 @@ def test_ratio_pairs_finds_all(spark, least):
     assert got == want
 
 
+def test_contained_pairs_cuts_only_grams_that_needles_meet_on(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} of a longer body é{i}") for i in range(30)], "id long, body string")
+    needles = spark.createDataFrame([("longer body",), ("words 7",), ("body é29",)], "n string")
+    met = contained_pairs(docs, "id", "body", needles, "n", 2)
+    assert sorted(map(tuple, met.collect())) == sorted([(i, "longer body") for i in range(30)] + [(7, "words 7"), (29, "body é29")])
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "(.{5})" in plan and not any(f"(.{{{n}}})" in plan for n in (2, 3, 4))
+    assert contained_pairs(docs, "id", "body", needles.limit(0), "n", 2).count() == 0
+
+
 def test_contained_pairs_finds_all(spark):
     texts = [(i, w + (" tail\nend" if i % 2 else "")) for i, w in enumerate(WORDS)]
     df = spark.createDataFrame(texts, "id int, body string")

@@ -45,16 +45,18 @@ def contained_pairs(
     )
     short = wanted.where(F.length("__needle") <= ANCHOR)
     anchors = anchors.unionByName(short.withColumn("__gram", F.col("__needle")))
-    sizes = range(max(min_length, 1), ANCHOR + 1)
+    sizes = list(range(max(min_length, 1), ANCHOR + 1))
     body = F.col(text)
     if key != text:
         texts = use_all_cores(texts, key)
+        # Long texts make very many grams; with few needles they need not be shuffled at all, and lengths that no
+        # needle meets on are not cut.
+        anchors = broadcast_if_small(anchors)
+        used = {r["n"] for r in anchors.select(F.length("__gram").alias("n")).distinct().collect()}
+        sizes = [n for n in sizes if n in used] or [ANCHOR]
     expanded = texts.select(
         F.col(key).alias("__key"), F.explode(F.concat(*[tx.grams(body, n) for n in sizes])).alias("__gram")
     )
-    if key != text:
-        # Long texts make very many grams; with few needles they need not be shuffled at all.
-        anchors = broadcast_if_small(anchors)
     met = expanded.join(anchors, "__gram").select("__key", "__needle")
     if key == text:
         hits = met.where(F.contains(F.col("__key"), F.col("__needle")))
