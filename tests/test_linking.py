@@ -3,6 +3,7 @@
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,19 @@ def test_contained_pairs_cuts_only_grams_that_needles_meet_on(spark):
     assert contained_pairs(docs, "id", "body", needles.limit(0), "n", 2).count() == 0
 
 
+def test_vectors_are_copied_once_per_large_block(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(i), [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    q, v = spark.createDataFrame(rows, "query_id string, vector array<double>"), spark.createDataFrame(rows, "iri string, vector array<double>")
+    got = nearest_vectors(q, v, 3, block_rows=5, chunk_rows=150, slice_rows=7)
+    # Vectors meet two chunks of queries, not as many as there are slices.
+    assert re.findall(r"sequence\(0, (\d+),", got._jdf.queryExecution().analyzed().toString()) == ["59", "1"]
+    m = np.array([r[1] for r in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    best = np.argsort(-(m @ m.T), axis=1)[:, :3]
+    assert sorted((r["query_id"], r["iri"]) for r in got.collect()) == sorted((str(i), str(j)) for i in range(300) for j in best[i])
+
+
 def test_contained_pairs_finds_all(spark):
     texts = [(i, w + (" tail\nend" if i % 2 else "")) for i, w in enumerate(WORDS)]
     df = spark.createDataFrame(texts, "id int, body string")

@@ -219,14 +219,16 @@ def nearest_vectors(
     k: int,
     min_score: float | None = None,
     block_rows: int = 20_000,
-    chunk_rows: int = 2_000,
+    chunk_rows: int = 20_000,
+    slice_rows: int = 2_000,
     query_count: int | None = None,
     vector_count: int | None = None,
 ) -> DataFrame:
     """Exact cosine top ``k``: ``queries(query_id, vector[, kinds])`` by ``vectors(iri, vector[, kind])``.
 
-    Both sides are hashed into blocks and every (chunk, block) cell is one matrix product that emits
-    only its own best ``k`` per query. So nothing is broadcast, a task holds one block, and the final
+    Both sides are hashed into blocks and every (chunk, block) cell emits only its own best ``k`` per query. A row is
+    copied once for each block of the other side, so blocks of both sides are large where there is work for all cores,
+    and a cell multiplies ``slice_rows`` queries at a time. So nothing is broadcast, a task holds one block, and the final
     ranking sees ``k`` rows per query and block. Scores are rounded to nine digits, then ties go by
     ``iri``, so copies of a vector rank the same wherever they land. ``kinds`` NULL or empty: no filter.
     """
@@ -236,7 +238,9 @@ def nearest_vectors(
         vectors = vectors.withColumn("kind", F.lit(None).cast("string"))
     nq = queries.count() if query_count is None else query_count
     nv = vectors.count() if vector_count is None else vector_count
-    chunks, blocks = max(1, -(-nq // chunk_rows)), max(1, -(-nv // block_rows))
+    blocks = max(1, -(-nv // block_rows))
+    cells = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-nq // chunk_rows), min(-(-nq // slice_rows), -(-cells // blocks)))
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -256,20 +260,21 @@ def nearest_vectors(
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "iri": [], "score": []})
-        scores = np.round(_unit_rows(left["vector"]) @ _unit_rows(right["vector"]).T, SCORE_DIGITS)
-        iris, kinds = right["iri"].to_numpy(), right["kind"].to_numpy()
+        units, iris, kinds = _unit_rows(right["vector"]).T, right["iri"].to_numpy(), right["kind"].to_numpy()
         out = []
-        for i, (qid, wanted) in enumerate(zip(left["query_id"], left["kinds"], strict=True)):
-            row = scores[i]
-            ok = row >= floor
-            if wanted is not None and len(wanted):
-                ok &= np.isin(kinds.astype(object), list(wanted))
-            idx = np.flatnonzero(ok)
-            if len(idx) > k:
-                edge = np.partition(row[idx], len(idx) - k)[len(idx) - k]
-                idx = idx[row[idx] >= edge]
-            idx = idx[np.lexsort((iris[idx].astype(str), -row[idx]))][:k]
-            out.append(pd.DataFrame({"query_id": qid, "iri": iris[idx], "score": row[idx]}))
+        for first in range(0, len(left), slice_rows):
+            some = left.iloc[first : first + slice_rows]
+            scores = np.round(_unit_rows(some["vector"]) @ units, SCORE_DIGITS)
+            for row, qid, wanted in zip(scores, some["query_id"], some["kinds"], strict=True):
+                ok = row >= floor
+                if wanted is not None and len(wanted):
+                    ok &= np.isin(kinds.astype(object), list(wanted))
+                idx = np.flatnonzero(ok)
+                if len(idx) > k:
+                    edge = np.partition(row[idx], len(idx) - k)[len(idx) - k]
+                    idx = idx[row[idx] >= edge]
+                idx = idx[np.lexsort((iris[idx].astype(str), -row[idx]))][:k]
+                out.append(pd.DataFrame({"query_id": qid, "iri": iris[idx], "score": row[idx]}))
         return pd.concat(out, ignore_index=True)
 
     best = (
