@@ -1,5 +1,9 @@
 """Quality rules, line dedup, near duplicates and mixing against plain Python."""
 
+import random
+
+import numpy as np
+
 from tests.llm import plain
 from tripleframe.llm import line_dedup, mixing, near_dedup, quality_rules
 
@@ -84,6 +88,33 @@ def test_near_duplicates_follow_chains_and_large_groups(make_docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == plain.components(docs)
 
 
+def test_near_misses_of_a_large_group_are_not_all_compared(make_docs, monkeypatch):
+    rng, base = random.Random(5), [f"w{i}" for i in range(240)]
+    docs = []
+    for d in range(150):
+        spots = set(rng.sample(range(0, 240, 6), 4))
+        docs.append((d, " ".join("new" + w if i in spots else w for i, w in enumerate(base))))
+    asked, verify = [], near_dedup.verified
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    rows = near_dedup.near_duplicates(make_docs(docs)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == plain.components(docs)
+    assert sum(asked) < near_dedup.BANDS * len(docs)
+
+
+def test_parity_bits_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for common, own in [(0, 0), (50, 0), (500, 40), (3000, 900)]:
+        x, y = (np.unique(rng.integers(0, 1 << 64, own, dtype=np.uint64)) for _ in range(2))
+        shared = rng.integers(0, 1 << 64, common, dtype=np.uint64)
+        bits = [near_dedup.parity(np.concatenate([shared, z])) for z in (x, y)]
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(x) + len(y)
+
+
 def test_near_duplicates_of_repeated_ids_go_by_their_texts(spark):
     words = [f"w{i}" for i in range(60)]
     base, near, other = " ".join(words), " ".join([*words[:59], "changed"]), " ".join(f"o{i}" for i in range(30))

@@ -10,8 +10,11 @@ Nothing compares all members of a bucket:
 2. Runs that no other of the remaining documents has cannot be common to a pair. Counting them once per document bounds
    the overlap of every pair from above, exactly, and drops most of the near misses of large groups.
 3. Every member of a bucket is compared with the smallest class of the bucket. Exact links give components.
-4. What is left of a bucket are members outside the component of its smallest class. Only these meet the other members of
-   the bucket, and only across components: a link inside a component would change nothing.
+4. Members of buckets that still have several components are dealt into narrower buckets by two neighbouring bands, and
+   meet the smallest class there. That links large groups of near copies without meeting all their pairs.
+5. What is left of a bucket are members outside the component of its smallest class. Only these meet the other members of
+   the bucket, and only across components: a link inside a component would change nothing. Parity bitmaps of the sets
+   bound the difference of a pair from below, exactly, so that near misses are not emitted.
 
 So each pair that shares a band is verified on full sets or already connected. With 24 bands of 5 a pair at a
 similarity of 0.85 shares none with probability 8e-7.
@@ -44,6 +47,7 @@ BANDS = 24
 ROWS = 5
 PERCENT = 85
 SLOT_BITS = 20
+PARITY_BITS = 1024
 
 
 @lru_cache(maxsize=1)
@@ -115,7 +119,7 @@ def _full_sets(width: int):
         for batch in batches:
             row, held, size = 0, [], 0
             for hashes in _sets(batch.column("text"), width):
-                held.append(hashes.view(np.int64))
+                held.append(hashes)
                 size += len(hashes)
                 if size > 1 << 20:
                     yield _set_batch(batch.column("id").slice(row, len(held)), held)
@@ -126,10 +130,22 @@ def _full_sets(width: int):
     return run
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits in longs: whether an odd number of elements fall on each. Sets differ by as many at least."""
+    places = (hashes >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _set_batch(ids: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
     ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+    bits = np.arange(len(held) + 1, dtype=np.int32) * (PARITY_BITS // 64)
     return pa.RecordBatch.from_arrays(
-        [ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], names=["id", "items"]
+        [
+            ids,
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(bits), pa.array(np.concatenate([parity(x) for x in held]))),
+        ],
+        names=["id", "items", "bits"],
     )
 
 
@@ -139,6 +155,14 @@ def _may_link(n: Column, shared: Column, other_n: Column, other_shared: Column,
     return (100 + percent) * most >= percent * (n + other_n)
 
 
+def _near(n: Column, bits: Column, other_n: Column, other_bits: Column, percent: int) -> Column:
+    """Necessary for a link: two sets differ at least by the bits that differ."""
+    differing = sum(
+        F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(other_bits, F.lit(i)))) for i in range(PARITY_BITS // 64)
+    )
+    return (100 + percent) * differing <= (100 - percent) * (n + other_n)
+
+
 def _own_items(sets: DataFrame) -> DataFrame:
     """(id, own): how many items of a document occur in no other of these documents."""
     return (
@@ -193,6 +217,27 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` (id, head_id, ...) with the component of either; what has no link yet is its own."""
+    of_head = labels.select(F.col("id").alias("head_id"), F.col("component").alias("head_component"))
+    named = members.join(labels, "id", "left").join(of_head, "head_id", "left")
+    return named.withColumns(
+        {"component": F.coalesce("component", "id"), "head_component": F.coalesce("head_component", "head_id")}
+    )
+
+
+def _narrow_pairs(named: DataFrame, bands: int, percent: int) -> DataFrame:
+    """(a, b): each member of a bucket of two neighbouring bands with the smallest one there, if their components differ."""
+    of_two = F.array(*[F.xxhash64(F.get("bands", F.lit(i)), F.get("bands", F.lit((i + 1) % bands))) for i in range(bands)])
+    members = named.dropDuplicates(["id"]).select("id", "component", "n", "bits", F.explode(of_two).alias("two"))
+    heads = members.groupBy("two").agg(F.min(F.struct("id", "component", "n", "bits")).alias("head"))
+    met = members.join(heads, "two").filter(
+        (F.col("component") != F.col("head.component"))
+        & _near(F.col("n"), F.col("bits"), F.col("head.n"), F.col("head.bits"), percent)
+    )
+    return met.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def _class_texts(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, text): one text of each class. Only classes of several rows can match a text twice, and only they are grouped."""
     named = texts.join(classes.select("doc_id", "text_hash", "id", "several"), ["doc_id", "text_hash"])
@@ -231,7 +276,7 @@ def judged(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows
     met = written(members.join(crowded, "key").select("key", "id", "n"))
     sets = written(
         _class_texts(texts, classes.join(met.select("id").distinct(), "id", "left_semi")).mapInArrow(
-            _full_sets(width), "id long, items array<long>"
+            _full_sets(width), "id long, items array<long>, bits array<long>"
         )
     )
     live = (
@@ -255,23 +300,18 @@ def judged(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows
     first_links = written(verified(first_pairs, sets, percent))
     labels = components(first_links)
 
-    of_head = labels.select(F.col("id").alias("head_id"), F.col("component").alias("head_component"))
-    named = (
-        buckets.filter("size > 2")
-        .join(labels, "id", "left")
-        .join(of_head, "head_id", "left")
+    several = _with_components(buckets.filter("size > 2").select("key", "id", "head_id", "n", "shared"), labels)
+    unsettled = several.filter("component <> head_component").select("key").distinct()
+    named = written(
+        several.join(unsettled, "key", "left_semi")
+        .drop("component", "head_component")
         .join(classes.select("id", "bands"), "id")
-        .select(
-            "key",
-            "id",
-            "n",
-            "shared",
-            "bands",
-            F.coalesce("component", "id").alias("component"),
-            F.coalesce("head_component", "head_id").alias("head_component"),
-        )
+        .join(sets.select("id", "bits"), "id")
     )
-    named = written(named)
+    first_links = written(first_links.union(verified(_narrow_pairs(_with_components(named, labels), bands, percent), sets, percent)))
+    labels = components(first_links)
+
+    named = written(_with_components(named, labels))
     who = named.groupBy("id", "component").agg(F.max(F.col("component") != F.col("head_component")).alias("seeking"))
     foreign = _foreign_items(sets, who)
     apart = (
@@ -286,8 +326,9 @@ def judged(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, rows
             y,
             (F.col("x.key") == F.col("y.key"))
             & (F.col("x.component") != F.col("y.component"))
-            & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key"))
-            & _may_link(F.col("x.n"), F.col("x.shared"), F.col("y.n"), F.col("y.shared"), percent),
+            & _may_link(F.col("x.n"), F.col("x.shared"), F.col("y.n"), F.col("y.shared"), percent)
+            & _near(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits"), percent)
+            & (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")),
         )
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
