@@ -234,3 +234,17 @@ def test_long_and_short_merges_agree_and_the_cache_is_bounded(library):
 def test_bpe_empty_table(make_docs):
     docs = make_docs([(1, "x")]).selectExpr("*", "1 AS ids", "2 AS ends").limit(0)
     assert bpe.encode(docs).count() == 0 and bpe.digests(docs).count() == 0
+
+
+def test_marks_of_edited_texts_come_from_the_windows_of_their_originals(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in [*range(60), 75, 76, 200]:
+        for m in (0, 1, 9, 30, 100):
+            text, tail = ("".join(rng.choice("ab\n\u00e9\U0001f600") for _ in range(x)) for x in (n, m))
+            rows.append((text, n - n // 3, tail[: n // 3]))
+    df = spark.createDataFrame(rows, "text string, kept int, tail string").withColumn("own", fingerprints.windows(F.col("text")))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), "tail")
+    cols = [F.col(x) for x in ("own", "kept", "text", "tail")]
+    got = df.select(fingerprints.marks(edited).alias("whole"), fingerprints.edited_marks(*cols).alias("joined")).collect()
+    assert len(got) == len(rows) and all(r["whole"] == r["joined"] for r in got)

@@ -3,7 +3,8 @@
 All runs of ``K`` code points are hashed, and of every ``W`` neighbouring hashes the smallest is chosen, the rightmost
 of equal ones. A chosen hash is packed above its position counted from the right, so one minimum does both; minima over
 W places come from minima over 2, 4, 8 places. Chosen marks keep their positions: any two texts that share W + K - 1
-code points share a mark in that place.
+code points share a mark in that place. An edited text keeps the windows of the part it shares with its original, and
+only those behind are computed again.
 
 Comparing each document with its successor needs an order of all documents, but neither one task nor a second shuffle of
 texts: quantiles of the identifiers (a bounded number of them) cut ranges, each range also receives the first row of the
@@ -27,8 +28,8 @@ W = 16
 POSITION_BITS = 31
 
 
-def marks(text: Column, k: int = K, w: int = W) -> Column:
-    """Chosen (hash, position) pairs, packed in longs, in order of position."""
+def windows(text: Column, k: int = K, w: int = W) -> Column:
+    """The chosen (hash, position) pair of every window, packed in longs."""
     size = F.length(text)
     runs = (
         F.when(size >= k, F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % k), F.lit(1)))
@@ -55,8 +56,23 @@ def marks(text: Column, k: int = K, w: int = W) -> Column:
         lowest, reach = least(lowest, reach), reach * 2
     if reach < w:
         lowest = least(lowest, w - reach)
-    windows = bind(lowest, lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - (w - 1), F.least(F.size(v), F.lit(1)))))
-    return F.array_distinct(windows)
+    return bind(lowest, lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - (w - 1), F.least(F.size(v), F.lit(1)))))
+
+
+def marks(text: Column, k: int = K, w: int = W) -> Column:
+    """Chosen (hash, position) pairs, packed in longs, in order of position."""
+    return F.array_distinct(windows(text, k, w))
+
+
+def edited_marks(own: Column, kept: Column, text: Column, tail: Column, k: int = K, w: int = W) -> Column:
+    """``marks`` of the first ``kept`` code points of ``text`` followed by ``tail``, from the windows ``own`` of ``text``.
+
+    The windows computed again begin one before the first that reaches into the tail, so there is a whole one at least.
+    """
+    same = F.greatest(kept - (k + w - 1), F.lit(0))
+    behind = F.concat(F.substring(text, same + 1, kept - same), tail)
+    moved = F.transform(marks(behind, k, w), lambda mark: mark - same)
+    return F.array_distinct(F.concat(F.slice(own, F.lit(1), same), moved))
 
 
 def hash_of(mark: Column) -> Column:
@@ -152,18 +168,27 @@ def compare_with_next(
     )
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut))
-    both = met.select(
-        "range", "extra", "doc_id", "tie", n.cast("long").alias("n_chars"), "text", edited.alias("edited")
-    ).select(
+    kept = F.col("kept")
+    shared = met.select(
+        "range",
+        "extra",
+        "doc_id",
+        "tie",
+        n.alias("n_chars"),
+        "text",
+        (n - cut).alias("kept"),
+        F.substring(F.col("next"), F.lit(1), cut).alias("tail"),
+        windows(F.col("text"), k, w).alias("windows"),
+    )
+    both = shared.select(
         "range",
         "extra",
         "doc_id",
         "tie",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        marks(F.col("text"), k, w).alias("own"),
-        F.when(F.col("extra") == 0, marks(F.col("edited"), k, w)).alias("changed"),
+        F.col("n_chars").cast("long").alias("n_chars"),
+        F.sha2(F.concat(F.substring(F.col("text"), F.lit(1), kept), "tail"), 256).alias("edited_sha256"),
+        F.array_distinct("windows").alias("own"),
+        F.when(F.col("extra") == 0, edited_marks(F.col("windows"), kept, F.col("text"), F.col("tail"), k, w)).alias("changed"),
     )
     hashed = both.withColumns({"own_hashes": hashes_of(F.col("own")), "changed_hashes": hashes_of(F.col("changed"))})
     return (
