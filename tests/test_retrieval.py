@@ -258,3 +258,17 @@ def test_graph_context(spark):
     x = got["x"]
     assert (x["parents"], x["ancestors"], x["children"], x["siblings"], x["group_ids"]) == (["p"], ["p", "r"], [], ["y"], ["g"])
     assert got["p"]["children"] == ["x", "y"]
+
+
+def _times_read(df, mark="Range (0, 4"):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(mark)
+
+
+def test_selection_is_computed_once_for_the_pack(spark):
+    picked = spark.range(4).selectExpr("id AS question_id", "'m' AS rag_mention", "concat('i', id) AS iri", "0 AS rank", "1D AS final_score")
+    known = spark.createDataFrame([(0, "m"), (1, "n")], "question_id long, text string")
+    pack = R.candidate_pack(picked, known)
+    assert _times_read(pack) == 1
+    got = {(r["question_id"], r["mention"]): r["concepts"] and [x["iri"] for x in r["concepts"]] for r in pack.collect()}
+    ask = R.WHOLE_QUESTION
+    assert got == {(0, "m"): ["i0"], (1, ask): ["i1"], (1, "n"): None, (2, ask): ["i2"], (3, ask): ["i3"]}

@@ -451,12 +451,12 @@ def candidate_pack(selected: DataFrame, mentions: DataFrame) -> DataFrame:
     placed = selected.join(tagged, ["question_id", "rag_mention"], "left").withColumn(
         "mention", F.when(F.col("__known"), F.col("rag_mention")).otherwise(WHOLE_QUESTION)
     )
-    rows = F.array_sort(F.collect_list(F.struct("rank", "iri", "final_score"))).alias("concepts")
-    packed = placed.groupBy("question_id", "mention").agg(rows)
-    empty = known.withColumnRenamed("rag_mention", "mention").join(
-        packed.select("question_id", "mention"), ["question_id", "mention"], "left_anti"
-    )
-    return packed.unionByName(empty, allowMissingColumns=True)
+    rows = placed.select("question_id", "mention", F.struct("rank", "iri", "final_score").alias("concept"))
+    # mentions join the grouping as rows without a concept, so that the ranking is computed once
+    asked = known.withColumnRenamed("rag_mention", "mention")
+    gathered = F.array_sort(F.collect_list("concept"))
+    packed = rows.unionByName(asked, allowMissingColumns=True).groupBy("question_id", "mention").agg(gathered.alias("concepts"))
+    return packed.withColumn("concepts", F.when(F.size("concepts") > 0, F.col("concepts")))
 
 
 def of_kinds(selected: DataFrame, kinds: list[str]) -> DataFrame:
