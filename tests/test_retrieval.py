@@ -264,6 +264,23 @@ def _times_read(df, mark="Range (0, 4"):
     return df._jdf.queryExecution().optimizedPlan().toString().count(mark)
 
 
+def test_candidates_are_computed_once(spark):
+    rows = spark.range(4).selectExpr(
+        "id % 2 AS question_id", "concat('i', id) AS iri", "'class' AS kind", "if(id < 3, 'Same', '') AS label",
+        "array('x', NULL, 'red') AS aliases", "CAST(NULL AS STRING) AS prefixed_name", "array('http://e/Age') AS domain",
+        "CAST(NULL AS array<string>) AS range", "0.5D AS score", "id AS retrieval_rank",
+    )
+    asked = spark.createDataFrame([(0, "the same RED"), (1, "other")], "question_id long, question string")
+    whole = K.heuristic(rows, asked, 9, static_class_terms=["age"])
+    concepts = K.described(rows.drop("question_id", "score", "retrieval_rank"))
+    apart = K.heuristic(rows.select("question_id", "score", "retrieval_rank", "iri").join(concepts, "iri"), asked, 9, static_class_terms=["age"])
+    assert _times_read(whole) == 1
+    want = {("i0", 0.55), ("i1", 0.1), ("i2", 0.55), ("i3", 0.1)}
+    for out in (whole, apart):
+        assert not [c for c in out.columns if c.startswith("__")]
+        assert {(r["iri"], round(r["rerank_score"], 6)) for r in out.collect()} == want
+
+
 def test_selection_is_computed_once_for_the_pack(spark):
     picked = spark.range(4).selectExpr("id AS question_id", "'m' AS rag_mention", "concat('i', id) AS iri", "0 AS rank", "1D AS final_score")
     known = spark.createDataFrame([(0, "m"), (1, "n")], "question_id long, text string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleframe.functions import text as tx
@@ -69,10 +69,32 @@ def inferred_class_terms(questions: DataFrame, baseline: DataFrame, terms: DataF
     )
 
 
-def overlaps(class_terms: Column, iris: Column) -> Column:
-    """Some IRI, or its last segment, is one of the class terms."""
-    names = F.concat(F.transform(iris, lambda x: F.lower(tx.last_segment(x))), F.transform(iris, F.lower))
-    return F.arrays_overlap(class_terms, names)
+def described(concepts: DataFrame) -> DataFrame:
+    """``concepts(kind, label, aliases, prefixed_name, domain, range)`` with all that scores read of a concept alone.
+
+    Described before they are joined to hits, concepts are taken apart once each and not once for each hit.
+    """
+    no_text = F.array().cast("array<string>")
+    domain, range_ = F.coalesce("domain", no_text), F.coalesce("range", no_text)
+    related = F.concat(domain, range_)
+    fragments = F.transform(
+        F.filter(F.concat(related, F.array("label", "prefixed_name")), lambda x: x.isNotNull() & (x != "")),
+        lambda x: F.lower(tx.last_segment(x)),
+    )
+
+    def has(parts: list[str]) -> Column:
+        return F.exists(fragments, lambda f: _any_of(f, parts))
+
+    return concepts.withColumns(
+        {
+            "__label": F.lower(F.coalesce("label", F.lit(""))),
+            "__aliases": F.transform(F.filter(F.coalesce("aliases", no_text), lambda a: a != ""), F.lower),
+            "__prefixed": F.lower(F.coalesce("prefixed_name", F.lit(""))),
+            "__related": F.concat(F.transform(related, lambda x: F.lower(tx.last_segment(x))), F.transform(related, F.lower)),
+            "__numeric": has(NUMERIC_PARTS),
+            "__temporal": has(TEMPORAL_PARTS),
+        }
+    )
 
 
 def heuristic(
@@ -89,11 +111,13 @@ def heuristic(
 
     ``candidates(question_id, iri, kind, label, aliases, prefixed_name, domain, range, score,
     retrieval_rank[, rag_mention])``; ``mention_kinds(question_id, mention, kinds)``;
-    ``class_terms(question_id, class_terms)``.
+    ``class_terms(question_id, class_terms)``. Candidates whose concepts are ``described`` already are not described again.
     """
     w = weights
     no_text = F.array().cast("array<string>")
-    df = candidates
+    df = candidates if "__related" in candidates.columns else described(candidates)
+    # counted over the rows that follow anyway, so that the candidates are computed once
+    df = df.withColumn("__same", F.count(F.lit(1)).over(Window.partitionBy("question_id", "__label")))
     if "rag_mention" not in df.columns:
         df = df.withColumn("rag_mention", F.lit(None).cast("string"))
     df = df.join(questions.select("question_id", F.lower("question").alias("__q")), "question_id")
@@ -112,38 +136,15 @@ def heuristic(
         df = df.join(names, "question_id", "left").withColumn(
             "__classes", F.array_union(F.coalesce("__classes", no_text), given)
         )
-    label = F.lower(F.coalesce("label", F.lit("")))
-    counts = (
-        candidates.select("question_id", label.alias("__label"))
-        .where(F.col("__label") != "")
-        .groupBy("question_id", "__label")
-        .agg(F.count(F.lit(1)).alias("__same"))
-    )
-    df = df.withColumn("__label", label).join(counts, ["question_id", "__label"], "left")
-
     q, lab = F.col("__q"), F.col("__label")
     fallback = F.array(*[F.lit(k) for k in static_kinds or []]).cast("array<string>")
     kinds = F.when(F.coalesce(F.size("__kinds"), F.lit(0)) > 0, F.col("__kinds")).otherwise(fallback)
     in_kinds = F.coalesce(F.array_contains(kinds, F.col("kind")), F.lit(False))
-    aliases = F.coalesce("aliases", no_text)
-    alias_hit = F.exists(aliases, lambda a: (a != "") & F.contains(q, F.lower(a)))
-    prefixed = F.lower(F.coalesce("prefixed_name", F.lit("")))
-    domain, range_ = F.coalesce("domain", no_text), F.coalesce("range", no_text)
-    about = F.size("__classes") > 0
-    near_class = about & (overlaps(F.col("__classes"), domain) | overlaps(F.col("__classes"), range_))
-    fragments = F.transform(
-        F.filter(
-            F.concat(range_, domain, F.array("label", "prefixed_name")),
-            lambda x: x.isNotNull() & (x != ""),
-        ),
-        lambda x: F.lower(tx.last_segment(x)),
-    )
-
-    def has(parts: list[str]) -> Column:
-        return F.exists(fragments, lambda f: _any_of(f, parts))
-
+    alias_hit = F.exists("__aliases", lambda a: F.contains(q, a))
+    prefixed = F.col("__prefixed")
+    near_class = (F.size("__classes") > 0) & F.arrays_overlap("__classes", "__related")
     cue = (F.col("kind") == "property") & (
-        (_any_of(q, NUMERIC_CUES) & has(NUMERIC_PARTS)) | (_any_of(q, TEMPORAL_CUES) & has(TEMPORAL_PARTS))
+        (_any_of(q, NUMERIC_CUES) & F.col("__numeric")) | (_any_of(q, TEMPORAL_CUES) & F.col("__temporal"))
     )
     signals = [
         ("label_in_question", (lab != "") & F.contains(q, lab), w.exact_label_match),
@@ -153,7 +154,7 @@ def heuristic(
         ("kind_conflict", (F.size(kinds) > 0) & ~in_kinds, -w.kind_conflict_penalty),
         ("domain_or_range_overlap", near_class, w.domain_range_match),
         ("relation_cue", cue, w.relation_cue_match),
-        ("ambiguous_label", F.coalesce(F.col("__same") > 1, F.lit(False)), -w.ambiguity_penalty),
+        ("ambiguous_label", (lab != "") & (F.col("__same") > 1), -w.ambiguity_penalty),
     ]
     boost = F.lit(0.0)
     for _, hit, weight in signals:
@@ -164,7 +165,7 @@ def heuristic(
         .withColumn("explanation", F.when(reasons == "", "no boosts applied").otherwise(reasons))
         .withColumn("final_score", F.col("score") + F.col("rerank_score"))
         .withColumnRenamed("score", "retrieval_score")
-        .drop("__q", "__kinds", "__classes", "__label", "__same")
+        .drop("__q", "__kinds", "__classes", "__same", "__label", "__aliases", "__prefixed", "__related", "__numeric", "__temporal")
     )
     order = [F.desc("final_score"), F.asc("retrieval_rank"), F.asc("iri")]
     return top_k(scored, ["question_id"], order, max(0, limit))

@@ -210,7 +210,7 @@ def mention_kinds(spark, d):
 
 
 def reranked(spark, d, limit=3):
-    candidates = R.dedupe(brand_hits(spark, d)).join(brand_concepts(spark, d), "iri")
+    candidates = R.dedupe(brand_hits(spark, d)).join(K.described(brand_concepts(spark, d)), "iri")
     return K.heuristic(
         candidates, order_questions(spark, d), limit, mention_kinds=mention_kinds(spark, d), static_class_terms=["Order"], static_kinds=["class"]
     )
