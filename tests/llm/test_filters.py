@@ -6,6 +6,7 @@ import numpy as np
 
 from tests.llm import plain
 from tripleframe.llm import line_dedup, mixing, near_dedup, quality_rules
+from tripleframe.llm.common import written
 
 
 def test_measures_equal_plain_python(make_docs, texts):
@@ -176,3 +177,23 @@ def test_mixing_odd_rows(make_docs):
     assert len(mixing.repetitions(docs).collect()) == 3
     assert mixing.repetitions(docs.limit(0)).count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_classes_carry_their_prefix_and_odd_white_space_parts_words(spark, make_docs, monkeypatch):
+    """One shuffle by class gives first lines and prefixes: lines are not joined back to their classes for them."""
+    docs = [
+        (1, "a b  c d e f\tg h\r\n  i j k l m n o p \n\n \t "), (2, "h g f e d c b a\n p o n m l k j i x"),
+        (3, "a\x0bb\x0cc d e f g  h z\n  q"), (4, "    q\none two"), (5, "two\tone\n  "),
+    ]
+    tables = []
+
+    def kept(df):
+        tables.append(df)
+        return written(df)
+
+    monkeypatch.setattr(line_dedup, "written", kept)
+    found = {r["doc_id"]: r["removed"] for r in line_dedup.removed_lines(make_docs(docs)).collect()}
+    assert found == plain.removed_lines(docs)
+    classes, met = tables[1], tables[2]
+    assert {"n", "sig", "prefix"} <= set(classes.columns)
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1

@@ -12,7 +12,7 @@ bounds the difference of the sets as a further filter.
 Nothing compares all members of a word's list with each other and emits it:
 
 1. Equal sets are one class, named by its first line.
-2. A semi-join on prefix words keeps the rows that have a partner at all; it returns each row once.
+2. A semi-join of the classes on prefix words keeps the rows that have a partner at all; it returns each row once.
 3. Each class meets the first class of its words' lists; verified matches are done.
 4. The others meet all earlier classes; the likeliest partner of each is verified first, all others only if it fails.
 
@@ -27,10 +27,12 @@ are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.llm.common import WHITE, bind, only, words, written
+from tripleframe.llm.common import WHITE, WHITE_RUN, bind, only, words, written
 
 PERCENT = 80
 COUNTERS = 1 << 18
@@ -49,15 +51,22 @@ def _dense(spark: SparkSession, values: DataFrame, size: int) -> Column:
     return filled.agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("a")).select("a.value").scalar()
 
 
+def _counter(h: Column, counters: int) -> Column:
+    """The counter of a word by the lowest bits of its hash."""
+    return h.bitwiseAND(F.lit(counters - 1).cast("long")).cast("int")
+
+
 def rarity_levels(texts: DataFrame, counters: int = COUNTERS) -> Column:
     """An array with one level for each counter: four times the binary logarithm of how many words it counted.
 
     Levels stand in the high byte, where keys have them.
     """
-    place = F.hash("word").bitwiseAND(F.lit(counters - 1))
-    counted = (
-        _lines(texts).select(F.explode(words(F.col("content"))).alias("word")).groupBy(place.alias("place")).agg(F.count("*").alias("n"))
-    )
+    # Whole texts are cut, line ends as spaces: the empty words between two spaces share a counter, which is as good an order.
+    text = F.col("text")
+    other = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in WHITE if c not in " \n"])
+    cut = F.when(other, words(text)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+    place = _counter(F.xxhash64("word"), counters)
+    counted = texts.select(F.explode(cut).alias("word")).groupBy(place.alias("place")).agg(F.count("*").alias("n"))
     level = F.shiftleft(F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("long"), 56)
     return _dense(texts.sparkSession, counted.select("place", level.alias("value")), counters)
 
@@ -82,30 +91,32 @@ def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
 
 
+def _word_hashes(content: Column) -> Column:
+    """Distinct 64-bit hashes of the words of a line; empty words between two spaces leave by their hash."""
+    other = reduce(lambda a, b: a | b, [F.contains(content, F.lit(c)) for c in WHITE if c not in " \n"])
+    cut = F.when(other, F.split(content, WHITE_RUN)).otherwise(F.split(content, " "))
+    return F.array_remove(F.array_distinct(F.transform(cut, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
 def _described(texts: DataFrame, levels: Column, percent: int, counters: int) -> DataFrame:
     """(doc_id, line, k, n, sig, prefix) of all lines with words: class, size, parity bitmap, keys of the prefix."""
 
-    def key(word: Column) -> Column:
-        level = F.get(F.col("levels"), F.hash(word).bitwiseAND(F.lit(counters - 1)))
+    def key(h: Column) -> Column:
         # without nulls the keys are sorted as plain longs
-        return F.coalesce(level, F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 8))
+        level = F.coalesce(F.get(F.col("levels"), _counter(h, counters)), F.lit(0).cast("long"))
+        return level.bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    def summary(keys: Column) -> Column:
-        n = F.size(keys)
-        parity = F.aggregate(
-            keys,
-            F.lit(0).cast("long"),
-            lambda acc, x: acc.bitwiseXOR(_shifted_one(F.hash(x))),
-        )
-        length = n - F.ceil(n * percent / 100).cast("int") + 1
-        return F.struct(
-            F.xxhash64(keys).alias("k"), n.alias("n"), parity.alias("sig"), F.slice(keys, F.lit(1), length).alias("prefix")
-        )
-
-    keys = F.sort_array(F.array_distinct(F.transform(words(F.col("content")), key)))
     # the optimiser puts the subquery into the expression that uses it, so the array is not copied into rows
     worded = _lines(texts).filter(F.length(F.btrim("content", F.lit(WHITE))) > 0).withColumn("levels", levels)
-    return worded.select("doc_id", "line", bind(keys, summary).alias("s")).select("doc_id", "line", "s.*")
+    # Columns that are used several times stay projections of their own, each of which is compiled.
+    hashed = worded.select("doc_id", "line", "levels", _word_hashes(F.col("content")).alias("hashes"))
+    keyed = hashed.select("doc_id", "line", F.sort_array(F.transform("hashes", key)).alias("keys"))
+    n = F.size("keys")
+    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(_shifted_one(_counter(x, 64))))
+    length = n - F.ceil(n * percent / 100).cast("int") + 1
+    return keyed.select(
+        "doc_id", "line", F.xxhash64("keys").alias("k"), n.alias("n"), parity.alias("sig"), F.slice("keys", F.lit(1), length).alias("prefix")
+    )
 
 
 def _may_match(x: str, y: str, percent: int, bitmaps: list[str]) -> Column:
@@ -158,13 +169,15 @@ def removed_lines(
     """(doc_id, removed): the sorted numbers, from 0, of the lines that go, for documents that lose any."""
     texts = only(docs, doc_id=doc_id, text=text).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = written(_described(texts, rarity_levels(texts, counters), percent, counters))
+    # equal sets have the same size, bitmap and prefix, so any line of a class gives them
+    same = [F.first(name).alias(name) for name in ("n", "sig", "prefix")]
     classes = written(
-        lines.groupBy("k").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times"))
+        lines.groupBy("k").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times"), *same)
     )
 
     # sets of up to three words are similar to equal sets only
     firsts = classes.select("k", "first.doc_id", "first.line")
-    prefixes = lines.filter("n > 3").join(firsts, ["k", "doc_id", "line"], "left_semi")
+    prefixes = classes.filter("n > 3")
     # columns in the order of the table: no projection, so that both sides of the self-join read the same shuffle
     listed = prefixes.select("k", "n", "sig", F.posexplode("prefix").alias("pos", "word"))
     x, y = listed.alias("x"), listed.alias("y")
@@ -174,12 +187,11 @@ def removed_lines(
     asked = written(firsts.join(met.select("k").distinct(), "k", "left_semi"))
     place = F.xxhash64("doc_id", "line")
     sought = bitmap_of(asked.select(place.alias("h")))
-    hashes = F.transform(F.array_distinct(words(F.col("content"))), lambda w: F.xxhash64(w))
     contents = written(
         _lines(texts)
         .filter(in_bitmap(sought, place))
         .join(asked, ["doc_id", "line"])
-        .select("k", "doc_id", "line", hashes.alias("items"))
+        .select("k", "doc_id", "line", _word_hashes(F.col("content")).alias("items"))
     )
     wide = contents.select("k", "doc_id", "line", *_wide_bitmap(F.col("items")))
     rows = written(met.drop("sig").join(wide, "k"))
@@ -212,7 +224,7 @@ def removed_lines(
     other_pairs = other_pairs.join(done.select(F.col("k").alias("y")), "y", "left_anti")
     similar = done.union(_verified(other_pairs, contents, percent)).withColumn("similar", F.lit(True))
 
-    losing = classes.join(similar, "k", "left").filter((F.col("times") > 1) | F.col("similar").isNotNull())
+    losing = classes.select("k", "first", "times").join(similar, "k", "left").filter((F.col("times") > 1) | F.col("similar").isNotNull())
     gone = lines.select("doc_id", "line", "k").join(losing, "k").filter(
         F.col("similar").isNotNull() | (F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))
     )
