@@ -100,3 +100,14 @@ def test_large_groups_are_joined_in_pieces(spark):
         one = A.group(b, ["g"], {"all": A.group_concat(F.col("x"), "|", distinct)}).df
         several = A.concat_groups(b, ["g"], "all", "x", "|", distinct).df
         assert sorted(map(tuple, several.collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+
+
+def test_extremes_do_not_sort_the_rows_of_few_groups(spark):
+    rows = spark.range(2000).select((F.col("id") % 300).cast("string").alias("g"), t.integer_term(F.col("id")).alias("x"))
+    x = F.col("x")
+    out = A.group(Bindings(rows, ["g", "x"]), ["g"], {"n": A.count_rows(), "lo": A.min_(x), "hi": A.max_(x)})
+    plan = out.df._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "Sort" not in plan
+    # more groups than a task holds unsorted
+    got = by(out, "n", "lo", "hi")
+    assert len(got) == 300 and got["7"] == (7, t.literal_key(7), t.literal_key(1807)) and got["299"] == (6, t.literal_key(299), t.literal_key(1799))

@@ -92,13 +92,22 @@ def avg_term(k: Column) -> Column:
     return _typed(k, F.when(n == 0, t.literal(0)).otherwise(mean), F.avg(t.num(k)))
 
 
+def _unsorted(extreme: Column) -> Column:
+    """``extreme`` beside an object aggregate that is always empty.
+
+    Spark sorts all rows of a task before an aggregate that holds texts, unless an object aggregate stands beside it: then
+    a task keeps one value for each group and sorts only from the 129th group on.
+    """
+    return F.when(F.size(F.collect_set(F.lit(None).cast("string"))) == 0, extreme)
+
+
 def min_(k: Column) -> Column:
     """The smallest term by value; numbers compare as numbers."""
-    return F.min_by(k, F.when(k.isNotNull(), t.order_key(k)))
+    return _unsorted(F.min_by(k, F.when(k.isNotNull(), t.order_key(k))))
 
 
 def max_(k: Column) -> Column:
-    return F.max_by(k, F.when(k.isNotNull(), t.order_key(k)))
+    return _unsorted(F.max_by(k, F.when(k.isNotNull(), t.order_key(k))))
 
 
 def sample(k: Column) -> Column:
