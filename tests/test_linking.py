@@ -171,6 +171,22 @@ def test_merge_supplemental(spark):
     assert sorted(r["mention"] for r in rest.collect()) == ["c", "foo"]
 
 
+def test_merge_supplemental_holds_no_table_of_groups(spark):
+    """The joins sort the rows; what comes after them goes through that order, also where only keys are read."""
+    sel = spark.createDataFrame([(1, "a", "ex:A", "class", 1.0), (1, "b", "ex:A", "class", 1.0), (None, "a", "ex:N", "class", 1.0)], "question_id int, mention string, iri string, kind string, score double")
+    amb = spark.createDataFrame([(1, "Foo")], "question_id int, mention string")
+    sup = spark.createDataFrame(
+        [(1, 2, "x", "ex:B", "class", 0.9), (1, 1, "y", "ex:B", "class", 0.5), (1, 3, "z", "ex:A", "class", 0.9), (None, 4, "n", "ex:N", "class", 0.9), (2, None, "q", "ex:C", "class", 0.9)],
+        "question_id int, seq long, mention string, iri string, kind string, score double",
+    )
+    merged, _, _ = linking.merge_supplemental(sel, amb, amb, sup)
+    rows = [(r["question_id"], r["iri"], r["mention"]) for r in merged.where("origin = 'supplemental'").collect()]
+    assert sorted(rows, key=str) == [(1, "ex:B", "y"), (2, "ex:C", None), (None, "ex:N", "n")]
+    plan = merged.select("question_id", "iri", "origin")._jdf.queryExecution().sparkPlan().toString()
+    grouped = [line for line in plan.splitlines() if "HashAggregate" in line and "keys=[question_id" in line and "iri" in line]
+    assert not grouped and "SortAggregate" in plan
+
+
 QUESTIONS = [
     "Who works for Acme?", "List all people in the company.", "Show every Person.", "Find what alice knows.",
     "Show me information about Aurora.", "Top-1 Foo-Bar x-Baz Éric's Aé Abc_9 knows+ KNOWS  works   for", "",

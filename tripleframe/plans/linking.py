@@ -244,13 +244,17 @@ def merge_supplemental(
         .withColumn("__m", F.lower(F.coalesce("mention", F.lit(""))))
         .join(blocked.where(F.col("__m") != ""), ["question_id", "__m"], "left_anti")
     )
-    known = selected.select("question_id", "iri").distinct()
+    # An anti-join needs no distinct rows, so known terms are not held once more before they are sorted for it.
+    known = selected.select("question_id", "iri")
     new = usable.join(known, ["question_id", "iri"], "left_anti")
     cols = ["seq", "mention", "kind", "score"]
-    first = new.groupBy("question_id", "iri").agg(F.min_by(F.struct(*cols), "seq").alias("x"))
-    appended = first.select("question_id", "iri", "x.*")
+    # The origin is gathered as a text: Spark then goes through the rows in the order the join leaves them in, also where
+    # only keys are read, and holds no table of groups.
+    origin = F.max(F.lit("supplemental")).alias("origin")
+    first = new.groupBy("question_id", "iri").agg(F.min_by(F.struct(*cols), "seq").alias("x"), origin)
+    appended = first.select("question_id", "iri", "x.*", "origin")
     base = selected.withColumn("seq", F.lit(None).cast("long")).withColumn("origin", F.lit("baseline"))
-    merged = base.unionByName(appended.withColumn("origin", F.lit("supplemental")), allowMissingColumns=True)
+    merged = base.unionByName(appended, allowMissingColumns=True)
     satisfied = appended.select("question_id", F.lower("mention").alias("__m")).where(F.col("__m") != "").distinct()
     remaining = (
         unresolved.withColumn("__m", F.lower("mention"))

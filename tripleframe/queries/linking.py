@@ -113,17 +113,19 @@ def link_mentions_by_similarity(spark, d):
     return linking.link(part.select(swapped.alias("mention")), name_terms(spark, d)).select("mention", "iri", "kind", "score", "rank")
 
 
-def _lines(spark, d, flag):
-    lines = R.read_tables(spark, d, "lineitem")["lineitem"].where(c("l_returnflag") == flag)
-    return lines.select(c("l_orderkey").alias("question_id"), F.concat(F.lit("Part "), c("l_partkey").cast("string")).alias("mention"), R.entity("part", "l_partkey").alias("iri"), c("l_linenumber"), c("l_suppkey"))
+def _lines(spark, d, flag, *also):
+    """Mentions of parts in orders; without further columns once each, by their keys, before texts are made of them."""
+    lines = R.read_tables(spark, d, "lineitem")["lineitem"].where(c("l_returnflag") == flag).select("l_orderkey", "l_partkey", *also)
+    lines = lines if also else lines.distinct()
+    return lines.select(c("l_orderkey").alias("question_id"), F.concat(F.lit("Part "), c("l_partkey").cast("string")).alias("mention"), R.entity("part", "l_partkey").alias("iri"), *also)
 
 
 @add("""WITH x AS (SELECT l_orderkey AS q, l_partkey AS k, l_returnflag AS f FROM lineitem), base AS (SELECT DISTINCT q, k FROM x WHERE f = 'A'),
 amb AS (SELECT DISTINCT q, k FROM x WHERE f = 'N'), sup AS (SELECT DISTINCT q, k FROM x WHERE f = 'R' AND (q, k) NOT IN (SELECT q, k FROM amb))
 SELECT q AS question_id, 'http://example.org/part/' || k AS iri, 'baseline' AS origin FROM base UNION ALL SELECT q, 'http://example.org/part/' || k, 'supplemental' FROM sup WHERE (q, k) NOT IN (SELECT q, k FROM base)""")
 def merge_supplemental_links(spark, d):
-    a, n, r = (_lines(spark, d, f) for f in "ANR")
-    base = a.select("question_id", "mention", "iri", F.lit("individual").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    a, n, r = _lines(spark, d, "A"), _lines(spark, d, "N"), _lines(spark, d, "R", "l_linenumber", "l_suppkey")
+    base = a.select("question_id", "mention", "iri", F.lit("individual").alias("kind"), F.lit(1.0).alias("score"))
     extra = r.select("question_id", (c("l_linenumber") * 1000000 + c("l_suppkey")).cast("long").alias("seq"), "mention", "iri", F.lit("individual").alias("kind"), F.lit(0.9).alias("score"))
     open_ones = r.select("question_id", "mention").distinct()
     merged, _, _ = linking.merge_supplemental(base, open_ones, n.select("question_id", "mention"), extra)
