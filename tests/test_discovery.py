@@ -84,6 +84,15 @@ def test_one_scan_makes_all_sections(g, spark, tmp_path):
     assert scans(discovery.snapshot(stored)) == 1  # the graphs; the rest is the profile's
 
 
+def test_what_sections_read_again_is_written_once(g):
+    """A section groups no nodes: characteristic sets and declared nodes are tables, and literals make no node of their own."""
+    profile = discovery.Profile(g)
+    for df in (profile.characteristic, profile.declared):
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert profile.nodes.where("node IS NULL").count() == 0
+    assert profile.characteristic.agg(F.sum("n")).first()[0] == profile.nodes.count()
+
+
 def test_sets_of_a_graph_with_odd_rows(spark):
     rows = [
         (None, "_:b", V.RDF_TYPE, "http://C"), (None, "http://a", "http://p", "_:b"), (None, "http://a", "http://p", '"x"@en'),

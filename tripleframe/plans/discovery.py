@@ -38,11 +38,11 @@ TERM_SCHEMA = (
 
 
 def node_sets(quads: Graph) -> DataFrame:
-    """One row for each node of the default graph, and one without node for the literals.
+    """One row for each node of the default graph.
 
-    ``outs`` and ``ins``: predicates it is subject and object of. ``types``, ``domain``, ``range``: objects of the
-    statements about it. ``label``: its smallest label, ``any_label``: also of other labelling predicates.
-    ``literals``: (predicate, datatype) pairs. The sizes of the sets are those of a schema.
+    ``outs``: predicates it is subject of, each with the datatype of its literals or with none where the object is a node.
+    ``ins``: predicates it is object of. ``types``, ``domain``, ``range``: objects of the statements about it. ``label``: its
+    smallest label, ``any_label``: also of other labelling predicates. The sizes of the sets are those of a schema.
     """
     p, o = F.col("p"), F.col("o")
 
@@ -50,38 +50,42 @@ def node_sets(quads: Graph) -> DataFrame:
         return F.when(condition, value)
 
     nothing = F.lit(None).cast("string")
-    pair = F.struct(p.alias("p"), t.datatype_iri(o).alias("type"))
     own = F.struct(
-        F.col("s").alias("node"), p.alias("out"), nothing.alias("in"),
+        F.col("s").alias("node"), F.struct(p.alias("p"), t.datatype_iri(o).alias("type")).alias("out"), nothing.alias("in"),
         when(p == V.RDF_TYPE, o).alias("type"),
         when(p == V.RDFS + "domain", o).alias("domain"),
         when(p == V.RDFS + "range", o).alias("range"),
         when(p == V.RDFS_LABEL, t.text(o)).alias("label"),
         when(p.isin(LABEL_PREDICATES), t.text(o)).alias("any_label"),
-        F.lit(None).cast("struct<p:string,type:string>").alias("literal"),
     )
-    literal = t.is_literal(o)
     far = F.struct(
-        when(~literal, o).alias("node"), nothing.alias("out"), when(~literal, p).alias("in"),
-        *[nothing.alias(x) for x in ("type", "domain", "range", "label", "any_label")], when(literal, pair).alias("literal"),
+        when(~t.is_literal(o), o).alias("node"), F.lit(None).cast("struct<p:string,type:string>").alias("out"), p.alias("in"),
+        *[nothing.alias(x) for x in ("type", "domain", "range", "label", "any_label")],
     )
-    facts = active_graph(quads).select(F.explode(F.array(own, far)).alias("x")).select("x.*")
-    sets = {"outs": "out", "ins": "in", "types": "type", "domain": "domain", "range": "range", "literals": "literal"}
+    facts = active_graph(quads).where(p.isNotNull()).select(F.explode(F.array(own, far)).alias("x")).select("x.*")
+    # Literals are no nodes: what is known of them lies with their subjects.
+    facts = facts.where(F.col("node").isNotNull() | F.col("out").isNotNull())
+    sets = {"outs": "out", "ins": "in", "types": "type", "domain": "domain", "range": "range"}
     return facts.groupBy("node").agg(
         *[F.sort_array(F.collect_set(c)).alias(name) for name, c in sets.items()], F.min("label").alias("label"), F.min("any_label").alias("any_label")
     )
 
 
 class Profile:
-    """The nodes of a graph with their sets, written once; every section below takes a graph or its profile."""
+    """The nodes of a graph with their sets, written once; every section below takes a graph or its profile.
+
+    Written beside them are the few rows that the sections read again and again: the characteristic sets, and the nodes
+    that are declared to be a class or a property.
+    """
 
     def __init__(self, quads: Graph) -> None:
         self.nodes = cut_lineage(node_sets(quads))
-        self.characteristic = self.nodes.groupBy("outs", "ins", "types").agg(F.count("*").alias("n"))
+        self.characteristic = cut_lineage(self.nodes.groupBy("outs", "ins", "types").agg(F.count("*").alias("n")))
+        self.declared = cut_lineage(self.nodes.where(_is_any(CLASS_TYPES + PROPERTY_TYPES)).select("node", "types"))
 
     def labels(self, terms: DataFrame) -> DataFrame:
         """``(iri, label)`` of distinct terms ``(iri)``."""
-        labels = self.nodes.where(F.col("node").isNotNull()).select(F.col("node").alias("iri"), "label")
+        labels = self.nodes.where(F.col("node").isNotNull() & F.col("label").isNotNull()).select(F.col("node").alias("iri"), "label")
         return terms.join(labels, "iri", "left")
 
 
@@ -100,7 +104,7 @@ def _is_any(kinds: list[str]) -> Column:
 def _named_or_declared(profile: Profile, used: str, kinds: list[str]) -> DataFrame:
     """IRIs in the sets of the named column, and nodes that are declared to be one."""
     named = profile.characteristic.select(F.explode(used).alias("iri"))
-    declared = profile.nodes.where(_is_any(kinds)).select(F.col("node").alias("iri"))
+    declared = profile.declared.where(_is_any(kinds)).select(F.col("node").alias("iri"))
     return named.distinct().unionByName(declared).where(t.is_iri(F.col("iri"))).distinct()
 
 
@@ -116,7 +120,7 @@ def classes(quads: Graph | Profile, cap: int | None = None) -> DataFrame:
 
 
 def property_names(quads: Graph | Profile) -> DataFrame:
-    return _named_or_declared(profiled(quads), "outs", PROPERTY_TYPES)
+    return _named_or_declared(profiled(quads), "outs.p", PROPERTY_TYPES)
 
 
 def declared_domain_range(quads: Graph | Profile) -> DataFrame:
@@ -127,7 +131,7 @@ def declared_domain_range(quads: Graph | Profile) -> DataFrame:
 
 def observed_domain(quads: Graph | Profile) -> DataFrame:
     """``(iri, type)``: types of the subjects a predicate is used with."""
-    used = profiled(quads).characteristic.select(F.explode("outs").alias("iri"), "types")
+    used = profiled(quads).characteristic.select(F.explode("outs.p").alias("iri"), "types")
     return used.select("iri", F.explode("types").alias("type")).distinct()
 
 
@@ -136,7 +140,7 @@ def observed_range(quads: Graph | Profile) -> DataFrame:
     profile = profiled(quads)
     used = profile.characteristic.select(F.explode("ins").alias("iri"), "types")
     typed = used.select("iri", F.explode("types").alias("type"))
-    literals = profile.nodes.where("node IS NULL").select(F.explode("literals").alias("x"))
+    literals = profile.characteristic.select(F.explode("outs").alias("x")).where("x.type IS NOT NULL")
     return literals.select(F.col("x.p").alias("iri"), "x.type").unionByName(typed).distinct()
 
 
