@@ -98,3 +98,20 @@ def test_reach_of_nothing(spark):
     seeds = spark.createDataFrame([("a",)], "s string")
     assert pairs(paths.reach(e, seeds)) == [] and pairs(paths.one_or_more(e)) == []
     assert pairs(paths.reach(e, seeds, include_start=True)) == [("a", "a")]
+
+
+def test_ways_of_a_hub_do_not_meet_in_one_task(spark):
+    """Ways of branching nodes are told from single ones by node and block, and no way is lost."""
+    rows = [("hub", f"x{i}") for i in range(40)] + [(f"x{i}", "end") for i in range(40)] + [("two", "a"), ("two", "b")]
+    ways = paths._Ways(spark.createDataFrame(rows, "s string, o string"), [], 4)
+    seen = []
+    kept, paths.cut_lineage = paths.cut_lineage, lambda df: seen.append(df) or kept(df)
+    try:
+        blocks, hubs = ways.blocks(branching_only=True)
+    finally:
+        paths.cut_lineage = kept
+    plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+    (anti,) = [line for line in plan.splitlines() if "LeftAnti" in line]
+    assert "__from" in anti and "__block" in anti
+    assert sorted((r["__from"], r["__to"]) for r in blocks.collect()) == sorted(r for r in rows if r[0] in ("hub", "two"))
+    assert [(r["__from"], r["__blocks"]) for r in hubs.collect()] == [("hub", 10)]

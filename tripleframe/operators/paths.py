@@ -132,13 +132,16 @@ class _Ways:
         ends = [*keys, "__from"]
         # Counted without a window: a hub's edges are combined in the tasks that read them.
         one = self.all.groupBy(*ends).agg(F.count("*").alias("__n"), F.min("__to").alias("__to"))
-        self.single = stored(one.where("__n = 1").select(*ends, "__to"))
+        self.single = stored(one.where("__n = 1").select(*ends, F.lit(0).alias("__block"), "__to"))
         self.jumps = [self.single]
 
     def blocks(self, branching_only: bool) -> tuple[DataFrame, DataFrame]:
         ends = [*self.keys, "__from"]
-        ways = self.all.join(self.single.select(*ends), ends, "left_anti") if branching_only else self.all
-        blocks, hubs = _blocked(ways, self.keys, self.block)
+        blocks, hubs = _blocked(self.all, self.keys, self.block)
+        if branching_only:
+            # By block as well, so that the ways of a hub do not meet in one task; a single way is block 0 of its node.
+            cell = [*ends, "__block"]
+            blocks = blocks.join(self.single.select(*cell), cell, "left_anti")
         return cut_lineage(blocks.repartition(*ends, "__block")), hubs
 
     def jump(self, level: int) -> DataFrame:
