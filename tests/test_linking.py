@@ -221,6 +221,65 @@ def test_capitalised_words_like_a_plain_scan(spark):
     assert "Top-1" not in kept and "Show" not in kept and {"Foo-Bar", "Baz", "Abc_9"} <= kept
 
 
+ODD = [
+    "works for", "Works  For", "knows", "knows^", "knowſ", "KNOWS", "joİned", "foundeD\u2003by", "age", "companıes", "Top-1", "Show", "Foo-Bar",
+    "foo-bar", "Éric", "eñ", "_x", "9X", "-", "\u0301", "\u200d", "Ⓐ", "漢字", "\U00010400", "\U00010d50", "\U00031350", "İx", "ΣΑΣ ", "\n", "\x85", "\x1c",
+    ".", "^", "+", "large ring", "Large Ring", "Alice", "ALICE", "se", "x-", "foo_", "ring", "r",
+]
+
+
+def _odd_questions(spark, n):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(ODD) + rng.choice(["", " ", "-"]) for _ in range(rng.randint(0, 25))) for _ in range(n)]
+    texts += [f"knows{chr(c)}age Foo" for c in (*range(1, 0x250), *range(0x24B0, 0x24F0), *range(0x1F12E, 0x1F18C))]
+    rows = [*enumerate(texts), (n * 10, None), (n * 10 + 1, ""), (None, "Alice knows Foo"), (None, "foo knows ALICE"), (1, texts[1])]
+    return spark.createDataFrame(rows, "question_id long, question string")
+
+
+def _odd_terms(spark):
+    rows = [
+        ("individual", "http://x/alice", "ex:alice", "Alice"), ("individual", "http://x/large_ring", None, "large ring"), ("class", "http://x/Ring", "ex:Ring", "ring"),
+        ("individual", "http://x/se", "ex:se", "knows^age foo of a passage"), ("graph", "http://x/web", "ex:web", None), ("individual", "http://x/s", "ex:é", "ΣΑΣ "),
+        ("class", "http://x/ab", "ex:Foo-Bar", "foo-bar"), ("individual", "http://y/ring", "ex:x", "Ring"), (None, "http://x/none", None, "knows"), ("odd", None, None, "age"),
+        ("other", "http://x/foo", "ex:r", " foo"),
+    ]
+    rows = [(*r, []) for r in rows]
+    return spark.createDataFrame(rows, "kind string, iri string, prefixed_name string, label string, aliases array<string>")
+
+
+def test_one_pass_finds_what_the_single_finders_find(spark):
+    q, terms = _odd_questions(spark, 300), _odd_terms(spark)
+    one, many = (sorted(map(repr, mentions.extract(q, terms, **x).collect())) for x in ({}, {"max_bytes": -1}))
+    assert len(one) > 3000 and one == many
+
+
+def test_extract_neither_cuts_texts_to_grams_nor_shuffles_them(spark):
+    q = spark.createDataFrame([(i, f"Alice knows {i} large rings") for i in range(20)], "question_id long, question string")
+    got = mentions.extract(q.repartition(8), _odd_terms(spark))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert {r["text"] for r in got.where("question_id = 3").collect()} == {"Alice", "knows", "large ring", "ring"}
+
+
+@pytest.mark.parametrize("window", [3, 64, 1 << 19])
+def test_needles_like_find(monkeypatch, window):
+    from tripleframe.functions import needles as nd
+
+    monkeypatch.setattr(nd, "WINDOW", window)
+    monkeypatch.setattr(nd, "CELLS", 20)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abé "), n)) for n in rng.integers(0, 200, 40)]
+    names = sorted({t[i : i + n] for t in texts for i in (0, 7, 30) for n in (1, 2, 3, 5, 8, 13, 40) if len(t) >= i + n} | {"zz", "abcdefghijk"})
+    raw, coded = [t.encode() for t in texts], [n.encode() for n in names]
+    ends = np.cumsum([0, *map(len, raw)])
+    found = nd.Needles(coded).first_in(np.frombuffer(b"".join(raw), np.uint8), ends)
+    want = [(i, k, ends[i] + t.find(n)) for i, t in enumerate(raw) for k, n in enumerate(coded) if n in t]
+    assert list(zip(*map(np.ndarray.tolist, found), strict=True)) == want
+    assert [len(x) for x in nd.Needles([]).first_in(np.empty(0, np.uint8), np.zeros(3, int))] == [0, 0, 0]
+
+
 def test_hints(spark, schema):
     qs = ["how many employees per company", "who is the oldest", "who joined after 2019", "friends of bob", "nothing"]
     q = spark.createDataFrame(list(enumerate(qs)), "question_id int, question string")

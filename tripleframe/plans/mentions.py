@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tripleframe.functions import text as tx
 from tripleframe.operators.similarity import contained_pairs
 from tripleframe.plans.linking import kind_rank
+from tripleframe.plans.text_scan import Name, Scanner, jvm_tables, scanned
+from tripleframe.session import stored, use_all_cores
 
 # Phrases that point at a property and nouns that point at a class.
 VERB_PHRASES = (
@@ -155,13 +157,17 @@ def capitalised_words(questions: DataFrame) -> DataFrame:
     return _mentions(found, token, ["individual", "class"], "capitalized", 4)
 
 
-def individual_names(questions: DataFrame, terms: DataFrame) -> DataFrame:
-    """Lower-case words equal to the label or local name of an individual."""
+def _individual_words(terms: DataFrame) -> DataFrame:
+    """``(__n)``: labels and local names of individuals in lower case."""
     people = terms.where(F.col("kind") == "individual")
     names = F.array(F.lower("label"), F.lower(tx.local_name(F.col("prefixed_name"))))
-    known = people.select(F.explode(names).alias("__n")).where(F.col("__n").isNotNull()).distinct()
+    return people.select(F.explode(names).alias("__n")).where(F.col("__n").isNotNull()).distinct()
+
+
+def individual_names(questions: DataFrame, terms: DataFrame) -> DataFrame:
+    """Lower-case words equal to the label or local name of an individual."""
     words = _matches(questions, LOWER_WORD).withColumn("__n", F.lower("token"))
-    found = words.join(known, "__n", "left_semi")
+    found = words.join(_individual_words(terms), "__n", "left_semi")
     return _mentions(found, F.col("token"), ["individual"], "individual_name", 5)
 
 
@@ -187,12 +193,52 @@ def merge(*found: DataFrame) -> DataFrame:
     )
 
 
-def extract(questions: DataFrame, terms: DataFrame) -> DataFrame:
-    """All mentions of all questions; sort by ``ord`` within a question for the listing order."""
-    return merge(
-        scan_names(questions, terms),
-        verb_phrases(questions),
-        class_nouns(questions),
-        capitalised_words(questions),
-        individual_names(questions, terms),
-    )
+# Names beyond this many bytes are not held by tasks; texts and names then meet by shuffles.
+NAME_BYTES = 16 * 1024 * 1024
+
+
+def _names_and_words(terms: DataFrame) -> DataFrame:
+    """``(needle, kind, source, iri, pos)`` of the first term by listing order, and without a source the words of :func:`individual_names`."""
+    first = F.min(F.struct("iri", "pos")).alias("first")
+    names = known_names(terms).groupBy("needle", "kind", "source").agg(first).select("needle", "kind", "source", "first.iri", "first.pos")
+    words = _individual_words(terms).where(F.rlike("__n", F.lit("^[a-z][a-z0-9_-]+$")))
+    none = [F.lit(None).cast(names.schema[c].dataType).alias(c) for c in ("kind", "source", "iri", "pos")]
+    return names.unionByName(words.select(F.col("__n").alias("needle"), *none))
+
+
+def _scanner(terms: DataFrame, max_bytes: int) -> Scanner | None:
+    """What tasks need to know of the terms; None if that is too much for them."""
+    listed = stored(_names_and_words(terms))
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("needle", "kind", "source", "iri")]
+    size = listed.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, sizes) + 16), F.lit(0))).first()[0]
+    if size > max_bytes:
+        return None
+    rows = listed.withColumn("rank", kind_rank(F.col("kind")).cast("int")).collect()
+    names = [Name(r["needle"], r["kind"], r["source"], r["rank"], r["iri"], r["pos"]) for r in rows if r["source"] is not None]
+    words = [r["needle"] for r in rows if r["source"] is None]
+    return Scanner(names, words, STOPWORDS + IMPERATIVES, VERB_PHRASES, CLASS_NOUNS, jvm_tables(terms.sparkSession))
+
+
+def extract(questions: DataFrame, terms: DataFrame, max_bytes: int = NAME_BYTES) -> DataFrame:
+    """All mentions of all questions; sort by ``ord`` within a question for the listing order.
+
+    With names that fit a task all finders go over a text at once and merge its mentions there: texts and mentions are
+    not shuffled. Only questions that share their key are merged by a shuffle.
+    """
+    scanner = _scanner(terms, max_bytes)
+    if scanner is None:
+        return merge(
+            scan_names(questions, terms),
+            verb_phrases(questions),
+            class_nouns(questions),
+            capitalised_words(questions),
+            individual_names(questions, terms),
+        )
+    counted = questions.groupBy(F.col("question_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    shared = stored(counted.where("__rows > 1").select("__id"))
+    spread = use_all_cores(questions, "question_id")
+    if shared.isEmpty():
+        return scanned(spread, scanner, merged=True)
+    same = F.col("question_id").eqNullSafe(F.col("__id"))
+    own = scanned(spread.join(shared, same, "left_anti"), scanner, merged=True)
+    return own.unionByName(merge(scanned(spread.join(shared, same, "left_semi"), scanner, merged=False)))
