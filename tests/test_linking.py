@@ -122,6 +122,51 @@ def test_vectors_are_copied_once_per_large_block(spark):
     assert sorted((r["query_id"], r["iri"]) for r in got.collect()) == sorted((str(i), str(j)) for i in range(300) for j in best[i])
 
 
+def test_vectors_are_cut_into_blocks_of_bytes_and_stay_floats(spark):
+    rows = [(str(i), [float(x) for x in np.eye(64)[i]]) for i in range(64)]
+    q, v = spark.createDataFrame(rows, "query_id string, vector array<float>"), spark.createDataFrame(rows, "iri string, vector array<float>")
+    got = nearest_vectors(q, v, 1, query_count=40_000, vector_count=120_000)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    # 32 MB hold 65 536 vectors of 64 numbers; each query is copied twice, not six times.
+    assert re.findall(r"sequence\(0, (\d+),", plan)[0] == "1" and "FlatMapCoGroupsInArrow" in plan and "array<double>" not in plan
+    assert sorted((r["query_id"], r["iri"], r["score"]) for r in got.collect()) == sorted((r[0], r[0], 1.0) for r in rows)
+
+
+@pytest.mark.parametrize("k, floor, tile", [(1, None, 64), (5, None, 1 << 22), (5, 0.4, 5000), (60, -0.2, 1 << 22)])
+def test_nearest_vectors_of_near_and_equal_ones(spark, monkeypatch, k, floor, tile):
+    """Neighbours that single precision cannot tell apart, copies, multiples, zeros, NaN (as zeros), kinds that repeat or do not exist."""
+    from tripleframe.operators import similarity
+
+    monkeypatch.setattr(similarity, "TILE", tile)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 12))
+    near = [base[:40] + e * rng.normal(size=(40, 12)) for e in (1e-4, 1e-6, 1e-7)]
+    vecs = np.vstack([base, *near, np.repeat(base[:2], 70, axis=0), base[:20] * 2.5, np.zeros((2, 12)), [[np.nan] * 12]])
+    kinds = [None if i % 13 == 0 else f"k{i % 4}" for i in range(len(vecs))]
+    asked = [[None, [], ["k1"], ["k1", "k3", "k1"], ["none"], ["k2", None]][i % 6] for i in range(len(vecs))]
+    iris = [f"i{x}" for x in rng.permutation(len(vecs))]
+    v = spark.createDataFrame([(a, b, c.tolist()) for a, b, c in zip(iris, kinds, vecs, strict=True)], "iri string, kind string, vector array<double>")
+    q = spark.createDataFrame([(f"q{i}", c.tolist(), a) for i, (c, a) in enumerate(zip(vecs, asked, strict=True))], "query_id string, vector array<double>, kinds array<string>")
+    norms = np.linalg.norm(vecs, axis=1, keepdims=True)
+    unit = np.divide(vecs, norms, out=np.zeros_like(vecs), where=norms > 0)
+    scores = np.round(unit @ unit.T, 9) + 0.0
+    want = []
+    for i, some in enumerate(asked):
+        ok = [j for j in range(len(vecs)) if not np.isnan(scores[i, j]) and (floor is None or scores[i, j] >= floor) and (not some or kinds[j] in some)]
+        want += [(f"q{i}", n, iris[j], scores[i, j]) for n, j in enumerate(sorted(ok, key=lambda j: (-scores[i, j], iris[j]))[:k])]
+    got = nearest_vectors(q, v, k, floor, block_rows=250, chunk_rows=100).collect()
+    assert sorted((r["query_id"], r["rank"], r["iri"], r["score"] + 0.0) for r in got) == sorted(want)
+
+
+def test_vectors_of_a_cell_are_of_one_length(spark):
+    from pyspark.errors import PythonException
+
+    for odd in ([1.0], None):
+        v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", odd)], "iri string, vector array<double>")
+        with pytest.raises(PythonException, match="one length"):
+            nearest_vectors(v.withColumnRenamed("iri", "query_id"), v, 1).collect()
+
+
 def test_contained_pairs_finds_all(spark):
     texts = [(i, w + (" tail\nend" if i % 2 else "")) for i, w in enumerate(WORDS)]
     df = spark.createDataFrame(texts, "id int, body string")

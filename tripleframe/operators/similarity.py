@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,20 +206,135 @@ def best_ratio_pairs(
 # ---- nearest vectors ------------------------------------------------------------------------
 
 SCORE_DIGITS = 9
+# Bytes of a block's vectors as doubles, and scores that a task holds at a time.
+BLOCK_BYTES = 1 << 25
+TILE = 1 << 22
+# Columns whose largest score stands for them when the k-th best is bounded from below.
+FOLD = 64
+PAIRS = 1 << 16
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.asarray(vectors.tolist(), dtype=np.float64)
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """One row for each vector; missing components are NaN."""
+    one = vectors.combine_chunks() if vectors.num_chunks != 1 else vectors.chunk(0)
+    size = np.diff(one.offsets.to_numpy()) if len(one) else np.empty(0, int)
+    if one.null_count or (size != size[:1]).any():
+        raise ValueError("vectors must be present and of one length")
+    return one.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(one), -1)
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def _first_of_each(rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` of each run of equal numbers in ``rows``, which are sorted."""
+    new = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, int)
+    return np.flatnonzero(np.arange(len(rows)) - np.repeat(new, np.diff(np.r_[new, len(rows)])) < k)
+
+
+def _kth_bound(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row a bound that at least ``k`` of its scores reach, and the largest scores of its groups: ``g, g + n, g + 2n...``."""
+    n = scores.shape[1]
+    groups = max(n // FOLD, min(n, 4 * k))
+    whole = n - n % groups
+    top = scores[:, :whole].reshape(len(scores), -1, groups).max(axis=1)
+    if whole < n:
+        np.maximum(top[:, : n - whole], scores[:, whole:], out=top[:, : n - whole])
+    return (np.partition(top, groups - k, axis=1)[:, groups - k] if groups > k else np.full(len(scores), -np.inf)), top
+
+
+class _Block:
+    """The vectors of a cell, those of a kind side by side. Of equal vectors of a kind only the ``k`` first by IRI can be among the best."""
+
+    def __init__(self, table: pa.Table, k: int) -> None:
+        iris = table["iri"].to_pylist()
+        unit = _unit_rows(_matrix(table["vector"]))
+        kinds: dict[str | None, int] = {}
+        kind = np.array([kinds.setdefault(x, len(kinds)) for x in table["kind"].to_pylist()], int)
+        by_iri = np.argsort(np.array([str(x) for x in iris]), kind="stable")
+        keep = by_iri[np.isfinite(unit).all(axis=1)[by_iri]]
+        _, same = np.unique(np.ascontiguousarray(unit[keep]).view(f"V{unit.shape[1] * 8}").ravel(), return_inverse=True) if unit.shape[1] else (None, np.zeros(len(keep), int))
+        order = np.lexsort((same, kind[keep]))
+        order = order[_first_of_each(kind[keep][order] * (len(keep) + 1) + same[order], k)]
+        # By kind, then by IRI: the place of a column among its kind follows its IRI.
+        order = np.sort(order)
+        order = order[np.argsort(kind[keep][order], kind="stable")]
+        self.rank, at = order, keep[order]
+        self.iris, self.unit, kind = np.array(iris, object)[at], unit[at], kind[at]
+        self.short = self.unit.astype(np.float32)
+        ends = np.searchsorted(kind, np.arange(len(kinds) + 1))
+        self.kinds = {x: (int(ends[i]), int(ends[i + 1])) for x, i in kinds.items()}
+
+    def best(self, unit: np.ndarray, rows: np.ndarray, first: int, last: int, k: int, floor: float):
+        """(row, column, score) of the ``k`` best of each of ``rows`` among the columns ``first`` to ``last``, ties at the end by IRI.
+
+        Products of single precision bound the ``k``-th best score from below; what may reach it is scored in double precision.
+        """
+        columns, dims = last - first, unit.shape[1]
+        # What both rounding to single precision and adding up in it can change, and half a step of the last digit kept.
+        slack = np.float32((dims + 16) * 2.0**-23 + 10.0**-SCORE_DIGITS)
+        step = max(1, TILE // columns)
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            scores = unit[some].astype(np.float32) @ self.short[first:last].T
+            bound, top = _kth_bound(scores, k)
+            least = np.maximum(bound - 2 * slack, np.float32(floor) - 2 * slack)
+            i, group = np.nonzero(top >= least[:, None])
+            places = group[:, None] + np.arange(0, columns, top.shape[1])
+            inside = places < columns
+            inside &= scores[i[:, None], np.where(inside, places, 0)] >= least[i][:, None]
+            i, j = np.repeat(i, inside.sum(axis=1)), places[inside] + first
+            score = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", unit[some[i[p : p + PAIRS]]], self.unit[j[p : p + PAIRS]]) for p in range(0, len(i), PAIRS))])
+            score = np.round(score, SCORE_DIGITS)
+            ok = score >= floor
+            yield _ranked(some[i[ok]], j[ok], score[ok], self.rank, k)
+
+
+def _ranked(row: np.ndarray, column: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int):
+    order = np.lexsort((rank[column], -score, row))
+    order = order[_first_of_each(row[order], k)]
+    return row[order], column[order], score[order]
+
+
+_BEST = "query_id string, iri string, score double"
+
+
+def _cell(k: int, floor: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "iri", "score"]
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], names)
+        block, unit = _Block(right, k), _unit_rows(_matrix(left["vector"]))
+        asked: dict[tuple[int, int], list[int]] = {}
+        usable = np.isfinite(unit).all(axis=1)
+        for r, wanted in enumerate(left["kinds"].to_pylist()):
+            if usable[r]:
+                for span in {block.kinds.get(x, (0, 0)) for x in wanted} if wanted else ((0, len(block.iris)),):
+                    asked.setdefault(span, []).append(r)
+        found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        for (first, last), rows in sorted(asked.items()):
+            if first < last:
+                found += block.best(unit, np.array(rows), first, last, k, floor)
+        row, column, score = _ranked(*map(np.concatenate, zip(*found, strict=True)), block.rank, k)
+        ids = left["query_id"].combine_chunks().take(pa.array(row))
+        return pa.Table.from_arrays([ids.cast(pa.string()), pa.array(block.iris[column], pa.string()), pa.array(score)], names)
+
+    return run
+
+
+def _rows_of_block(vectors: DataFrame) -> int:
+    one = vectors.select(F.size("vector").alias("n")).first()
+    return max(1, BLOCK_BYTES // (8 * max(1, one["n"] or 1))) if one else 1
+
+
 def nearest_vectors(
     queries: DataFrame,
     vectors: DataFrame,
     k: int,
     min_score: float | None = None,
-    block_rows: int = 20_000,
+    block_rows: int | None = None,
     chunk_rows: int = 20_000,
     slice_rows: int = 2_000,
     query_count: int | None = None,
@@ -227,10 +343,12 @@ def nearest_vectors(
     """Exact cosine top ``k``: ``queries(query_id, vector[, kinds])`` by ``vectors(iri, vector[, kind])``.
 
     Both sides are hashed into blocks and every (chunk, block) cell emits only its own best ``k`` per query. A row is
-    copied once for each block of the other side, so blocks of both sides are large where there is work for all cores,
-    and a cell multiplies ``slice_rows`` queries at a time. So nothing is broadcast, a task holds one block, and the final
-    ranking sees ``k`` rows per query and block. Scores are rounded to nine digits, then ties go by
-    ``iri``, so copies of a vector rank the same wherever they land. ``kinds`` NULL or empty: no filter.
+    copied once for each block of the other side, so blocks of both sides are large where there is work for all cores:
+    ``block_rows`` vectors, by default what takes 32 MB, and ``chunk_rows`` queries, or down to ``slice_rows`` where cells are few.
+    A cell multiplies some queries at a time. So nothing is broadcast, a task holds one block, and the final
+    ranking sees ``k`` rows per query and block. Queries of some kinds meet vectors of these kinds only. Scores are rounded to
+    nine digits, then ties go by ``iri``, so copies of a vector rank the same wherever they land. ``kinds`` NULL or empty: no
+    filter. Vectors of floats are carried as floats.
     """
     if "kinds" not in queries.columns:
         queries = queries.withColumn("kinds", F.lit(None).cast("array<string>"))
@@ -238,7 +356,7 @@ def nearest_vectors(
         vectors = vectors.withColumn("kind", F.lit(None).cast("string"))
     nq = queries.count() if query_count is None else query_count
     nv = vectors.count() if vector_count is None else vector_count
-    blocks = max(1, -(-nv // block_rows))
+    blocks = max(1, -(-nv // (_rows_of_block(vectors) if block_rows is None else block_rows)))
     cells = 2 * queries.sparkSession.sparkContext.defaultParallelism
     chunks = max(1, -(-nq // chunk_rows), min(-(-nq // slice_rows), -(-cells // blocks)))
 
@@ -256,32 +374,7 @@ def nearest_vectors(
         "iri", "kind", "vector", bucket("iri", blocks).alias("block"), every(chunks).alias("chunk")
     )
     floor = -np.inf if min_score is None else min_score
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "iri": [], "score": []})
-        units, iris, kinds = _unit_rows(right["vector"]).T, right["iri"].to_numpy(), right["kind"].to_numpy()
-        out = []
-        for first in range(0, len(left), slice_rows):
-            some = left.iloc[first : first + slice_rows]
-            scores = np.round(_unit_rows(some["vector"]) @ units, SCORE_DIGITS)
-            for row, qid, wanted in zip(scores, some["query_id"], some["kinds"], strict=True):
-                ok = row >= floor
-                if wanted is not None and len(wanted):
-                    ok &= np.isin(kinds.astype(object), list(wanted))
-                idx = np.flatnonzero(ok)
-                if len(idx) > k:
-                    edge = np.partition(row[idx], len(idx) - k)[len(idx) - k]
-                    idx = idx[row[idx] >= edge]
-                idx = idx[np.lexsort((iris[idx].astype(str), -row[idx]))][:k]
-                out.append(pd.DataFrame({"query_id": qid, "iri": iris[idx], "score": row[idx]}))
-        return pd.concat(out, ignore_index=True)
-
-    best = (
-        q.groupBy("chunk", "block")
-        .cogroup(v.groupBy("chunk", "block"))
-        .applyInPandas(cell, "query_id string, iri string, score double")
-    )
+    best = q.groupBy("chunk", "block").cogroup(v.groupBy("chunk", "block")).applyInArrow(_cell(k, floor), _BEST)
     from tripleframe.operators.forms import top_k
 
     return top_k(best, ["query_id"], [F.desc("score"), F.asc("iri")], k)

@@ -88,10 +88,9 @@ SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS iri,
 FROM v a, v b WHERE a.label % 2 = 0 OR a.label = b.label QUALIFY retrieval_rank < 5""")
 def retrieve_by_vectors(spark, d):
     rows = rel.read_tables(spark, d, "embeddings")["embeddings"]
-    vector = c("embedding").cast("array<double>")
     kinds = F.when(c("label") % 2 != 0, F.array(c("label").cast("string")))
-    queries = rows.select(c("vec_id").cast("string").alias("query_id"), vector.alias("vector"), kinds.alias("kinds"))
-    concepts = rows.select(c("vec_id").cast("string").alias("iri"), c("label").cast("string").alias("kind"), vector.alias("embedding"))
+    queries = rows.select(c("vec_id").cast("string").alias("query_id"), c("embedding").alias("vector"), kinds.alias("kinds"))
+    concepts = rows.select(c("vec_id").cast("string").alias("iri"), c("label").cast("string").alias("kind"), "embedding")
     out = R.vector_retrieve(queries, concepts, limit=5)
     return out.select("query_id", "iri", F.round("score", 6).alias("score"), "retrieval_rank")
 
